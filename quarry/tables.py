@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a scale folder."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package once a session, through the driver's own file server."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as staging:
+        shutil.copytree(root, Path(staging, root.name), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+        folder = tempfile.mkdtemp(prefix="package-")
+        sc.addPyFile(shutil.make_archive(str(Path(folder, root.name)), "zip", staging))
+    sc._quarry_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of ``spark.checkpoint.dir``; only where none is set (tests) a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def clean_path(path: Column) -> Column:
