@@ -13,7 +13,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import clean_path, clean_text
@@ -82,15 +82,18 @@ def oversized(code_chunks: DataFrame, parse_options: DataFrame) -> DataFrame:
     Of repeated ids the latest row counts. Languages that aren't listed take the row ``*``, without
     one 1000 and 200. The options are a fixed table of a few rows.
     """
-    options = parse_options.where("language IS NOT NULL").groupBy(F.lower(F.trim("language")).alias("option")).agg(F.max("chunksize").alias("chunksize"), F.max("chunkoverlap").alias("chunkoverlap"))
+    options = parse_options.where("language IS NOT NULL").groupBy(F.lower(F.trim("language")).alias("option")).agg(F.max("chunksize").alias("size"), F.max("chunkoverlap").alias("overlap")).collect()
     path = clean_path(F.col("filepath"))
-    rows = code_chunks.where("id IS NOT NULL AND content IS NOT NULL").select("id", path.alias("filepath"), language_expr(F.col("language"), path).alias("language"), clean_text(F.col("content")).alias("content"), F.coalesce("startline", F.lit(1)).alias("startline"), "indexed_at")
-    star = options.where("option = '*'").select(F.col("chunksize").alias("s0"), F.col("chunkoverlap").alias("o0")).agg(F.max("s0").alias("s0"), F.max("o0").alias("o0"))
-    own = rows.join(F.broadcast(options.where("option <> '*'")), F.col("language") == F.col("option"), "left")
-    joined = own.withColumn("one", F.lit(1)).join(F.broadcast(star.withColumn("one", F.lit(1))), "one", "left")
-    size = F.coalesce("chunksize", "s0", F.lit(1000))
-    rest = F.coalesce("chunkoverlap", "o0", F.lit(200))
-    over = joined.where(F.length("content") > size).select("id", "indexed_at", "filepath", "language", "content", "startline", size.alias("chunksize"), rest.alias("chunkoverlap"))
+    rows = code_chunks.where("id IS NOT NULL AND content IS NOT NULL").select("id", "indexed_at", path.alias("filepath"), language_expr(F.col("language"), path).alias("language"), clean_text(F.col("content")).alias("content"), F.coalesce("startline", F.lit(1)).alias("startline"))
+
+    def option(field: str, default: int) -> Column:
+        known = {r["option"]: r[field] for r in options if r[field] is not None}
+        value = F.lit(known.pop("*", default))
+        for name, number in known.items():
+            value = F.when(F.col("language") == name, number).otherwise(value)
+        return value.cast("int")
+
+    over = rows.withColumn("chunksize", option("size", 1000)).where(F.length("content") > F.col("chunksize")).withColumn("chunkoverlap", option("overlap", 200))
     return over.groupBy("id").agg(F.max(F.struct("indexed_at", "filepath", "language", "content", "startline", "chunksize", "chunkoverlap")).alias("r")).select("id", "r.filepath", "r.language", "r.content", "r.startline", "r.chunksize", "r.chunkoverlap")
 
 
