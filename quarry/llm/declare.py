@@ -43,30 +43,61 @@ _TYPES = {k: frozenset(v.split()) for k, v in _TYPES.items()}
 _NO_NAME = frozenset("if for while switch catch return throw new else do try finally await yield function typeof delete void in of case using lock foreach fixed match super this with assert synchronized instanceof is as base when where select from goto default checked unchecked elseif unless until and or not import export require super".split())
 
 
+_BRACKETS = frozenset("()[]{}")
+
+
+# Words one of which begins every declaration, by language; and words that begin none where a type can.
+_HEADS = {k: _MODS[k] | _TYPES[k] | frozenset(v.split()) for k, v in {"python": "def", "ruby": "def", "go": "func type", "rust": "fn", "php": "function"}.items()}
+_STATEMENTS = frozenset("if for while switch return try throw else do case catch finally this super await yield foreach break continue assert lock import package".split())
+
+
 class _Scan:
-    def __init__(self, src: str, lang: str):
+    def __init__(self, src: str, lang: str, toks: list[tuple[str, str, int]] | None = None):
         self.src, self.lang = src, lang
         self.lines = Lines(src)
-        toks = tokens(src, lang)
-        self.toks = [t for t in toks if t[0] not in (COMMENT, NEWLINE)]
-        self.comments = [t for t in toks if t[0] == COMMENT]
-        self.n = len(self.toks)
-        of, count = self.lines.of, len(self.lines.starts) + 2
+        count = len(self.lines.starts) + 2
         self.code = bytearray(count)  # the line holds code
         self.remark: dict[int, list[tuple[int, str]]] = {}
         self.commented = bytearray(count)
         self.annotated = bytearray(count)
-        self.line_of = []
-        for _, text, at in self.toks:
-            line = of(at)
-            self.line_of.append(line)
-            for k in range(line, line + text.count("\n") + 1):
-                self.code[k] = 1
-        for _, text, at in self.comments:
-            line = of(at)
-            self.remark.setdefault(line, []).append((at, text))
-            for k in range(line, line + text.count("\n") + 1):
-                self.commented[k] = 1
+        self.toks: list[tuple[str, str, int]] = []
+        self.line_of: list[int] = []
+        self.marks: list[tuple[int, bool]] = []  # tokens that begin a line's code or are brackets
+        toks = tokens(src, lang) if toks is None else toks
+        line, behind = 1, 0
+        gaps = lang == "php" or "\\\n" in src  # line ends that are no tokens
+        add, lines, code, mark = self.toks.append, self.line_of.append, self.code, self.marks.append
+        fresh, number = True, 0
+        for tok in toks:
+            kind, text, at = tok
+            if gaps:
+                line += src.count("\n", behind, at)
+                behind = at + len(text)
+            if kind == NEWLINE:
+                line += 1
+                fresh = True
+            elif kind == COMMENT:
+                self.remark.setdefault(line, []).append((at, text))
+                self.commented[line] = 1
+                if "\n" in text:
+                    for _ in range(text.count("\n")):
+                        line += 1
+                        self.commented[line] = 1
+            else:
+                add(tok)
+                lines(line)
+                if fresh:
+                    code[line] = 1
+                    mark((number, True))
+                    fresh = False
+                elif kind == "o" and text in _BRACKETS:
+                    mark((number, False))
+                number += 1
+                if kind in "sx" and "\n" in text:
+                    for _ in range(text.count("\n")):
+                        line += 1
+                        code[line] = 1
+        self.n = len(self.toks)
 
     def text(self, i: int) -> str:
         return self.toks[i][1] if i < self.n else ""
@@ -394,11 +425,11 @@ class _Scan:
 _STRING_PREFIX = re.compile(r"^[rbufRBUF]{0,2}(\"\"\"|'''|\"|')")
 
 
-def declarations(src: str, lang: str) -> list[Declaration]:
-    """Every declaration of ``src`` that begins at the start of a line, in order."""
+def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None = None) -> list[Declaration]:
+    """Every declaration of ``src`` that begins at the start of a line, in order. ``toks`` are its tokens, if they are known."""
     if lang not in _MODS or not src:
         return []
-    s = _Scan(src, lang)
+    s = _Scan(src, lang, toks)
     out: list[Declaration] = []
     depth = 0  # of round and square brackets
     stack: list[tuple[str, int]] = []  # owners: (name, brace depth or indentation)
@@ -407,19 +438,24 @@ def declarations(src: str, lang: str) -> list[Declaration]:
     pending: str | None = None
     opens = -1
     i = 0
+    done, heads = -1, _HEADS.get(lang)
     indented = lang in ("python", "ruby")
-    while i < s.n:
+    skip = 0
+    for i, first in s.marks:
+        if i < skip:
+            continue
         kind, text, at = s.toks[i]
-        line = s.line_of[i]
-        first = i == 0 or s.line_of[i - 1] != line and not ("\n" in s.toks[i - 1][1] and s.lines.of(s.toks[i - 1][2] + len(s.toks[i - 1][1]) - 1) >= line)
-        if first and depth == 0:
+        if first and depth == 0 and i > done:
+            line = s.line_of[i]
             j = i
-            while (k := s.annotation(j)) > j and k < s.n:
+            while text in "@[#" and (k := s.annotation(j)) > j and k < s.n:
                 for x in range(s.line_of[j], s.lines.of(s.toks[k - 1][2]) + 1):
                     s.annotated[x] = 1
                 j = k
-            got = s.header(j)
+            word = s.text(j)
+            got = s.header(j) if (word in heads if heads else word not in _STATEMENTS) else None
             if got:
+                done = j  # behind annotations the header stands on a line of its own
                 what, name, end, bodied = got
                 begin = s.line_of[j]
                 for x in range(line, begin):
@@ -452,7 +488,7 @@ def declarations(src: str, lang: str) -> list[Declaration]:
                     else:
                         pending, opens = label, end - 1
             if j > i and not got:
-                i = j
+                skip = j
                 continue
         if kind == "o":
             if text in ("(", "["):
@@ -471,7 +507,6 @@ def declarations(src: str, lang: str) -> list[Declaration]:
                     stack.pop()
                 braces = max(0, braces - 1)
                 depth = outer.pop() if outer else 0
-        i += 1
     return out
 
 

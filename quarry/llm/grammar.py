@@ -11,6 +11,7 @@ import ast
 import json
 import sys
 import warnings
+from functools import lru_cache
 
 from .lexer import BAD, COMMENT, IDENT, NEWLINE, NUMBER, REGEX, STRING, tokens
 
@@ -23,29 +24,41 @@ def _words(text: str) -> frozenset[str]:
     return frozenset(text.split())
 
 
+_CLOSING = frozenset((")", ";", ",", "]", "}"))
+
+
 class Parser:
     lang = ""
+    lines_matter = False  # a line end can end a statement
     reserved: frozenset[str] = frozenset()
     binary: frozenset[str] = frozenset()
     prefix: frozenset[str] = frozenset()
 
     def __init__(self, toks: list[tuple[str, str, int]]):
-        self.k: list[str] = []
-        self.t: list[str] = []
-        self.nl: list[bool] = []
-        line = False
-        for kind, text, _ in self.prepare(toks):
-            if kind == NEWLINE:
-                line = True
-            elif kind == COMMENT:
-                line = line or "\n" in text
-            elif kind == BAD:
-                raise Reject(text[:20])
-            else:
-                self.k.append(kind)
-                self.t.append(text)
-                self.nl.append(line)
-                line = False
+        toks = self.prepare(toks)
+        if self.lines_matter:
+            self.k: list[str] = []
+            self.t: list[str] = []
+            self.nl: list[bool] = []
+            line = False
+            kinds, texts, breaks = self.k.append, self.t.append, self.nl.append
+            for kind, text, _ in toks:
+                if kind == NEWLINE:
+                    line = True
+                elif kind == COMMENT:
+                    line = line or "\n" in text
+                else:
+                    kinds(kind)
+                    texts(text)
+                    breaks(line)
+                    line = False
+        else:
+            code = [t for t in toks if t[0] != NEWLINE and t[0] != COMMENT]
+            self.k = [t[0] for t in code]
+            self.t = [t[1] for t in code]
+            self.nl = [False] * len(code)
+        if BAD in self.k:
+            raise Reject
         self.k += ["e"] * 4
         self.t += [""] * 4
         self.nl += [True] * 4
@@ -61,7 +74,7 @@ class Parser:
         return self.t[self.i]
 
     def fail(self):
-        raise Reject(f"{self.i}: {' '.join(self.t[max(0, self.i - 3) : self.i + 3])}")
+        raise Reject  # often caught at once, so no message is made
 
     def isop(self, text: str) -> bool:
         return self.t[self.i] == text and self.k[self.i] == "o"
@@ -173,7 +186,10 @@ class Parser:
     def assign(self):
         self.operand()
         while True:
-            text, kind = self.t[self.i], self.k[self.i]
+            text = self.t[self.i]
+            if text in _CLOSING:
+                return
+            kind = self.k[self.i]
             if kind in "oi" and text in self.binary and self.infix_ok():
                 self.i += 1
                 self.right(text)
@@ -195,8 +211,10 @@ class Parser:
         self.operand()
 
     def operand(self):
-        while self.k[self.i] in "oi" and self.t[self.i] in self.prefix:
-            self.i += 1
+        t, i = self.t, self.i
+        while t[i] in self.prefix and self.k[i] in "oi":
+            i += 1
+        self.i = i
         self.primary()
         while self.postfix():
             pass
@@ -214,7 +232,7 @@ _JS_RESERVED = "break case catch class const continue debugger default delete do
 
 
 class Js(Parser):
-    lang, types = "javascript", False
+    lang, types, lines_matter = "javascript", False, True
     reserved = _words(_JS_RESERVED)
     binary = _words("+ - * / % ** == != === !== < > <= >= << >> >>> && || ?? & | ^ = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??= in instanceof")
     prefix = _words("! ~ + - ++ -- typeof void delete await yield")
@@ -1941,14 +1959,15 @@ def _json(text: str) -> bool:
         return True
 
 
-def parsers() -> dict[str, type[Parser]]:
+@lru_cache(maxsize=1)
+def _parsers() -> dict[str, type[Parser]]:
     from .grammar_more import Go, Php, Ruby, Rust
 
     return {"javascript": Js, "typescript": Ts, "java": Java, "csharp": CSharp, "go": Go, "rust": Rust, "php": Php, "ruby": Ruby}
 
 
-def valid(text: str, lang: str) -> bool:
-    """Whether ``text`` is syntactically valid in ``lang`` (one of lexer.CODE_LANGUAGES or json).
+def valid(text: str, lang: str, toks: list[tuple[str, str, int]] | None = None) -> bool:
+    """Whether ``text`` is syntactically valid in ``lang`` (one of lexer.CODE_LANGUAGES or json). ``toks`` are its tokens, if they are known.
 
     An empty text is valid in every language but JSON and Go. Nesting too deep to follow counts as valid.
     """
@@ -1961,7 +1980,7 @@ def valid(text: str, lang: str) -> bool:
     if lang == "php" and text.strip() and "<?" not in text:
         return False
     try:
-        parser = parsers()[lang](tokens(text.removeprefix("﻿"), lang))
+        parser = _parsers()[lang](tokens(text, lang) if toks is None else toks)
         parser.file()
         return parser.k[parser.i] == "e"
     except Reject:

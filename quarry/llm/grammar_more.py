@@ -977,7 +977,7 @@ class Rust(Parser):
 
 
 class Php(Js):
-    lang, types = "php", False
+    lang, types, lines_matter = "php", False, False
     reserved = _words("abstract and as break case catch class clone const continue declare default do echo else elseif enddeclare endfor endforeach endif endswitch endwhile extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list namespace new or private protected public require require_once return static switch throw trait try unset use var while xor yield")
     binary = _words("+ - * / % ** . << >> && || ?? == != === !== < > <= >= <=> & | ^ = += -= *= /= .= %= **= ??= &= |= ^= <<= >>= and or xor instanceof <>")
     prefix = _words("! ~ + - ++ -- & @ new clone print include include_once require require_once throw yield")
@@ -1454,7 +1454,7 @@ class Php(Js):
 
 
 class Ruby(Parser):
-    lang = "ruby"
+    lang, lines_matter = "ruby", True
     reserved = _words("BEGIN END alias and begin break case class def defined? do else elsif end ensure for if in module next not or redo rescue retry return then undef unless until when while yield")
     binary = _words("+ - * / % ** . << >> && || == != === < > <= >= <=> =~ !~ & | ^ = += -= *= /= %= **= ||= &&= <<= >>= &= |= ^= .. ... and or => ? :")
     prefix = _words("! ~ + - & * ** not defined? .. ...")

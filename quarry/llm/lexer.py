@@ -32,34 +32,38 @@ _OPS = r">>>=|<<=|>>=|\*\*=|===|!==|\.\.\.|\.\.=|<=>|\?\?=|&&=|\|\|=|=>|->|<-|::
 
 
 def _master(*parts: tuple[str, str]) -> re.Pattern:
-    tail = (("w", r"[ \t\f\v ﻿]+|\\\n"), ("l", r"\n"))
-    return re.compile("|".join(f"(?P<{k}>{p})" for k, p in (*tail, *parts)) + r"|(?P<x>[\s\S])")
+    """White space is taken along with the token behind it, so that it costs no match of its own."""
+    space = r"[ \t\f\v\xa0\ufeff]"
+    return re.compile(space + "*(?:(?P<l>\n)|" + "|".join(f"(?P<{k}>{p})" for k, p in parts) + r"|(?P<w>\\\n)|(?P<x>[^ \t\f\v\xa0\ufeff]))")
 
 
 _C_COMMENT = ("c", r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/")
+_QUICK = ("k", r"[(){}\[\],;]")  # signs that begin nothing else
+# Names come first because they are the most frequent.
 _MASTERS = {
     "python": _master(
-        ("c", r"#[^\n]*"),
+        ("i", r"(?!(?:[rbufRBUF]|[rR][bBfF]|[bBfF][rR])[\"'])[^\W\d]\w*"), _QUICK, ("c", r"#[^\n]*"),
         ("s", r"(?i:[rbuf]|rb|br|rf|fr)?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?!\"\"\"|''')(?:" + _DQ + "|" + _SQ + "))"),
-        ("n", _NUM), ("i", r"[^\W\d]\w*"), ("o", _OPS)),
-    "javascript": _master(_C_COMMENT, ("t", r"`"), ("s", _DQ + "|" + _SQ), ("n", _NUM), ("i", r"[#]?[^\W\d][\w$]*|\$[\w$]*"), ("d", r"/"), ("o", _OPS)),
-    "java": _master(_C_COMMENT, ("s", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|(?!""")' + _DQ + r"|'(?:[^'\\\n]|\\[^\n]{1,6}?)'"), ("n", _NUM), ("i", r"[^\W\d][\w$]*"), ("o", _OPS)),
-    "go": _master(_C_COMMENT, ("s", _DQ + r"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,10}?)'"), ("n", _NUM), ("i", r"[^\W\d]\w*"), ("o", _OPS)),
+        ("n", _NUM), ("o", _OPS)),
+    "javascript": _master(("i", r"[#]?[^\W\d][\w$]*|\$[\w$]*"), _QUICK, _C_COMMENT, ("t", r"`"), ("s", _DQ + "|" + _SQ), ("n", _NUM), ("d", r"/"), ("o", _OPS)),
+    "java": _master(("i", r"[^\W\d][\w$]*"), _QUICK, _C_COMMENT, ("s", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|(?!""")' + _DQ + r"|'(?:[^'\\\n]|\\[^\n]{1,6}?)'"), ("n", _NUM), ("o", _OPS)),
+    "go": _master(("i", r"[^\W\d]\w*"), _QUICK, _C_COMMENT, ("s", _DQ + r"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,10}?)'"), ("n", _NUM), ("o", _OPS)),
     "csharp": _master(
-        _C_COMMENT,
+        ("i", r"@?[^\W\d]\w*"), _QUICK, _C_COMMENT,
         ("s", r'\$*"""[\s\S]*?"""(?!")|(?:@\$?|\$@)"(?:[^"]|"")*"|\$"(?:[^"\\\n{]|\\.|\{\{|\{(?:[^{}"\n]|"(?:[^"\\\n]|\\.)*"|\{[^{}\n]*\})*\})*"|' + _DQ + r"|'(?:[^'\\\n]|\\[^\n]{1,8}?)'"),
-        ("p", r"(?<![^\n])[ \t]*#[^\n]*"), ("n", _NUM), ("i", r"@?[^\W\d]\w*"), ("o", _OPS)),
+        ("p", r"#(?:region|endregion|pragma|if|elif|else|endif|define|undef|nullable|error|warning|line|r|load)\b[^\n]*"), ("n", _NUM), ("o", _OPS)),
     "rust": _master(
-        ("c", r"//[^\n]*"), ("b", r"/\*"),
+        ("i", r"(?!b?r#*\"|[bc]\"|b')(?:r#)?[^\W\d]\w*|'[^\W\d]\w*+(?!')"), _QUICK, ("c", r"//[^\n]*"), ("b", r"/\*"),
         ("s", r'b?r(?P<h>#*)"[\s\S]*?"(?P=h)|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:u\{[^}]*\}|x..|.))\''),
-        ("i", r"'[^\W\d]\w*|(?:r#)?[^\W\d]\w*"), ("n", r"(?:0[xbo][\da-fA-F_]+|\d[\d_]*(?:\.(?!\.)(?![A-Za-z_])[\d_]*)?(?:[eE][+-]?\d+)?)\w*"), ("o", _OPS)),
+        ("n", r"(?:0[xbo][\da-fA-F_]+|\d[\d_]*(?:\.(?!\.)(?![A-Za-z_])[\d_]*)?(?:[eE][+-]?\d+)?)\w*"), ("o", _OPS)),
     "php": _master(
+        ("i", r"\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*"), _QUICK,
         ("c", r"//(?:(?!\?>)[^\n])*|#(?!\[)(?:(?!\?>)[^\n])*|/\*(?:[^*]|\*(?!/))*\*/"), ("q", r"\?>"), ("h", r"<<<[ \t]*(?P<hq>['\"]?)(?P<hn>[A-Za-z_]\w*)(?P=hq)"),
-        ("s", r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\'\\]|\\[\s\S])*\'|`[^`]*`'), ("n", _NUM), ("i", r"\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*"), ("o", _OPS)),
+        ("s", r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\'\\]|\\[\s\S])*\'|`[^`]*`'), ("n", _NUM), ("o", _OPS)),
     "ruby": _master(
-        ("c", r"(?:(?<=\n)|\A)=begin\b[\s\S]*?\n=end[^\n]*|#[^\n]*"), ("z", r"(?:(?<=\n)|\A)__END__\n[\s\S]*"), ("h", r"<<[~-]?(?P<hq>['\"`]?)(?P<hn>[A-Za-z_]\w*)(?P=hq)"),
-        ("t", r"\""), ("s", r"'(?:[^'\\]|\\[\s\S])*'|`[^`\n]*`"), ("pct", r"%[wWiIqQr]?[\[({<|!]"), ("n", _NUM),
-        ("i", r":[^\W\d]\w*[?!=]?(?![\w:])|:\"(?:[^\"\\\n]|\\.)*\"|@{0,2}[^\W\d]\w*(?:[?!](?!=))?|\$[\w~!@&+`'=/\\,;.<>*?:\"]\w*"), ("d", r"/"), ("o", _OPS)),
+        ("c", r"(?:(?<=\n)|\A)=begin\b[\s\S]*?\n=end[^\n]*|#[^\n]*"), ("z", r"(?:(?<=\n)|\A)__END__\n[\s\S]*"),
+        ("i", r":[^\W\d]\w*[?!=]?(?![\w:])|:\"(?:[^\"\\\n]|\\.)*\"|@{0,2}[^\W\d]\w*(?:[?!](?!=))?|\$[\w~!@&+`'=/\\,;.<>*?:\"]\w*"), _QUICK,
+        ("h", r"<<[~-]?(?P<hq>['\"`]?)(?P<hn>[A-Za-z_]\w*)(?P=hq)"), ("t", r"\""), ("s", r"'(?:[^'\\]|\\[\s\S])*'|`[^`\n]*`"), ("pct", r"%[wWiIqQr]?[\[({<|!]"), ("n", _NUM), ("d", r"/"), ("o", _OPS)),
 }
 _MASTERS["typescript"] = _MASTERS["javascript"]
 
@@ -127,8 +131,7 @@ def tokens(src: str, lang: str) -> list[tuple[str, str, int]]:
     if master is None:
         return [(BAD, src, 0)] if src else []
     out: list[tuple[str, str, int]] = []
-    match, n, pos = master.match, len(src), 0
-    last_kind, last = "", ""
+    n, pos = len(src), 0
     heredocs: list[tuple[str, bool]] = []
     if lang == "php":
         at = src.find("<?")
@@ -138,93 +141,114 @@ def tokens(src: str, lang: str) -> list[tuple[str, str, int]]:
             pos = at + (5 if src.startswith("<?php", at) else 3 if src.startswith("<?=", at) else 2)
     elif lang in ("javascript", "typescript", "ruby", "python", "rust") and src.startswith("#!") and not src.startswith("#!["):
         pos = n if (at := src.find("\n")) < 0 else at
+    add, plain = out.append, _PLAIN
     while pos < n:
-        m = match(src, pos)
-        kind, end = m.lastgroup, m.end()
-        if kind == "w":
-            pos = end
-            continue
-        if kind == "l":
-            out.append((NEWLINE, "\n", pos))
-            pos = end
+        for m in master.finditer(src, pos):
+            kind = m.lastgroup
+            if kind in plain:
+                text = m[kind]
+                add((kind, text, m.end() - len(text)))
+                continue
+            if kind == "k":
+                add(("o", m["k"], m.end() - 1))
+                continue
+            if kind == "l":
+                add(("l", "\n", m.end() - 1))
+                if heredocs:
+                    pos = m.end()
+                    break
+                continue
+            if kind == "w":
+                continue
+            pos = _special(src, lang, kind, m, out, heredocs)
+            if pos != m.end():
+                break
+        else:
+            break
+        if heredocs and out and out[-1][0] == NEWLINE:
             for name, loose in heredocs:
                 close = re.compile(rf"^[ \t]*{name}\b" if loose else rf"^{name}\b", re.M).search(src, pos)
                 if close is None:
-                    out.append((BAD, src[pos:], pos))
+                    add((BAD, src[pos:], pos))
                     pos = n
                     break
-                out.append((STRING, src[pos:close.start()], pos))
+                add((STRING, src[pos : close.start()], pos))
                 pos = close.end()
             heredocs.clear()
-            continue
-        if kind == "hn" or kind == "hq":
-            kind = "h"
-        elif kind == "h" and lang == "rust":
-            kind = "s"
-        if kind == "t":
-            end = _template(src, pos + 1, "`", "$") if lang != "ruby" else _template(src, pos + 1, '"', "#")
-            kind = STRING
-            if end < 0:
-                kind, end = BAD, n
-        elif kind == "d":
-            free = not last_kind or (last_kind == OP and last not in (")", "]", "}")) or (last_kind == IDENT and last in _BEFORE_REGEX)
-            if lang == "ruby" and last_kind == IDENT and not free:
-                free = src[pos - 1] in " \t" and src[pos + 1 : pos + 2] not in (" ", "=", "")
-            r = (_REGEX if lang != "ruby" else _REGEX_RUBY).match(src, pos) if free else None
-            if r:
-                kind, end = REGEX, r.end()
-            else:
-                kind = OP
-                end = pos + (2 if src.startswith("/=", pos) else 1)
-        elif kind == "b":
-            end = _nested_comment(src, end)
-            kind = COMMENT
-            if end < 0:
-                kind, end = BAD, n
-        elif kind == "p":
-            kind = COMMENT
-        elif kind == "q":
-            at = src.find("<?", end)
-            end = n if at < 0 else at + (5 if src.startswith("<?php", at) else 3 if src.startswith("<?=", at) else 2)
-            out.append((OP, ";", pos))
-            pos = end
-            last_kind, last = OP, ";"
-            continue
-        elif kind == "z":
-            break
-        elif kind == "h":
-            if lang == "ruby" and (last_kind in (NUMBER, STRING) or last in (")", "]") or (last_kind == IDENT and src[pos - 1] not in " \t(")) or lang == "ruby" and src[pos + 2 : pos + 3] not in "~-" and not re.match(r"<<['\"]?[A-Z]", src[pos : pos + 4]):
-                kind, end = OP, pos + 2
-            else:
-                h = re.search(r"[A-Za-z_]\w*", m.group())
-                heredocs.append((h.group(), lang == "php" or m.group()[2] in "~-"))
-                kind = STRING
-        elif kind == "pct":
-            if last_kind in (NUMBER, IDENT) and src[pos - 1 : pos] != " " or last in (")", "]") or last_kind == NUMBER:
-                kind, end = OP, pos + 1
-            else:
-                opener = src[end - 1]
-                closer, depth, at = _CLOSERS[opener], 1, end
-                while at < n and depth:
-                    ch = src[at]
-                    if ch == "\\":
-                        at += 1
-                    elif ch == closer:
-                        depth -= 1
-                    elif ch == opener:
-                        depth += 1
-                    at += 1
-                kind, end = (STRING, at) if not depth else (BAD, n)
-        text = src[pos:end]
-        out.append((kind, text, pos))
-        if kind != COMMENT:
-            last_kind, last = kind, text
-        pos = end
     if heredocs:
-        out.append((BAD, "", n))
+        add((BAD, "", n))
     return out
 
 
+_PLAIN = frozenset("csniox")
+
+
+def _previous(out: list[tuple[str, str, int]]) -> tuple[str, str]:
+    """Kind and text of the last token that isn't a comment or line end."""
+    for kind, text, _ in reversed(out):
+        if kind not in (COMMENT, NEWLINE):
+            return kind, text
+    return "", ""
+
+
+def _special(src: str, lang: str, kind: str, m: re.Match, out: list[tuple[str, str, int]], heredocs: list[tuple[str, bool]]) -> int:
+    """A token that needs its context; appends it and gives the offset behind it."""
+    pos, end, n = m.start(kind), m.end(), len(src)
+    last_kind, last = _previous(out)
+    if kind == "t":
+        end = _template(src, pos + 1, "`", "$") if lang != "ruby" else _template(src, pos + 1, '"', "#")
+        kind = STRING
+        if end < 0:
+            kind, end = BAD, n
+    elif kind == "d":
+        free = not last_kind or (last_kind == OP and last not in (")", "]", "}")) or (last_kind == IDENT and last in _BEFORE_REGEX)
+        if lang == "ruby" and last_kind == IDENT and not free:
+            free = src[pos - 1] in " \t" and src[pos + 1 : pos + 2] not in (" ", "=", "")
+        r = (_REGEX if lang != "ruby" else _REGEX_RUBY).match(src, pos) if free else None
+        if r:
+            kind, end = REGEX, r.end()
+        else:
+            kind, end = OP, pos + (2 if src.startswith("/=", pos) else 1)
+    elif kind == "b":
+        end = _nested_comment(src, end)
+        kind = COMMENT
+        if end < 0:
+            kind, end = BAD, n
+    elif kind == "p":
+        kind = COMMENT
+    elif kind == "q":
+        at = src.find("<?", end)
+        out.append((OP, ";", pos))
+        return n if at < 0 else at + (5 if src.startswith("<?php", at) else 3 if src.startswith("<?=", at) else 2)
+    elif kind == "z":
+        return n
+    elif kind == "h":
+        shift = last_kind in (NUMBER, STRING) or last in (")", "]") or last_kind == IDENT and src[pos - 1] not in " \t("
+        if lang == "ruby" and (shift or src[pos + 2 : pos + 3] not in ("~", "-") and not re.match(r"<<['\"]?[A-Z]", src[pos : pos + 4])):
+            kind, end = OP, pos + 2
+        else:
+            heredocs.append((m["hn"], lang == "php" or src[pos + 2] in "~-"))
+            kind = STRING
+    elif kind == "pct":
+        if last_kind in (NUMBER, IDENT) and src[pos - 1 : pos] != " " or last in (")", "]") or last_kind == NUMBER:
+            kind, end = OP, pos + 1
+        else:
+            opener = src[end - 1]
+            closer, depth, at = _CLOSERS[opener], 1, end
+            while at < n and depth:
+                ch = src[at]
+                if ch == "\\":
+                    at += 1
+                elif ch == closer:
+                    depth -= 1
+                elif ch == opener:
+                    depth += 1
+                at += 1
+            kind, end = (STRING, at) if not depth else (BAD, n)
+    out.append((kind, src[pos:end], pos))
+    return end
+
+
 class Lines:
     """Offset to 1-based line number."""
 
