@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,15 +31,29 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text or "").lower())
 
 
-@F.pandas_udf(T.StringType())
-def normal_words(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(words(t)), na_action="ignore")
+_CODES: dict[str, int] = {}  # hashes of words seen by this worker
 
 
-def grams(column: Column, n: int = GRAM) -> Column:
-    """Hashes of the word n-grams of a list of words, in order; none for a shorter list."""
-    count = F.size(column) - F.lit(n - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(column, i, n)))).otherwise(F.array().cast("array<long>"))
+def gram_hashes(text: str | None, n: int = GRAM) -> np.ndarray:
+    """64-bit hashes of the word n-grams of a text, in order; none for a shorter text."""
+    import xxhash
+
+    if len(_CODES) > 1_000_000:
+        _CODES.clear()
+    found = words(text)
+    if len(found) < n:
+        return np.zeros(0, np.int64)
+    code = np.array([_CODES.get(w) or _CODES.setdefault(w, xxhash.xxh64_intdigest(w)) for w in found], np.uint64)
+    h = np.zeros(len(code) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ code[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def grams(texts: pd.Series) -> pd.Series:
+    return texts.map(gram_hashes, na_action="ignore")
 
 
 def align(a: list[str], b: list[str], match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
@@ -77,13 +91,13 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> Dat
     span = min_run - GRAM + 1
     if span < 1:
         raise ValueError(f"min_run is at least {GRAM}")
-    its = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.split(normal_words("text"), " ").alias("iw")).where(F.size("iw") >= min_run).distinct()
-    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", normal_words("text").alias("dw")).where(F.length("dw") > 2 * GRAM)
-    item_grams = its.select("item_id", F.posexplode(grams(F.col("iw"))).alias("pos", "gram")).checkpoint()
+    its = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.col("text").alias("item")).distinct()
+    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    item_grams = its.select("item_id", F.posexplode(grams("item")).alias("pos", "gram")).checkpoint()
     small = item_grams.count() <= BROADCAST_GRAMS
     hint = F.broadcast if small else (lambda x: x)
     known = item_grams.select("gram").distinct()
-    doc_grams = docs.select("doc_id", F.explode(grams(F.split("dw", " "))).alias("gram"))
+    doc_grams = docs.select("doc_id", F.explode(grams("text")).alias("gram"))
     # only grams that an item has leave the scan; copies of a text are counted like others
     hits = doc_grams.join(hint(known), "gram", "left_semi").groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     frequency = hits.groupBy("gram").agg(F.sum("n").alias("df"))
@@ -93,14 +107,14 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> Dat
     rare = ranked.select("item_id", F.min(F.struct("df", "pos", "gram")).over(window.rowsBetween(0, span - 1)).alias("r"), "pos", F.max("pos").over(W.partitionBy("item_id")).alias("last"))
     seeds = rare.where((F.col("pos") + span - 1 <= F.col("last")) & (F.col("r.df") > 0)).select("item_id", F.col("r.gram").alias("gram")).distinct()
     candidates = hits.join(hint(seeds), "gram").select("doc_id", "item_id").distinct()
-    texts = candidates.join(docs, "doc_id").join(hint(its), "item_id").select("item_id", "doc_id", "dw", F.array_join("iw", " ").alias("iw"))
+    texts = candidates.join(docs, "doc_id").join(hint(its), "item_id").select("item_id", "doc_id", "item", "text")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for item, doc, a, b in zip(pdf["item_id"], pdf["doc_id"], pdf["iw"], pdf["dw"], strict=True):
-                x = a.split(" ")
-                s, _, _, run = align(x, b.split(" "))
+            for item, doc, a, b in zip(pdf["item_id"], pdf["doc_id"], pdf["item"], pdf["text"], strict=True):
+                x = words(a)
+                s, _, _, run = align(x, words(b))
                 rows.append((item, doc, s, s / (2 * len(x)), run))
             yield pd.DataFrame(rows, columns=["item_id", "doc_id", "score", "share", "longest_run"])
 
