@@ -318,7 +318,8 @@ def locate(code_chunks: DataFrame) -> DataFrame:
                         ids.append(i)
                         lines.append(int(start) + text.count("\n", 0, begin))
                         kinds.append(kind)
-            yield pd.DataFrame({"id": ids, "line": pd.Series(lines, dtype="int32"), "kind": kinds})
+            if ids:
+                yield pd.DataFrame({"id": ids, "line": pd.Series(lines, dtype="int32"), "kind": kinds})
 
     rows = _chunks(code_chunks).where(~F.coalesce(F.col("language"), F.lit("")).isin(*_OUT_OF_SCOPE))
     return rows.select("id", "content", "startline", "language").mapInPandas(scan, "id string, line int, kind string").distinct()
@@ -344,6 +345,6 @@ def redacted(code_chunks: DataFrame) -> DataFrame:
                 spans = [] if lang in _OUT_OF_SCOPE else find(content, lang)
                 texts.append(redact(content, spans) if spans else content)
                 counts.append(sum(s[0] >= 0 for s in spans))
-            yield pd.DataFrame({"id": pdf["id"], "content": texts, "n_credentials": pd.Series(counts, dtype="int32")})
+            yield pd.DataFrame({"id": pdf["id"].to_list(), "content": texts, "n_credentials": pd.Series(counts, dtype="int32")})
 
     return rows.mapInPandas(scan, "id string, content string, n_credentials int")

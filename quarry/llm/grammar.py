@@ -1307,7 +1307,9 @@ class Java(Managed):
             if self.accept("case"):
                 while True:
                     if not self.accept("default"):
-                        if not self.attempt(self.pattern):
+                        if self.isname() and self.t[self.i + 1] in ("->", ":", ","):
+                            self.i += 1
+                        elif not self.attempt(self.pattern):
                             self.operand()
                             while self.tok in self.binary:
                                 self.i += 1
@@ -1317,14 +1319,24 @@ class Java(Managed):
                 if self.tok == "when":
                     self.i += 1
                     self.assign()
-                if not self.accept(":", "->"):
-                    self.fail()
+                self.case_body()
             elif self.accept("default"):
-                if not self.accept(":", "->"):
-                    self.fail()
+                self.case_body()
             else:
                 self.stmt()
 
+    def case_body(self):
+        if self.accept(":"):
+            return
+        self.expect("->")
+        if self.isop("{"):
+            self.block()
+        elif self.tok == "throw":
+            self.stmt()
+        else:
+            self.assign()
+            self.end()
+
     def pattern(self):
         self.mods()
         self.type()

@@ -125,6 +125,7 @@ def natural_cuts(code_chunks: DataFrame, parse_options: DataFrame) -> DataFrame:
                 cuts = cut_lines(text, lang)
                 ids += [i] * len(cuts)
                 lines += [int(first) + x - 1 for x in cuts]
-            yield pd.DataFrame({"id": ids, "line": pd.Series(lines, dtype="int32")})
+            if ids:
+                yield pd.DataFrame({"id": ids, "line": pd.Series(lines, dtype="int32")})
 
     return oversized(code_chunks, parse_options).select("id", "content", "language", "startline").mapInPandas(run, "id string, line int")

@@ -70,11 +70,9 @@ def judged(parse_results: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [verdict(text, lang) for text, lang in zip(pdf["content"], pdf["language"], strict=True)]
-            out = pdf[["filepath", "repo", "language"]].copy()
-            out["valid"] = [g[0] for g in got]
-            out["parses_as"] = [g[1] for g in got]
-            out["cause"] = [None if ok else "wrong extension" if other else "corrupt" for ok, other in got]
-            yield out
+            own = {c: pdf[c].to_list() for c in ("filepath", "repo", "language")}
+            cause = [None if ok else "wrong extension" if other else "corrupt" for ok, other in got]
+            yield pd.DataFrame({**own, "valid": [g[0] for g in got], "parses_as": [g[1] for g in got], "cause": cause})
 
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, "filepath string, repo string, language string, valid boolean, parses_as string, cause string")
 
