@@ -30,8 +30,8 @@ def content_parts(s, d):
     return c.select("id", (total + raw + F.length(body)).cast("long").alias("total"), (F.length(doc) > 0).alias("documented"))
 
 
-@query(f"""WITH {SYMBOLS}, c AS (SELECT DISTINCT id, {PATH} AS filepath, startline, endline FROM code_chunks), m AS (SELECT id, s.name, min(s.line) AS at FROM c JOIN symbols s USING (filepath) WHERE c.startline <= coalesce(s.endline, s.line) AND s.line <= c.endline GROUP BY 1, 2)
-SELECT id, least(count(*), 20) AS n, arg_min(name, {{'a': at, 'n': name}}) AS first_name FROM m GROUP BY id""")
+@query(f"""WITH {SYMBOLS}, c AS (SELECT DISTINCT id, {PATH} AS filepath, startline, endline FROM code_chunks), m AS (SELECT id, s.name, min(s.line) AS pos FROM c JOIN symbols s USING (filepath) WHERE c.startline <= coalesce(s.endline, s.line) AND s.line <= c.endline GROUP BY 1, 2)
+SELECT id, least(count(*), 20) AS n, arg_min(name, {{'a': pos, 'n': name}}) AS first_name FROM m GROUP BY id""")
 def chunk_symbols(s, d):
     c = read(s, d, "code_chunks").select("id", S.normal_path(F.col("filepath")).alias("filepath"), "startline", "endline").distinct()
     x = N.chunk_symbols(c, symbols(s, d))
