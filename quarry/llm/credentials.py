@@ -69,6 +69,7 @@ _NEXT_LINE = re.compile(rf"(?<![A-Za-z0-9]){_NAME}[\"'`]?\s*\]?\s*(?:=>|:=|=|:|\
 _LEADING = re.compile(rf"^\s*{_SIGIL}{_LITERAL}")
 _BARE = re.compile(rf"(?<![A-Za-z0-9]){_NAME}[\"']?\s*[=:]\s*(?P<v>[^\s\"'`,;#][^\s,;]*)", re.I)
 _BARE_LINE = re.compile(rf"^\s*(?:export\s+|ENV\s+|ARG\s+|set\s+|-\s+)?[\"']?{_NAME}[\"']?(?:\s*[=:]\s*|\s+)(?P<v>[^\s\"'].*?)\s*$", re.I)
+_BLOCK_SCALAR = re.compile(rf"^\s*(?:-\s+)?[\"']?{_NAME}[\"']?\s*:\s*[|>][-+]?\s*$", re.I)
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<u>[^\s/:@\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)@")
 _HEADER = re.compile(r"(?:\bBearer|\bBasic|\bToken)\s+(?P<v>[A-Za-z0-9\-._~+/]{8,}=*)", re.I)
 _HEADER_KEY = re.compile(r"(?:authorization|x-[a-z-]*(?:key|token|auth))[\"']?\s*[:=,]\s*[\"']?(?:(?:Bearer|Basic|Token)\s+)?(?P<v>[A-Za-z0-9\-._~+/]{16,}=*)", re.I)
@@ -213,6 +214,7 @@ def find(text: str, language: str | None) -> list[tuple[int, int, int, str]]:
         if any(a <= begin and stop <= b for a, b, _ in blocks):
             continue
         hits: list[tuple[int, int, str]] = []
+        joined: list[tuple[int, int, int, str]] = []  # further literals of a value
         for m in _ISSUER.finditer(line):
             if structure(m.lastgroup, m.group()) and not _PLACEHOLDER.match(m.group()):
                 hits.append((m.start(), m.end(), m.lastgroup))
@@ -234,6 +236,7 @@ def find(text: str, language: str | None) -> list[tuple[int, int, int, str]]:
             if "-----BEGIN" in v or not _blankable(v) or "://" in v:
                 continue
             if m["strong"] or _secretish(v):
+                joined += _continued(text, begin + m.end())
                 if m["strong"] and code and _IDENT.match(v) and v.islower() and re.search(r"[_.-]", v) and len(v) < 40:
                     continue  # the name of a setting
                 hits.append((*m.span("v"), "assignment"))
@@ -251,6 +254,14 @@ def find(text: str, language: str | None) -> list[tuple[int, int, int, str]]:
                 v = m["v"].rstrip(").,")
                 if m["strong"] and len(v) >= 6 and _blankable(v) and "(" not in v and "://" not in v and not _IDENT.fullmatch(v) or m["strong"] and _mixed(v) and _blankable(v):
                     hits.append((m.start("v"), m.start("v") + len(v), "comment"))
+        m = _BLOCK_SCALAR.match(line) if not code else None
+        if m and number + 1 < len(starts):
+            nxt = starts[number + 1]
+            after = text[nxt : starts[number + 2] - 1 if number + 2 < len(starts) else len(text)]
+            v = after.strip()
+            if "-----BEGIN" not in v and _blankable(v) and (m["strong"] or _secretish(v)):
+                place = nxt + after.index(v)
+                found.append((place, place, place + len(v), "assignment"))
         m = _NEXT_LINE.search(line)
         if m and number + 1 < len(starts):
             nxt = starts[number + 1]
@@ -258,7 +269,7 @@ def find(text: str, language: str | None) -> list[tuple[int, int, int, str]]:
             lit = _LEADING.match(after)
             if lit and _blankable(lit["v"]) and "-----BEGIN" not in lit["v"] and (m["strong"] or _secretish(lit["v"])) and not re.match(r"\s*[:=]", after[lit.end() :]):
                 found.append((nxt + lit.start("v"), nxt + lit.start("v"), nxt + lit.end("v"), "assignment"))
-        found += [(begin + a, begin + a, begin + b, k) for a, b, k in hits]
+        found += [(begin + a, begin + a, begin + b, k) for a, b, k in hits] + joined
     if blocks == [] and "PRIVATE KEY" in text:
         end = _END.search(text)  # a block that began before this text
         if end and not _BEGIN.search(text[: end.start()]):
@@ -274,6 +285,18 @@ def find(text: str, language: str | None) -> list[tuple[int, int, int, str]]:
     return out
 
 
+_MORE = re.compile(r"""\s*(?:\+|\.(?!\w)|&|\\\n|\n)\s*(?:\\\n)?\s*(?:\+|\.|&)?\s*(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)+)(?P=q)(?!\s*[:=])""")
+
+
+def _continued(text: str, at: int) -> list[tuple[int, int, int, str]]:
+    """Spans of the literals that are joined to the one that ends at ``at``; they begin no value of their own."""
+    out = []
+    while m := _MORE.match(text, at):
+        out.append((-1, *m.span("v"), "assignment"))
+        at = m.end()
+    return out
+
+
 def _mixed(v: str) -> bool:
     return len(v) >= 8 and bool(re.search(r"[a-z][A-Z]", v)) and bool(re.search(r"[A-Z]{2}|\d", v))
 

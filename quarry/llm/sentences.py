@@ -153,6 +153,7 @@ def _decide(rules, text: str, at: int) -> bool:
 _ATX = re.compile(r" {0,3}#{1,6}(?:[ \t ]+|$)")
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦·]|\d{1,9}[.)]|[a-z][.)])[ \t ]+(?:\[[ xX]\][ \t]+)?")
+_NUMBER = re.compile(r"[ \t]*(\d{1,9}|[a-z])[.)]")
 _QUOTE = re.compile(r"[ \t]{0,3}>[ \t]?")
 _RULE = re.compile(r"[ \t]*(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|={3,})[ \t]*$")
 _LINE = re.compile(r"([^\r\n]*)(\r\n|\n|\r|$)")
@@ -161,7 +162,7 @@ _LINE = re.compile(r"([^\r\n]*)(\r\n|\n|\r|$)")
 def blocks(text: str) -> Iterator[tuple[int, str, bool]]:
     """(offset, text, is heading) of each paragraph, list item and heading; marks of continuation lines are blanked so that offsets hold."""
     start, parts, fence = 0, [], ""
-    size = 0
+    size, ordered = 0, False
 
     def flush():
         nonlocal parts
@@ -208,11 +209,16 @@ def blocks(text: str) -> Iterator[tuple[int, str, bool]]:
             lead += q.end()
             q = _QUOTE.match(line[lead:])
         item = _ITEM.match(line, lead)
-        if lead and not parts or item and item.end() < len(line) and not (parts and re.match(r"[ \t]*(?:\d{2,}|[a-z])[.)]", line[lead:])):
+        number = _NUMBER.match(line, lead) if item else None
+        if number and parts and not ordered and number[1] not in ("1", "a"):
+            item = None  # a wrapped number: only a list's first item can interrupt a paragraph
+        if lead and not parts or item and item.end() < len(line):
+            ordered = bool(number)
             yield from flush()
             lead = item.end() if item else lead
         if not parts:
             start, size = at, 0
+            ordered = ordered and item is not None
         parts.append(" " * lead + line[lead:] + text[at + len(line) : pos].replace("\r", " ").replace("\n", " "))
         size += 1
     yield from flush()

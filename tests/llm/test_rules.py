@@ -138,3 +138,16 @@ def test_hot_cells(spark):
     np.fill_diagonal(c, -2)
     want = {(i, j) for i in range(400) for j in np.argsort(-c[i])[:5]}
     assert len(want & {(r["ca"], r["cb"]) for r in rows}) >= 0.9 * len(want)
+
+
+def test_spread_values():
+    text = 'password = "Zq8vT4kL" + \\\n    "w2Rx9Bn6"\n'
+    spans = credentials.find(text, "python")
+    assert [s[0] >= 0 for s in spans] == [True, False] and "Rx9" not in credentials.redact(text, spans)
+    assert [s[0] for s in credentials.find("api_key: >-\n  Zq8vT4kLw2\n", "yaml")] == [15]
+    assert credentials.find("auth_token:\n  secretKeyRef: row\n", "yaml") == []
+
+
+def test_wrapped_number():
+    text = "Der Wert wurde am\n9. Mai entfernt. Neu.\n\n1. Eins\n2. Zwei"
+    assert [text[a:b] for a, b in sentences.ends(text, "de")] == ["Der Wert wurde am\n9. Mai entfernt.", "Neu.", "Eins", "Zwei"]
