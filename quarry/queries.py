@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -272,7 +271,8 @@ def content_hashes(s, d):
     return read(s, d, "documents").select("doc_id", S.content_hash(F.col("text")).alias("hash"), S.project_id(F.col("repo")).alias("project"))
 
 
-@query("SELECT substr(sha256(string_agg(doc_id || chr(0) || sha256(text), chr(10) ORDER BY doc_id || chr(0) || sha256(text))), 1, 16) AS fingerprint FROM documents")
+@query("""WITH b AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 3) || ':' || sha256(string_agg(doc_id || chr(0) || sha256(text), chr(10) ORDER BY doc_id || chr(0) || sha256(text))) AS part FROM documents GROUP BY substr(sha256(doc_id::VARCHAR), 1, 3))
+SELECT substr(sha256(string_agg(part, chr(10) ORDER BY part)), 1, 16) AS fingerprint FROM b""")
 def source_fingerprint(s, d):
     return K.fingerprint(read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), S.content_hash(F.col("text")).alias("hash")))
 
@@ -432,12 +432,12 @@ def interval_overlap(s, d):
     return R.keyed_range_join(a, b, "user_id", 3600).where("ea < eb").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {SYMBOLS}, y AS (SELECT DISTINCT filepath, name, line FROM symbols), r AS (SELECT row_number() OVER (ORDER BY filepath, name, line) AS ref_id, filepath, name, line + 5 AS line FROM y),
+@query(f"""WITH {SYMBOLS}, y AS (SELECT DISTINCT filepath, name, line FROM symbols), r AS (SELECT md5(filepath || ':' || name || ':' || line) AS ref_id, filepath, name, line + 5 AS line FROM y),
 g AS (SELECT name, count(*) AS n, min({{'f': filepath, 'l': line}}) AS o FROM y GROUP BY name), l AS (SELECT ref_id, min({{'d': abs(y.line - r.line), 'a': y.line}}) AS near FROM r JOIN y USING (filepath, name) GROUP BY 1)
 SELECT ref_id, CASE WHEN near IS NOT NULL THEN filepath WHEN n = 1 THEN o.f END AS target_path, CASE WHEN near IS NOT NULL THEN near.a WHEN n = 1 THEN o.l END AS target_line, (CASE WHEN n = 1 THEN 0.78 WHEN near IS NOT NULL THEN 0.58 END)::DOUBLE AS confidence FROM r LEFT JOIN l USING (ref_id) LEFT JOIN g USING (name)""")
 def precedence_join(s, d):
     y = symbols(s, d).select("filepath", "name", "line").distinct()
-    refs = y.withColumn("ref_id", F.row_number().over(W.orderBy("filepath", "name", "line"))).select("ref_id", "filepath", "name", (F.col("line") + 5).alias("line"))
+    refs = y.withColumn("ref_id", F.md5(F.concat_ws(":", "filepath", "name", F.col("line").cast("string")))).select("ref_id", "filepath", "name", (F.col("line") + 5).alias("line"))
     return R.resolve_by_precedence(refs, y)
 
 

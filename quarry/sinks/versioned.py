@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_path
@@ -88,9 +87,15 @@ def replaced(old: DataFrame, rows: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:
-    """(fingerprint) of a source tree: 16 hexadecimal digits over the sorted ``path NUL hash`` lines."""
-    lines = F.sort_array(F.collect_list(F.concat_ws("\0", path, digest)))
-    return files.agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 16).alias("fingerprint"))
+    """(fingerprint) of a source tree: 16 hexadecimal digits that change with any path or hash.
+
+    The sorted ``path NUL hash`` lines are hashed in 4096 buckets of the path's hash, then the
+    sorted bucket hashes, so that no task holds all files. An empty tree has the hash of the empty text.
+    """
+    bucket = F.substring(F.sha2(F.col(path), 256), 1, 3).alias("bucket")
+    lines = files.where(F.col(path).isNotNull()).groupBy(bucket).agg(F.sort_array(F.collect_list(F.concat_ws("\0", path, digest))).alias("lines"))
+    parts = lines.select(F.concat_ws(":", "bucket", F.sha2(F.array_join("lines", "\n"), 256)).alias("part"))
+    return parts.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("part")), "\n"), 256), 1, 16).alias("fingerprint"))
 
 
 def keep_snapshots(entries: list[tuple[str, int]], most: int, quota: int) -> list[str]:
@@ -113,4 +118,4 @@ def optimistic_upsert(old: DataFrame, change: DataFrame, cap: int = 500) -> Data
     joined = change.join(old.select("id", F.col("updated_at").alias("_have")), "id", "left")
     ok = joined.where(F.col("_have").isNull() | F.col("_have").eqNullSafe(F.col("expected"))).drop("_have", "expected")
     both = old.join(ok.select("id"), "id", "left_anti").unionByName(ok)
-    return both.withColumn("_r", F.row_number().over(W.orderBy(F.desc("updated_at"), "id"))).where(F.col("_r") <= cap).drop("_r")
+    return both.orderBy(F.desc("updated_at"), "id").limit(cap)
