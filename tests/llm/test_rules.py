@@ -144,7 +144,7 @@ def test_spread_values():
     text = 'password = "Zq8vT4kL" + \\\n    "w2Rx9Bn6"\n'
     spans = credentials.find(text, "python")
     assert [s[0] >= 0 for s in spans] == [True, False] and "Rx9" not in credentials.redact(text, spans)
-    assert [s[0] for s in credentials.find("api_key: >-\n  Zq8vT4kLw2\n", "yaml")] == [15]
+    assert [s[0] for s in credentials.find("api_key: >-\n  Zq8vT4kLw2\n", "yaml")] == [14]
     assert credentials.find("auth_token:\n  secretKeyRef: row\n", "yaml") == []
 
 
