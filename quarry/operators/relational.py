@@ -42,8 +42,7 @@ def match_nodes(nodes: DataFrame, query: str) -> DataFrame:
     first = nodes.where(ends).withColumn("tier", F.lit(1))
     second = nodes.where(holds & ~ends).orderBy("id").limit(20).withColumn("tier", F.lit(2))
     both = first.unionByName(second)
-    best = F.broadcast(both.agg(F.min("tier").alias("tier")))  # one row
-    return both.join(best, "tier", "left_semi").drop("tier")
+    return both.where(F.col("tier") == both.agg(F.min("tier")).scalar()).drop("tier")
 
 
 def smallest_span(spans: DataFrame, points: DataFrame, key: str, point: str = "line") -> DataFrame:

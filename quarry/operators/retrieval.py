@@ -124,12 +124,13 @@ def bm25(docs: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "
     hit = lengths.where(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false")
     if not terms:
         return docs.limit(0).select(key, F.lit(0.0).alias("score"))
-    joined = hit.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")  # one row of statistics
+    one = stats.select(F.struct("*").alias("s")).scalar()  # statistics of the whole table, as one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"t{i}"), F.col(f"d{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+        tf, df = F.col(f"t{i}"), one[f"d{i}"]
+        idf = F.log(1 + (one["n"] - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / one["avg"]))
+    joined = hit
     return top_k(joined.select(key, score.alias("score")), k, F.desc("score"), key)
 
 
