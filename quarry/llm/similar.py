@@ -6,8 +6,9 @@ order of the estimated chance that they hold a close vector (squared distances t
 Candidates of a cell are ranked by their exact cosine at once, so only the best leave a cell.
 
 Scale: equal vectors are one class before hashing, so a group of copies costs one row; m grows
-with the logarithm of the collection, so cells keep their size; a cell above ``cell_cap`` is cut
-into a grid of blocks that compares all of it, a very large one into finer cells first.
+with the logarithm of the collection up to MOST, so cells keep their size, and the tables and probes
+with m, so recall keeps too; a cell above ``cell_cap``, of any size, is cut into a grid of blocks
+that compares all of it.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 DIM = 64
 TABLES, PROBES, WIDTH = 3, 2, 1.5
+MOST = 12  # projections of a table; beyond it cells grow
+# Tables and probes at more than five projections: a pair of cosine 0.9 shares a cell with 0.93 or more.
+EFFORT = {6: (4, 2), 7: (5, 2), 8: (8, 2), 9: (10, 2), 10: (12, 2), 11: (10, 6), 12: (10, 6)}
 CELL_TARGET = 2000  # vectors that a cell should hold
 CELL_CAP = 20_000  # vectors above which a cell is cut
-GRID = 8  # blocks up to which a cell is compared as a whole; a larger one is hashed again, finer, first
 BUNDLE = 20_000  # rows that one call of the ranking function takes, about
 _SCALE = float(2**23 - 1)
 
@@ -104,8 +107,8 @@ def probe_cells(x: np.ndarray, table: int, m: int, width: float, probes: int, se
 
 
 def projections(n: int) -> int:
-    """Projections per table at which a cell holds about CELL_TARGET of ``n`` vectors."""
-    return int(np.clip(round(math.log(max(n, 1) / CELL_TARGET) / math.log(2.35)), 1, 20))
+    """Projections per table, MOST at most, at which a cell holds about CELL_TARGET of ``n`` vectors."""
+    return int(np.clip(round(math.log(max(n, 1) / CELL_TARGET) / math.log(2.35)), 1, MOST))
 
 
 def _hashed(classes: DataFrame, m: int, width: float, tables: int, probes: int, vectors: bool) -> DataFrame:
@@ -130,24 +133,6 @@ def _hashed(classes: DataFrame, m: int, width: float, tables: int, probes: int,
     return classes.select("cid", "vector").mapInArrow(run, "tbl int, cell long, own boolean, cid long" + (", v binary" if vectors else ""))
 
 
-def _finer(rows: DataFrame, m: int, width: float) -> DataFrame:
-    """The rows of too large cells under finer cells of their own, which are also asked by multiprobe."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unpack(batch.column("v").to_pylist()).astype(np.float64)
-            own, asked = probe_cells(x, 101, m, width, 2, seed=29)
-            cell, table = batch.column("cell").to_numpy(), batch.column("tbl").to_numpy()
-            home = batch.column("own").to_numpy(zero_copy_only=False)
-            for k, key in enumerate([own, *asked]):
-                new = _mix(np.stack([cell, table.astype(np.int64), key], axis=1), 7)
-                yield pa.RecordBatch.from_arrays([batch.column("tbl"), pa.array(new), pa.array(home & (k == 0)), batch.column("cid"), batch.column("v")], ["tbl", "cell", "own", "cid", "v"])
-
-    return rows.select("tbl", "cell", "own", "cid", "v").mapInArrow(run, "tbl int, cell long, own boolean, cid long, v binary")
-
-
 def _rank(min_cosine: float, keep: int):
     """The ``keep`` nearest indexed classes of each asking class of one block."""
 
@@ -229,18 +214,16 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 def class_neighbours(classes: DataFrame, n: int, k: int = 5, min_cosine: float = 0.9, cell_cap: int = CELL_CAP) -> DataFrame:
     """(ca, cb, cosine): for each class its ``k`` nearest other classes of at least ``min_cosine``. ``n`` is about the number of classes."""
     m = projections(n)
-    rows = _hashed(classes, m, WIDTH, TABLES, PROBES, True)
-    sizes = _hashed(classes, m, WIDTH, TABLES, 0, False).groupBy("tbl", "cell").count()
+    tables, probes = EFFORT.get(m, (TABLES, PROBES))
+    rows = _hashed(classes, m, WIDTH, tables, probes, True)
+    sizes = _hashed(classes, m, WIDTH, tables, 0, False).groupBy("tbl", "cell").count()
     hot = sizes.where(F.col("count") > cell_cap).select("tbl", "cell", F.ceil(F.col("count") / cell_cap).cast("int").alias("blocks"))
     # few cells, if any, are too large: at most n / cell_cap in a table
-    hint = F.broadcast if n * TABLES / cell_cap < 1_000_000 else (lambda x: x)
+    hint = F.broadcast if n * tables / cell_cap < 1_000_000 else (lambda x: x)
     marked = rows.join(hint(hot), ["tbl", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    fine = _finer(marked.where(F.col("blocks") > GRID), m + 10, WIDTH / 3)
-    fine_hot = fine.where("own").groupBy("tbl", "cell").count().where(F.col("count") > cell_cap).select("tbl", "cell", F.ceil(F.col("count") / cell_cap).cast("int").alias("blocks"))
-    fine = fine.join(hint(fine_hot), ["tbl", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = _in_blocks(marked.where(F.col("blocks") <= GRID)).unionByName(_in_blocks(fine))
+    cut = _in_blocks(marked)
     # whole cells in bundles, since a call for each of very many small cells would cost more than their work
-    bundles = max(1, n * TABLES * (PROBES + 1) // BUNDLE)
+    bundles = max(1, n * tables * (probes + 1) // BUNDLE)
     cut = cut.withColumn("bundle", F.pmod(F.xxhash64("tbl", "cell", "bi", "bq"), F.lit(bundles)))
     found = cut.groupBy("bundle").applyInPandas(_rank(min_cosine, k), "ca long, cb long, cosine double")
     # what one of two classes finds, the other has found too

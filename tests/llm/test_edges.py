@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 pytest.importorskip("quarry.llm")
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.llm import credentials, documented, handwritten, leaks, mixture, sentences, similar, splitting, validity
@@ -90,6 +91,28 @@ def test_similar_copies(spark):
     assert len(got) == 300 * 5 - 15 and {r["id_a"] for r in got} == {f"c{i:03d}" for i in range(5)}
 
 
+@pytest.mark.parametrize(("n", "cap", "least"), [(400, 20, 1.0), (1_900_000, 20_000, 0.9)])
+def test_similar_recall(spark, n, cap, least):
+    """A hot cell of many blocks is compared in full, and the projections of a large collection keep recall at cosine 0.9."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((400, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    if cap < 400:  # one group whose members are close to one centre, in cells of at least 160 = 8 blocks of 20
+        x = x[0] + 0.04 * z
+    else:
+        x = np.concatenate([x, 0.902 * x + np.sqrt(1 - 0.902**2) * z])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(c, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-c[i])[:1] if c[i, j] >= 0.9}
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cid long, vector array<float>")
+    got = {(r["ca"], r["cb"]) for r in similar.class_neighbours(classes, n, cell_cap=cap).select("ca", "cb").collect()}
+    assert len(want) >= 390 and len(want & got) >= least * len(want)
+
+
 def test_credentials(chunks):
     assert {(r["id"], r["line"]) for r in credentials.locate(chunks).collect()} == {("m", 1), ("n", 7)}
     out = {r["id"]: r for r in credentials.redacted(chunks).collect()}
