@@ -26,6 +26,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 8  # a pair of similarity 0.8 shares a band with 0.95, one of 0.9 with 0.9999
 DENSE = 80  # tokens of a line that people do not write
 MIN_TOKENS = 150  # shorter texts repeat by chance
+BLOCK = 2000  # shapes of a bucket's block
 FAMILY = 3  # files of one repository
 SPREAD = 3  # repositories
 
@@ -147,7 +148,7 @@ def shingles(mask: list[str]) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32))
 
 
-_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, bands array<long>"
+_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>"
 
 
 def profiled(parse_results: DataFrame) -> DataFrame:
@@ -162,14 +163,16 @@ def profiled(parse_results: DataFrame) -> DataFrame:
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
                 toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
                 verdict, share, n = marks(path, lang, text, toks)
-                shape, bands = None, None
+                shape, size, bands = None, None, None
                 if toks is not None and n >= MIN_TOKENS:
                     mask = masked(toks)
                     shape = np.uint64(xxhash.xxh64_intdigest("\x1f".join(mask))).astype(np.int64)
-                    sig = signature(shingles(mask)).reshape(BANDS, ROWS)
+                    codes = shingles(mask)
+                    size = len(codes)
+                    sig = signature(codes).reshape(BANDS, ROWS)
                     bands = [int(np.uint64(xxhash.xxh64_intdigest(bytes([k]) + row.tobytes())).astype(np.int64)) for k, row in enumerate(sig)]
-                rows.append((path, repo, lang, verdict, share, shape, bands))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FILE.split(", ")])
+                rows.append((path, repo, lang, verdict, share, shape, size, bands))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FILE.split(", ")]).astype({"shape": "Int64", "size": "Int32"})
 
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, _FILE)
 
@@ -197,23 +200,56 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (shape, other) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    both = candidates.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets")), "other")
+    return both.where(_jaccard("sets", "osets") >= SIMILARITY).select("shape", "other")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(shape, cluster): the smallest shape of the connected component of every shape that has a link (shape, other).
+
+    Least labels go over the links, then to the label's own label, until none changes.
+    """
+    both = links.unionByName(links.select(F.col("other").alias("shape"), F.col("shape").alias("other"))).distinct().checkpoint()
+    labels = both.groupBy("shape").agg(F.least("shape", F.min("other")).alias("cluster")).checkpoint()
+    while True:
+        near = both.join(labels.select(F.col("shape").alias("other"), "cluster"), "other").groupBy("shape").agg(F.min("cluster").alias("near"))
+        step = labels.join(near, "shape").select("shape", F.col("cluster").alias("was"), F.least("cluster", "near").alias("to"))
+        jump = labels.select(F.col("shape").alias("to"), F.col("cluster").alias("further"))
+        moved = step.join(jump, "to").select("shape", "was", F.least("to", "further").alias("cluster")).checkpoint()
+        labels = moved.select("shape", "cluster")
+        if moved.where("was <> cluster").isEmpty():
+            return labels
+
+
+def _in_buckets(banded: DataFrame) -> DataFrame:
+    """(shape, other), shape < other: pairs of one bucket, of different clusters and of sizes that allow SIMILARITY; a large bucket is met in salted blocks."""
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = banded.join(sizes, "band")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("shape"), F.col("blocks").cast("long")).cast("int"))
+    right = rows.select("band", F.col("shape").alias("other"), F.col("size").alias("osize"), F.col("cluster").alias("ocluster"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    fits = (F.col("shape") < F.col("other")) & (F.col("cluster") != F.col("ocluster")) & (F.least("size", "osize") >= SIMILARITY * F.greatest("size", "osize"))
+    return left.join(right, ["band", "salt"]).where(fits).select("shape", "other").distinct()
+
+
 def clusters(parse_results: DataFrame, files: DataFrame) -> DataFrame:
-    """(shape, cluster): each masked text with the representative of its verified cluster.
+    """(shape, cluster): each masked text with the smallest one of its verified cluster, itself if there is none.
 
-    Files with equal masked tokens are one shape first. In each band bucket the shapes are
-    compared with the bucket's smallest shape only, so a bucket of any size gives as many
-    candidates as it has rows; a shape's cluster is the smallest shape it was verified against, itself
-    if there is none.
+    Files with equal masked tokens are one shape first. Each shape is compared with the smallest one
+    of its band buckets; then all pairs of a bucket that this left in different clusters are compared,
+    so no link is lost and copies of one text cost one comparison. Clusters are connected components.
     """
-    shapes = files.where("shape IS NOT NULL").groupBy("shape").agg(F.first("bands").alias("bands"), F.min("filepath").alias("filepath"))
-    banded = shapes.select("shape", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("shape").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
-    links = banded.join(heads, "band").where(F.col("shape") != F.col("head")).select("shape", "head").distinct().checkpoint()
-    linked = links.select(F.explode(F.array("shape", "head")).alias("shape")).distinct()
-    sets = _shingle_sets(parse_results, shapes.join(linked, "shape", "left_semi").select("filepath", "shape")).checkpoint()
-    checked = links.join(sets, "shape").join(sets.select(F.col("shape").alias("head"), F.col("sets").alias("hsets")), "head").where(_jaccard("sets", "hsets") >= SIMILARITY)
-    best = checked.groupBy("shape").agg(F.min("head").alias("cluster"))
-    return shapes.select("shape").join(best, "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
+    shapes = files.where("shape IS NOT NULL").groupBy("shape").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("filepath").alias("filepath"))
+    banded = shapes.select("shape", "size", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("shape").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
+    banded = banded.join(shared, "band").checkpoint()
+    sets = _shingle_sets(parse_results, shapes.join(banded.select("shape").distinct(), "shape", "left_semi").select("filepath", "shape")).checkpoint()
+    stars = _verified(banded.where("shape <> head").select("shape", F.col("head").alias("other")).distinct(), sets).checkpoint()
+    first = components(stars)
+    rest = banded.join(first, "shape", "left").select("band", "shape", "size", F.coalesce("cluster", "shape").alias("cluster"))
+    links = stars.unionByName(_verified(_in_buckets(rest), sets))
+    return shapes.select("shape").join(components(links), "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
 
 
 def classified(parse_results: DataFrame) -> DataFrame:

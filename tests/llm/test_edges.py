@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import datetime
+import random
 
 import pytest
 
@@ -162,6 +163,33 @@ def test_handwritten(spark, parses):
     assert set(got.values()) == {"generated"}
 
 
+def test_handwritten_chain(spark):
+    """Files of which only neighbours are similar form one cluster, whichever comes first in a bucket."""
+    rng = random.Random(1)
+    signs = "if for return func switch case range go defer select + - * / % & | ^ < > ! = ( ) [ ] { } , ; :".split()
+    toks, rows = [rng.choice(signs) for _ in range(600)], []
+    for k in range(6):
+        toks[k * 80 : k * 80 + 30] = [rng.choice(signs) for _ in range(30)]
+        rows.append((f"r{k}", f"r{k}/a.go", None, "go", "\n".join(" ".join(toks[i : i + 20]) for i in range(0, 600, 20)), None, NOW))
+    got = {r["filepath"]: r["verdict"] for r in handwritten.classified(spark.createDataFrame(rows, PARSE)).collect()}
+    assert len(got) == 6 and set(got.values()) == {"vendored"}
+
+
+def test_handwritten_buckets(spark):
+    """A pair that fails against the smallest shape of its bucket is compared too, in buckets of several blocks as well."""
+    rows = [(k, 100, 7, k) for k in range(1, 8)] + [(8, 10, 7, 8)]
+    banded = spark.createDataFrame(rows, "shape long, size int, band long, cluster long")
+    want = {(a, b) for a in range(1, 8) for b in range(a + 1, 8)}
+    for block in (2000, 3):
+        old, handwritten.BLOCK = handwritten.BLOCK, block
+        try:
+            assert {tuple(r) for r in handwritten._in_buckets(banded).collect()} == want
+        finally:
+            handwritten.BLOCK = old
+    links = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(40, 30)], "shape long, other long")
+    assert {tuple(r) for r in handwritten.components(links).collect()} == {(k, 1) for k in range(1, 21)} | {(40, 30), (30, 30)}
+
+
 def test_validity(parses):
     got = {r["filepath"]: r["valid"] for r in validity.judged(parses).collect()}
     assert got == {"r/a.py": True, "r/b.py": False, "r/c.py": True, "r/e.py": True, "r/long.py": True, "r/empty.json": False}
