@@ -2,7 +2,7 @@
 
 Seeds are the rarest word 5-grams of the items by their count in the whole corpus: every window
 of ``min_run`` words of an item keeps its rarest one, so no run of that length can be missed.
-Seeds join corpus and items; a Smith-Waterman alignment of the two word lists scores each pair.
+For edited copies every gram is a seed. Seeds join corpus and items; a Smith-Waterman alignment of the two word lists scores each pair.
 """
 
 from __future__ import annotations
@@ -79,12 +79,14 @@ def align(a: list[str], b: list[str], match: int = 2, mismatch: int = -1, gap: i
     return best, at_a, at_b, longest
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN, every: bool = False) -> DataFrame:
     """(item_id, doc_id, score, share, longest_run) of every document that shares a rare seed with an item.
 
     Every pair with a common run of ``min_run`` or more words is among the rows. ``score`` is the
     alignment's score, ``share`` what it is of the item's perfect score. Null ids or texts and
-    items below ``min_run`` words give nothing; repeated rows count once.
+    items below ``min_run`` words give nothing; repeated rows count once. With ``every``, each
+    5-gram of an item that the corpus has is a seed, so that edited passages without a common run of
+    ``min_run`` words are aligned as well.
     """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
@@ -100,12 +102,16 @@ def leaks(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> Dat
     doc_grams = docs.select("doc_id", F.explode(grams("text")).alias("gram"))
     # only grams that an item has leave the scan; copies of a text are counted like others
     hits = doc_grams.join(hint(known), "gram", "left_semi").groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    frequency = hits.groupBy("gram").agg(F.sum("n").alias("df"))
-    window = W.partitionBy("item_id").orderBy("pos")
-    ranked = item_grams.join(frequency, "gram", "left").select("item_id", "pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))
-    # the rarest gram of each window of min_run words; a window with a gram that the corpus lacks occurs nowhere
-    rare = ranked.select("item_id", F.min(F.struct("df", "pos", "gram")).over(window.rowsBetween(0, span - 1)).alias("r"), "pos", F.max("pos").over(W.partitionBy("item_id")).alias("last"))
-    seeds = rare.where((F.col("pos") + span - 1 <= F.col("last")) & (F.col("r.df") > 0)).select("item_id", F.col("r.gram").alias("gram")).distinct()
+    if every:
+        long = item_grams.groupBy("item_id").agg(F.max("pos").alias("last")).where(F.col("last") + 1 >= span).select("item_id")
+        seeds = item_grams.join(long, "item_id", "left_semi").select("item_id", "gram").distinct()
+    else:
+        frequency = hits.groupBy("gram").agg(F.sum("n").alias("df"))
+        window = W.partitionBy("item_id").orderBy("pos")
+        ranked = item_grams.join(frequency, "gram", "left").select("item_id", "pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))
+        # the rarest gram of each window of min_run words; a window with a gram that the corpus lacks occurs nowhere
+        rare = ranked.select("item_id", F.min(F.struct("df", "pos", "gram")).over(window.rowsBetween(0, span - 1)).alias("r"), "pos", F.max("pos").over(W.partitionBy("item_id")).alias("last"))
+        seeds = rare.where((F.col("pos") + span - 1 <= F.col("last")) & (F.col("r.df") > 0)).select("item_id", F.col("r.gram").alias("gram")).distinct()
     candidates = hits.join(hint(seeds), "gram").select("doc_id", "item_id").distinct()
     texts = candidates.join(docs, "doc_id").join(hint(its), "item_id").select("item_id", "doc_id", "item", "text")
 
@@ -128,5 +134,5 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked_documents(documents: DataFrame, items: DataFrame, min_run: int = 8, min_share: float = 0.3) -> DataFrame:
     """(doc_id, n_items, items, best_share, longest_run): each document with leaked or edited passages and the items."""
-    rows = leaks(documents, items, min_run).where((F.col("longest_run") >= MIN_RUN) | (F.col("share") >= min_share))
+    rows = leaks(documents, items, min_run, every=True).where((F.col("longest_run") >= MIN_RUN) | (F.col("share") >= min_share))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("items"), F.max("share").alias("best_share"), F.max("longest_run").alias("longest_run"))

@@ -203,6 +203,17 @@ def test_leaks(docs, items):
     assert {r["doc_id"] for r in leaks.leaked_documents(docs, items).collect()} == {5, 6}
 
 
+def test_leaks_edited(spark):
+    """A copy with one word in seven changed is found, and also beside an unedited copy."""
+    text = [f"w{i}" for i in range(70)]
+    edited = [f"x{i}" if i % 7 == 3 else w for i, w in enumerate(text)]
+    items = spark.createDataFrame([(1, " ".join(text), "en", "s")], "item_id long, text string, lang string, suite string")
+    rows = [(1, " ".join(edited)), (2, " ".join(text)), (3, "nothing of the kind is said in this text at all")]
+    for some in (rows, [r for r in rows if r[0] != 2]):
+        got = leaks.leaked_documents(spark.createDataFrame(some, "doc_id long, text string"), items).collect()
+        assert {r["doc_id"] for r in got} == {r[0] for r in some if r[0] != 3}
+
+
 def test_mixture(docs, targets):
     got = {r["source"]: r for r in mixture.shares(docs, targets).collect()}
     assert set(got) == {"wiki", "forum", "glossary"} and not got["glossary"]["feasible"] and got["forum"]["feasible"]
