@@ -1,5 +1,6 @@
 """Each operator on nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
+import base64
 import datetime
 import random
 
@@ -122,6 +123,22 @@ def test_credentials(chunks):
     assert credentials.locate(chunks.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line",
+    ["mysqldump -uroot -pZq8vT4kLw2 shop", "redis-cli -a Zq8vT4kLw2", "redis-cli --pass Zq8vT4kLw2", *(f'{k} = "Zq8vT4kLw2Rx9Bn6"' for k in ("deploy_key", "deployKey", "storageKey", "storage-key", "master-key", "account-key", "auth", "key", "pass", "pw"))],
+)
+def test_credential_keywords(line):
+    """Each line that a rule matches reaches the rules."""
+    assert len(credentials.find(line, "shell")) == 1
+
+
+def test_credential_long():
+    """A token has no upper length."""
+    head = base64.urlsafe_b64encode(b'{"alg":"RS256","x5c":"' + b"Zq8vT4kL" * 400 + b'"}').decode().rstrip("=")
+    token = f"{head}.eyJ{'aB3dE5' * 1000}.{'xY7zW9' * 40}"
+    assert [(a, b, k) for _, a, b, k in credentials.find(f"x {token} y", None)] == [(2, 2 + len(token), "jwt")]
+
+
 def test_splitting(chunks, options):
     assert {(r["id"], r["line"]) for r in splitting.natural_cuts(chunks, options).where("line > 400").collect()} == {("q", 402)}
     rows = splitting.split(chunks, options).collect()
