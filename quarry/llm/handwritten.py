@@ -65,15 +65,32 @@ def leading_comments(toks: list[tuple[str, str, int]]) -> str:
     return "\n".join(out)
 
 
+def leading_lines(text: str) -> str:
+    """Comment lines before the first content of a text that is no code, and those of its first six lines."""
+    out, until = [], ""
+    for k, line in enumerate(text.split("\n")):
+        x = line.strip()
+        if until or re.match(r"#|//|<!--|;|/?\*", x):
+            out.append(line)
+            until = until or ("-->" if x.startswith("<!--") else "*/" if x.startswith("/*") else "")
+            until = "" if until in x else until
+        elif k >= 5 and x and not re.match(r"---|%YAML|<\?xml|<!doctype", x, re.I):
+            break
+        elif x and k < 5 and not re.match(r"---|%YAML|<\?xml|<!doctype", x, re.I):
+            out += [y for y in text.split("\n")[k + 1 : 6] if re.match(r"\s*(?:#|//|<!--|;|/?\*)", y)]
+            break
+    return "\n".join(out)
+
+
 def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str, int]] | None = None) -> tuple[str | None, float, int]:
     """(verdict by the file's own marks or None, share of literals among the code's characters, number of tokens)."""
     name = "/" + path.split("/", 1)[-1]
-    if _LOCK.search(path) or language in ("json", "yaml", "toml") and re.search(r"\"lockfileVersion\"\s*:|^lockfileVersion:|^# This file is automatically @generated by Cargo", text[:4000], re.M):
+    if _LOCK.search(path) or language in ("json", "yaml", "toml") and re.search(r"\"lockfileVersion\"\s*:|^lockfileVersion:|^# This file is automatically @generated by Cargo", text, re.M):
         return "generated", 0.0, 0
     if language not in CODE_LANGUAGES:
         if _VENDOR_DIR.search(name):
             return "vendored", 0.0, 0
-        head = "\n".join(x for x in text[:1500].split("\n")[:6] if re.match(r"\s*(?:#|//|<!--|;|/?\*)", x)) if language != "markdown" else ""
+        head = leading_lines(text) if language != "markdown" else ""
         return ("generated" if head and _GENERATED.search(head) and not _DENIED.search(head) else None), 0.0, 0
     toks = tokens(text, language) if toks is None else toks
     n = total = literal = real = line = packed = counted = 0

@@ -207,6 +207,15 @@ def test_handwritten_buckets(spark):
     assert {tuple(r) for r in handwritten.components(links).collect()} == {(k, 1) for k in range(1, 21)} | {(40, 30), (30, 30)}
 
 
+@pytest.mark.parametrize(("language", "text"), [
+    ("yaml", "# Licensed to all.\n" * 40 + "---\n# Code generated by x. DO NOT EDIT.\na: 1\n"), ("toml", "\n# Licence\n" * 9 + "# This file was generated by x.\na = 1\n"),
+    ("html", "<!--\n" + "licence\n" * 20 + "Code generated by x.\n-->\n<p>\n"), ("json", '{\n"dependencies": {' + '"a": 1,\n' * 2000 + '"b": 2},\n"lockfileVersion": 3}'),
+])
+def test_handwritten_late_notice(language, text):
+    assert handwritten.marks(f"r/deps.{language}", language, text)[0] == "generated"
+    assert handwritten.marks(f"r/a.{language}", language, "a: 1\n" * 9 + "# Code generated by x.\n")[0] is None
+
+
 def test_validity(parses):
     got = {r["filepath"]: r["valid"] for r in validity.judged(parses).collect()}
     assert got == {"r/a.py": True, "r/b.py": False, "r/c.py": True, "r/e.py": True, "r/long.py": True, "r/empty.json": False}
