@@ -21,11 +21,11 @@ from ..tables import clean_path, ensure_checkpoint_dir
 from .common import current_files, spread
 from .lexer import CODE_LANGUAGES, COMMENT, IDENT, NEWLINE, NUMBER, OP, STRING, tokens
 
-SHINGLE = 16  # masked tokens; five of them repeat in all code, and single statements are no sign of a family
+SHINGLE = 16  # masked tokens; five of them repeat in all code
+PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verified
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 8  # a pair of similarity 0.8 shares a band with 0.95, one of 0.9 with 0.9999
+BANDS, ROWS = 64, 10  # a pair of similarity 0.8 shares no band with 0.0007; few of 0.3 share one
 DENSE = 80  # tokens of a line that people do not write
-MIN_TOKENS = 150  # shorter texts repeat by chance
 BLOCK = 2000  # shapes of a bucket's block
 FAMILY = 3  # files of one repository
 SPREAD = 3  # repositories
@@ -132,7 +132,7 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of shingle codes: the least code of each of BANDS x ROWS bins, an empty bin taking the next full one's."""
+    """One-permutation MinHash of shingle codes: the least code of each of BANDS x ROWS bins, an empty bin taking that of the first full one in an order of its own."""
     bins = BANDS * ROWS
     with np.errstate(over="ignore"):
         h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -141,25 +141,32 @@ def signature(codes: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
     out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), h)
-    full = np.nonzero(out != np.iinfo(np.uint64).max)[0]
-    if len(full):
-        out = out[full[np.searchsorted(full, np.arange(bins)) % len(full)]]
+    full = out != np.iinfo(np.uint64).max
+    empty = np.nonzero(~full)[0]
+    if full.any() and len(empty):
+        out[empty] = out[_ORDER[empty, full[_ORDER[empty]].argmax(axis=1)]]
     return out
 
 
+# The bins from which an empty bin takes its code: the first full one in an order of its own.
+_ORDER = np.random.default_rng(1).permuted(np.tile(np.arange(BANDS * ROWS, dtype=np.int16), (BANDS * ROWS, 1)), axis=1)
+
+
 _CODES: dict[str, int] = {}
 
 
-def shingles(mask: list[str]) -> np.ndarray:
-    """Distinct 32-bit codes of the masked shingles of SHINGLE tokens, of the whole text."""
+def shingles(mask: list[str], size: int = SHINGLE) -> np.ndarray:
+    """Distinct 32-bit codes of the shingles of ``size`` tokens, of the whole text."""
     import xxhash
 
     if not mask:
         return np.zeros(0, np.uint32)
+    if len(_CODES) > 1_000_000:
+        _CODES.clear()
     ids = np.array([_CODES.get(t) or _CODES.setdefault(t, xxhash.xxh64_intdigest(t)) for t in mask], np.uint64)
-    n = max(1, len(ids) - SHINGLE + 1)
+    n = max(1, len(ids) - size + 1)
     h = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(ids))):
+    for k in range(min(size, len(ids))):
         h = (h * np.uint64(0x100000001B3)) ^ ids[k : k + n]
         h ^= h >> np.uint64(29)
     return np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32))
@@ -181,7 +188,7 @@ def profiled(parse_results: DataFrame) -> DataFrame:
                 toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
                 verdict, share, n = marks(path, lang, text, toks)
                 shape, size, bands = None, None, None
-                if toks is not None and n >= MIN_TOKENS:
+                if toks is not None and n:
                     mask = masked(toks)
                     shape = np.uint64(xxhash.xxh64_intdigest("\x1f".join(mask))).astype(np.int64)
                     codes = shingles(mask)
@@ -195,16 +202,20 @@ def profiled(parse_results: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(parse_results: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(shape, sets) of the files in ``wanted`` (filepath, shape): only candidates are read again for verification."""
+    """(shape, sets, plain), the masked and the plain shingles of the files in ``wanted`` (filepath, shape): only candidates are read again for verification."""
     own = parse_results.select("repo", "filepath", "language", "content", "parsed_at")
     files = current_files(own.join(wanted.select(F.col("filepath").alias("path")), clean_path(F.col("filepath")) == F.col("path"), "left_semi")).join(wanted, "filepath")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingles(masked(tokens(text, lang))).tobytes() for text, lang in zip(pdf["content"], pdf["language"], strict=True)]
-            yield pd.DataFrame({"shape": pdf["shape"], "sets": sets})
+            sets, plain = [], []
+            for text, lang in zip(pdf["content"], pdf["language"], strict=True):
+                toks = tokens(text, lang)
+                sets.append(shingles(masked(toks)).tobytes())
+                plain.append(shingles([t for k, t, _ in toks if k != COMMENT and k != NEWLINE], PLAIN).tobytes())
+            yield pd.DataFrame({"shape": pdf["shape"], "sets": sets, "plain": plain})
 
-    return files.select("shape", "language", "content").mapInPandas(run, "shape long, sets binary")
+    return files.select("shape", "language", "content").mapInPandas(run, "shape long, sets binary, plain binary")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -218,9 +229,9 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (shape, other) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    both = candidates.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets")), "other")
-    return both.where(_jaccard("sets", "osets") >= SIMILARITY).select("shape", "other")
+    """The pairs (shape, other) whose masked or plain shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    both = candidates.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
+    return both.where((_jaccard("sets", "osets") >= SIMILARITY) | (_jaccard("plain", "oplain") >= SIMILARITY)).select("shape", "other")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,12 +252,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _in_buckets(banded: DataFrame) -> DataFrame:
-    """(shape, other), shape < other: pairs of one bucket, of different clusters and of sizes that allow SIMILARITY; a large bucket is met in salted blocks."""
+    """(shape, other), shape < other: pairs of one bucket, of different clusters and of sizes not too far apart; a large bucket is met in salted blocks."""
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = banded.join(sizes, "band")
     left = rows.withColumn("salt", F.pmod(F.xxhash64("shape"), F.col("blocks").cast("long")).cast("int"))
     right = rows.select("band", F.col("shape").alias("other"), F.col("size").alias("osize"), F.col("cluster").alias("ocluster"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
-    fits = (F.col("shape") < F.col("other")) & (F.col("cluster") != F.col("ocluster")) & (F.least("size", "osize") >= SIMILARITY * F.greatest("size", "osize"))
+    fits = (F.col("shape") < F.col("other")) & (F.col("cluster") != F.col("ocluster")) & (F.least("size", "osize") >= SIMILARITY / 2 * F.greatest("size", "osize"))
     return left.join(right, ["band", "salt"]).where(fits).select("shape", "other").distinct()
 
 

@@ -216,6 +216,21 @@ def test_handwritten_late_notice(language, text):
     assert handwritten.marks(f"r/a.{language}", language, "a: 1\n" * 9 + "# Code generated by x.\n")[0] is None
 
 
+def test_handwritten_short_and_edited(spark):
+    """Copies of a short file, and copies with scattered edits, are vendored."""
+    rng = random.Random(2)
+    signs = "if for return func switch case range go defer select + - * / % & | ^ < > ! = ( ) [ ] { } , ; :".split()
+    base, rows = [rng.choice(signs) for _ in range(500)], []
+    for k in range(3):
+        toks = list(base)
+        for at in range(0, 500 * (k > 0), 100):
+            toks[at + 30 * k] = "fallthrough"
+        rows.append((f"r{k}", f"r{k}/edited.go", None, "go", "\n".join(" ".join(toks[i : i + 20]) for i in range(0, 500, 20)), None, NOW))
+        rows.append((f"r{k}", f"r{k}/short.go", None, "go", "package a\nfunc Get(x *T) int {\n\tif x != nil {\n\t\treturn x.v\n\t}\n\treturn 0\n}\n", None, NOW))
+    got = {r["filepath"]: r["verdict"] for r in handwritten.classified(spark.createDataFrame(rows, PARSE)).collect()}
+    assert len(got) == 6 and set(got.values()) == {"vendored"}
+
+
 def test_validity(parses):
     got = {r["filepath"]: r["valid"] for r in validity.judged(parses).collect()}
     assert got == {"r/a.py": True, "r/b.py": False, "r/c.py": True, "r/e.py": True, "r/long.py": True, "r/empty.json": False}
