@@ -1,7 +1,8 @@
 """Credentials in source code and configuration: where their values begin, and the text with the values blanked.
 
-A keyword automaton picks the lines that can hold a credential; issuer formats and key names
-find the value there; structure and placeholder tests decide; blanking keeps length and alphabet.
+A keyword automaton picks the lines that can hold a credential, and the literals that can begin a
+split one; issuer formats and key names find the value there; check digits, structure and
+placeholder tests decide; a value's placeholder keeps its length, its alphabet and its issuer's prefix.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import binascii
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +51,8 @@ KEYWORDS = [
     "xox", "xapp-", "sk_", "rk_", "pk_", "whsec_", "sk-", "aiza", "ya29.", "gocspx-", "sg.", "npm_", "pypi-", "hf_", "doo_v1_", "dop_v1_", "dor_v1_",
     "shpat_", "shpca_", "shppa_", "shpss_", "sq0", "eyj", "://", "bearer", "basic", "credential", "curl", *_WEAK_WORDS, *_COMMANDS,
 ]
+# Quoted beginnings of tokens that stand in two literals: "glpat-" + "...".
+_SPLIT = ["akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat", "xox", "sk", "rk", "sg", "npm", "hf", "aiza", "eyj"]
 _ISSUER = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in ISSUERS.items()) + r")(?![A-Za-z0-9_])")
 _WHOLE_ISSUER = re.compile("|".join(f"(?:{v})" for v in ISSUERS.values()))
 
@@ -95,11 +99,20 @@ _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 _IDENT = re.compile(r"[A-Za-z_]+(?:[._-][A-Za-z_]+)*$")
 
 
+def _masked(v: str) -> bool:
+    """A value that ``blank`` has written: no other letters and digits than those of one of its alphabets."""
+    m = _PREFIX.match(v)
+    body = re.sub(r"(?<![A-Za-z0-9])eyJ|[^A-Za-z0-9]", "", v[m.end() if m else 0 :])
+    return bool(re.fullmatch(r"[xX0]+|[aA0]{16,}|[A2]{12,}", body))
+
+
 def _blankable(value: str) -> bool:
     """A value is present: no placeholder, mask, reference or text."""
     v = value.strip()
     if len(v) < 4 or _PLACEHOLDER.match(v) or _REFERENCE.match(v) or " " in v or "\t" in v:
         return False
+    if _masked(v):
+        return False
     core = re.sub(r"^[A-Za-z]{2,6}[_-]|^(?:AKIA|ASIA)", "", v)
     return not re.fullmatch(r"[xX*.0_\-]+", core or "x") and len(set(v)) > 2
 
@@ -123,7 +136,17 @@ def checksum(token: str) -> bool | None:
 
 
 def structure(kind: str, token: str) -> bool:
-    """Structure of an issuer's token beyond its characters."""
+    """Structure of an issuer's token beyond its characters.
+
+    Check digits that hold prove a token. Those that fail do not refute it, since a token of an older
+    or self-hosted issue has none; it must then mix cases and digits as a random one does.
+    """
+    if _masked(token):
+        return False
+    proven = checksum(token)
+    if proven is not None:
+        body = token.split("_", 1)[1]
+        return proven or len(set(body)) >= 10 and all(re.search(c, body) for c in ("[a-z]", "[A-Z]", "[0-9]")) and not re.search(r"EXAMPLE|(.)\1{7}", token)
     if kind == "jwt":
         head = token.split(".", 1)[0]
         try:
@@ -140,9 +163,25 @@ def structure(kind: str, token: str) -> bool:
     return len(set(body)) >= 5 and not re.search(r"EXAMPLE|(.)\1{7}", token)
 
 
+# What issuers write before the random part of a token.
+_PREFIX = re.compile(r"AKIA|ASIA|AROA|AIDA|gh[pousr]_|github_pat_|gl[a-z]{2,5}-|xox[abeoprs]-|xapp-\d-|(?:sk|rk|pk)_(?:live|test|prod)_|whsec_|sk-(?:proj-|ant-[a-z0-9]+-)?|AIza|ya29\.|GOCSPX-|SG\.|npm_|pypi-|hf_|do[opr]_v1_|shp(?:at|ca|pa|ss)_|sq0(?:atp|csp)-")
+# The letters and the digit that stand for a value's, by its alphabet; the first alphabet that holds all its signs counts.
+_ALPHABETS = (
+    (re.compile(r"[0-9]+$"), "xX0"),
+    (re.compile(r"[0-9a-f]+$"), "aA0"),
+    (re.compile(r"[0-9A-F]+$"), "aA0"),
+    (re.compile(r"[A-Z2-7]+=*$"), "xA2"),
+)
+_KEPT = re.compile(r"(\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|%[0-9a-fA-F]{2}|(?<![A-Za-z0-9])eyJ)|[a-z]|[A-Z]|[0-9]")
+
+
 def blank(value: str) -> str:
-    """Same length, same alphabet: letters to x or X, digits to 0; escapes and other signs stay."""
-    return re.sub(r"(\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.))|[a-z]|[A-Z]|[0-9]", lambda m: m[1] or ("0" if m[0].isdigit() else "x" if m[0].islower() else "X"), value)
+    """Same length, same alphabet: an issuer's prefix, escapes and signs stay, letters and digits become one letter and digit of the value's own alphabet (hexadecimal, base32, else any)."""
+    prefix = _PREFIX.match(value)
+    at = prefix.end() if prefix else 0
+    body = value[at:]
+    low, up, digit = next((signs for p, signs in _ALPHABETS if p.match(body)), "xX0")
+    return value[:at] + _KEPT.sub(lambda m: m[1] or (digit if m[0].isdigit() else low if m[0].islower() else up), body)
 
 
 @lru_cache(maxsize=1)
@@ -151,7 +190,10 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     for word in KEYWORDS:
-        a.add_word(word, len(word))
+        a.add_word(word, 0)
+    for word in _SPLIT:
+        for quote in "\"'`":
+            a.add_word(quote + word, len(word) + 1)
     a.make_automaton()
     return a
 
@@ -188,11 +230,14 @@ def find(text: str, language: str | None) -> list[tuple[int, int, int, str]]:
     while at >= 0:
         starts.append(at + 1)
         at = text.find("\n", at + 1)
-    from bisect import bisect_right
-
-    for end, _ in _automaton().iter(low):
-        lines.add(bisect_right(starts, end) - 1)
-    pairs = [m for m in _PAIR.finditer(text) if re.match(r"(?:AKIA|ASIA|gh[pousr]_|glpat|xox|sk|rk|SG|npm|hf|AIza|eyJ)", m["a"])] if re.search(r"[\"'`](?:AKIA|ASIA|A|gh|glp|xo|sk|rk|SG|npm|hf|AI|eyJ)", text) else []
+    pairs = []
+    for end, size in _automaton().iter(low):
+        if size:
+            m = _PAIR.match(text, end - size + 1)
+            if m:
+                pairs.append(m)
+        else:
+            lines.add(bisect_right(starts, end) - 1)
     if not lines and not pairs:
         return []
     code = language in CODE_LANGUAGES
