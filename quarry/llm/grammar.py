@@ -2,17 +2,22 @@
 
 Each class accepts the statement and declaration forms of its language; operator
 precedence is left out because it doesn't decide membership. ``valid(text, lang)`` is the
-entry. Python and JSON use the interpreter's own parsers.
+entry. Python and JSON use the interpreter's own parsers, where these are deep enough.
 """
 
 from __future__ import annotations
 
 import ast
+import io
 import json
+import re
+import symtable
 import sys
+import tokenize
 import warnings
 from functools import lru_cache
 
+from . import jsx
 from .lexer import BAD, COMMENT, IDENT, NEWLINE, NUMBER, REGEX, STRING, tokens
 
 
@@ -64,6 +69,7 @@ class Parser:
         self.nl += [True] * 4
         self.i = 0
         self.undo: list[tuple[int, str]] = []
+        self.groups: dict[int, int] | None = None
 
     def prepare(self, toks):
         return toks
@@ -118,21 +124,29 @@ class Parser:
             at, text = self.undo.pop()
             self.t[at] = text
 
+    def behind(self) -> dict[int, int]:
+        """Index behind the bracket group that opens at an index, of every group that closes; one pass over the text."""
+        if self.groups is None:
+            self.groups, open_at = {}, []
+            for i, text in enumerate(self.t):
+                if self.k[i] == "o":
+                    if text in ("(", "[", "{"):
+                        open_at.append(i)
+                    elif text in (")", "]", "}"):
+                        if open_at and self.t[open_at[-1]] + text in ("()", "[]", "{}"):
+                            self.groups[open_at.pop()] = i + 1
+                        else:
+                            open_at.clear()  # none of them closes in order
+        return self.groups
+
     def skip_group(self):
-        """Over a bracket group, whatever it holds."""
-        pairs, stack = {"(": ")", "[": "]", "{": "}"}, []
-        while True:
-            text = self.t[self.i] if self.k[self.i] == "o" else ""
-            if self.k[self.i] == "e":
+        """Over a bracket group, whatever it holds, or over one token."""
+        at = self.behind().get(self.i)
+        if at is None:
+            if self.k[self.i] == "e" or self.k[self.i] == "o" and self.t[self.i] in ("(", "[", "{", ")", "]", "}"):
                 self.fail()
-            if text in pairs:
-                stack.append(pairs[text])
-            elif text in (")", "]", "}"):
-                if not stack or stack.pop() != text:
-                    self.fail()
-            self.i += 1
-            if not stack:
-                return
+            at = self.i + 1
+        self.i = at
 
     def after_group(self) -> int:
         """Index behind the bracket group at the current token."""
@@ -1946,29 +1960,107 @@ class CSharp(Managed):
 
 # ------------------------------------------------------------------ entry
 def _python(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            symtable.symtable(text, "", "exec")  # the interpreter's own parser, without a tree of objects
+            return True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass  # errors of scopes are no errors of syntax
+        try:
             ast.parse(text)
-        return True
-    except (SyntaxError, ValueError):
+            return True
+        except (SyntaxError, ValueError):
+            return False
+        except (RecursionError, MemoryError):
+            return _python_tokens(text)
+
+
+def _python_tokens(text: str) -> bool:
+    """For what is nested too deep for the interpreter's parser: tokens, indentation and brackets."""
+    toks = tokens(text, "python")
+    if any(t[0] == BAD for t in toks) or not balanced(toks):
         return False
-    except (RecursionError, MemoryError):
-        return True
+    try:
+        for _ in tokenize.generate_tokens(io.StringIO(text).readline):
+            pass
+    except (tokenize.TokenError, SyntaxError):
+        return False
+    return True
+
+
+def balanced(toks: list[tuple[str, str, int]]) -> bool:
+    """Whether the brackets of a text close in order; a stack of its own, so of any depth."""
+    stack = []
+    for kind, text, _ in toks:
+        if kind == "o":
+            if text in "([{":
+                stack.append(text)
+            elif text in ")]}" and (not stack or stack.pop() + text not in ("()", "[]", "{}")):
+                return False
+    return not stack
 
 
 def _no_constant(name: str):
     raise ValueError(name)
 
 
+_JSON = re.compile(r'[ \t\n\r]*(?:(?P<s>"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)|(?P<o>[{}\[\],:])|(?P<e>\Z))')
+
+
 def _json(text: str) -> bool:
     try:
-        json.loads(text.removeprefix("﻿"), parse_constant=_no_constant)
+        json.loads(text.removeprefix("\ufeff"), parse_constant=_no_constant)
         return True
     except ValueError:
         return False
     except RecursionError:
-        return True
+        return _json_deep(text.removeprefix("\ufeff"))
+
+
+def _json_deep(text: str) -> bool:
+    """JSON of any depth: a stack of open brackets and what may come next."""
+    stack: list[str] = []
+    want, at = "value", 0  # value, first (value or ]), key, firstkey (key or }), colon, next
+    while True:
+        m = _JSON.match(text, at)
+        if not m:
+            return False
+        at, kind, sign = m.end(), m.lastgroup, m["o"]
+        if kind == "e":
+            return want == "next" and not stack
+        if want in ("value", "first"):
+            if kind in ("s", "v"):
+                want = "next"
+            elif sign == "[":
+                stack.append("]")
+                want = "first"
+            elif sign == "{":
+                stack.append("}")
+                want = "firstkey"
+            elif sign == "]" and want == "first":
+                stack.pop()
+                want = "next"
+            else:
+                return False
+        elif want in ("key", "firstkey"):
+            if kind == "s":
+                want = "colon"
+            elif sign == "}" and want == "firstkey":
+                stack.pop()
+                want = "next"
+            else:
+                return False
+        elif want == "colon":
+            if sign != ":":
+                return False
+            want = "value"
+        elif sign == "," and stack:
+            want = "value" if stack[-1] == "]" else "key"
+        elif stack and sign == stack[-1]:
+            stack.pop()
+        else:
+            return False
 
 
 @lru_cache(maxsize=1)
@@ -1981,21 +2073,49 @@ def _parsers() -> dict[str, type[Parser]]:
 def valid(text: str, lang: str, toks: list[tuple[str, str, int]] | None = None) -> bool:
     """Whether ``text`` is syntactically valid in ``lang`` (one of lexer.CODE_LANGUAGES or json). ``toks`` are its tokens, if they are known.
 
-    An empty text is valid in every language but JSON and Go. Nesting too deep to follow counts as valid.
+    An empty text is valid in every language but JSON and Go. Depth is no limit: a text nested deeper
+    than the usual stack is checked for balanced brackets first and then parsed with a stack as deep as it needs.
+    JavaScript and TypeScript may hold JSX.
     """
+    if valid_plain(text, lang, toks):
+        return True
+    if lang in ("javascript", "typescript"):
+        other = jsx.plain(text)
+        return other is not None and _accepts(tokens(other, lang), lang)
+    return False
+
+
+def valid_plain(text: str, lang: str, toks: list[tuple[str, str, int]] | None = None) -> bool:
+    """As ``valid``, without JSX."""
     if lang == "python":
         return _python(text)
     if lang == "json":
         return _json(text)
-    if sys.getrecursionlimit() < 6000:
-        sys.setrecursionlimit(6000)
     if lang == "php" and text.strip() and "<?" not in text:
         return False
+    return _accepts(tokens(text, lang) if toks is None else toks, lang)
+
+
+def _accepts(toks: list[tuple[str, str, int]], lang: str) -> bool:
+    usual = max(6000, sys.getrecursionlimit())
+    sys.setrecursionlimit(usual)
     try:
-        parser = _parsers()[lang](tokens(text, lang) if toks is None else toks)
+        return _parses(toks, lang)
+    except RecursionError:
+        if not balanced(toks):
+            return False
+        # calls between Python functions take no space of the native stack
+        sys.setrecursionlimit(usual + 40 * len(toks))
+        try:
+            return _parses(toks, lang)
+        finally:
+            sys.setrecursionlimit(usual)
+
+
+def _parses(toks: list[tuple[str, str, int]], lang: str) -> bool:
+    try:
+        parser = _parsers()[lang](toks)
         parser.file()
         return parser.k[parser.i] == "e"
     except Reject:
         return False
-    except RecursionError:
-        return True

@@ -43,18 +43,24 @@ def ranking(text: str) -> list[str]:
     return sorted(score, key=lambda x: (-score[x], x))
 
 
-# Ruby and JavaScript accept much that is neither: a foreign parse must also be backed by the ranking.
-_BACKED = 4
+# Grammars that accept much that is neither: a foreign parse by one of these counts only if the text looks more like it than like its own language.
+_LENIENT = ("ruby", "json")
 
 
 def verdict(text: str, language: str) -> tuple[bool, str | None]:
-    """(valid in its language, language whose grammar accepts it instead or None)."""
+    """(valid in its language, language whose grammar accepts it instead or None).
+
+    A text that its own grammar accepts is settled; one that fails meets every other grammar, best rank first.
+    """
     if valid(text, language):
         return True, None
     if not text.strip():
         return False, None
-    for k, other in enumerate(ranking(text)):
-        if other != language and k < (_BACKED if other in ("ruby", "json") else len(SCOPE)) and valid(text, other):
+    own = False
+    for other in ranking(text):
+        if other == language:
+            own = True
+        elif not (own and other in _LENIENT) and valid(text, other):
             return False, other
     return False, None
 
