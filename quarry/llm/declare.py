@@ -98,6 +98,7 @@ class _Scan:
                         line += 1
                         code[line] = 1
         self.n = len(self.toks)
+        self.contract = False  # the place is directly in an interface, where methods need no body and no modifier
 
     def text(self, i: int) -> str:
         return self.toks[i][1] if i < self.n else ""
@@ -263,6 +264,11 @@ class _Scan:
         return "function", k, end, True
 
     def f_go(self, j, mods):
+        if self.contract:
+            k = self.group(j + 1) if self.kind(j) == IDENT and self.text(j + 1) == "(" else -1
+            while 0 < k < self.n and self.line_of[k] == self.line_of[k - 1]:
+                k = self.group(k) if self.text(k) in ("(", "[") else k + 1
+            return ("method", j, k, False) if k > 0 else None
         if self.text(j) == "type" and self.kind(j + 1) == IDENT:
             k = j + 2
             if self.text(k) == "[":
@@ -354,12 +360,14 @@ class _Scan:
         if text in _NO_NAME or self.kind(j) != IDENT:
             return None
         k = j + 1
+        if self.contract and self.text(k) == "?":
+            k += 1
         if self.text(k) == "<":
             k = self.angles(k)
         if k < 0 or self.text(k) != "(":
             return None
         got = self.rest(j, self.group(k), "method")
-        return got if got and (got[3] or "abstract" in mods) else None
+        return got if got and (got[3] or "abstract" in mods or self.contract) else None
 
     f_typescript = f_javascript
 
@@ -415,7 +423,7 @@ class _Scan:
         text = self.text(k)
         if text == "{" or text == "=>" and self.lang == "csharp":
             return "method", name, k + 1, True
-        if text == ";" and not ctor and mods - {"new", "async"}:
+        if text == ";" and not ctor and (self.contract or mods - {"new", "async"}):
             return "method", name, k + 1, False
         return None
 
@@ -432,10 +440,10 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
     s = _Scan(src, lang, toks)
     out: list[Declaration] = []
     depth = 0  # of round and square brackets
-    stack: list[tuple[str, int]] = []  # owners: (name, brace depth or indentation)
+    stack: list[tuple[str, int, bool]] = []  # owners: (name, brace depth or indentation, is an interface)
     braces = 0
     outer: list[int] = []  # bracket depth around each open brace
-    pending: str | None = None
+    pending: tuple[str, bool] | None = None
     opens = -1
     i = 0
     done, heads = -1, _HEADS.get(lang)
@@ -453,7 +461,8 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
                     s.annotated[x] = 1
                 j = k
             word = s.text(j)
-            got = s.header(j) if (word in heads if heads else word not in _STATEMENTS) else None
+            s.contract = bool(stack) and stack[-1][2] and stack[-1][1] == braces
+            got = s.header(j) if (s.contract or word in heads if heads else word not in _STATEMENTS) else None
             if got:
                 done = j  # behind annotations the header stands on a line of its own
                 what, name, end, bodied = got
@@ -484,9 +493,9 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
                 out.append(Declaration(what2, label, owner, s.line_of[name] if name >= 0 else begin, top, s.toks[j][2], stop, bodied, tuple(texts), doc))
                 if what == "type" and bodied:
                     if indented:
-                        stack.append((label, at - s.lines.starts[line - 1]))
+                        stack.append((label, at - s.lines.starts[line - 1], False))
                     else:
-                        pending, opens = label, end - 1
+                        pending, opens = (label, "interface" in (s.text(name - 1), s.text(end - 1), s.text(end - 2)) or lang == "rust" and s.text(name - 1) == "trait"), end - 1
             if j > i and not got:
                 skip = j
                 continue
@@ -498,7 +507,7 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
             elif text == "{":
                 braces += 1
                 if pending is not None and i >= opens:
-                    stack.append((pending, braces))
+                    stack.append((pending[0], braces, pending[1]))
                     pending = None
                 outer.append(depth)
                 depth = 0
