@@ -2,8 +2,9 @@
 
 Identifier-masked token shingles are clustered by MinHash banding, and each candidate is verified
 by the Jaccard similarity of the shingle sets. A verified family within one repository indicates
-generation, a cluster over repositories vendoring, a cluster of literals alone a blob. Marks of
-single files (generator headers, upstream notices, third-party folders, dense lines) decide where a file stands alone.
+generation, a cluster over repositories whose files share their names too vendoring, a cluster of
+literals alone a blob. Marks of single files (generator headers, upstream notices, third-party folders,
+dense lines) decide where a file stands alone, as most such files do.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from .lexer import CODE_LANGUAGES, COMMENT, IDENT, NEWLINE, NUMBER, OP, STRING,
 SHINGLE = 16  # masked tokens; five of them repeat in all code
 PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verified
 SIMILARITY = 0.8
-BANDS, ROWS = 64, 10  # a pair of similarity 0.8 shares no band with 0.0007; few of 0.3 share one
+BANDS, ROWS = 32, 7  # a pair of similarity 0.8 shares no band with 0.0005; of those of 0.3 0.007 share one
+SKETCH = 32  # values of the sketch of plain shingles by which a cluster over repositories is told from look-alikes
+AGREE = 0.82  # mean share of a cluster's files that have the most frequent value: 0.89 in copies of pairwise similarity 0.8, 0.73 at 0.55
+SMALL = 500_000  # rows of keys up to which a side is broadcast: 20 MB at most
 DENSE = 80  # tokens of a line that people do not write
 BLOCK = 2000  # shapes of a bucket's block
 FAMILY = 3  # files of one repository
@@ -32,17 +36,17 @@ SPREAD = 3  # repositories
 
 # What generators write at the top of their output.
 _GENERATED = re.compile(
-    r"""code\ generated\ (?:by|from)|\b(?:auto-?|automatically\ |machine[- ])(?:generated|written|produced|created)\b|@generated\b|<auto-?generated|\bgenerated\ (?:source|file|code|by|from|automatically|output|on\ build|class|with)\b|this\ (?:file|code|class|module)\ (?:was|is|has\ been)\ (?:auto\w*\ |automatically\ )?(?:generated|produced|written|created|emitted)\ (?:by|from|with)
+    r"""code\ generated\ (?:by|from)|\b(?:auto-?|automatically\ |machine[- ])(?:generated|written|produced|created)\b|@generated\b|<auto-?generated|(?:^\W*|\b(?:is|was|are|been|automatically|auto)\ )generated\ (?:source|file|code|by|from|automatically|output|on\ build|class|with)\b|this\ (?:file|code|class|module)\ (?:was|is|has\ been)\ (?:auto\w*\ |automatically\ )?(?:generated|produced|written|created|emitted)\ (?:by|from|with)
       |do\ not\ (?:edit|modify|change|touch|hand-?edit|alter)\b|don'?t\ (?:edit|modify)\b|edits?\ (?:will|to\ this\ file\ will)\ be\ (?:lost|overwritten)|changes?\ (?:will\ be|made\ here\ (?:will|are)|is|are)\ (?:lost|overwritten|discarded)|any\ manual\ changes?|regenerate\ (?:with|using|by|this)|output\ of\ (?:the\ )?[\w-]+(?:\ [\w-]+)?\ (?:engine|compiler|generator|template)|written\ by\ [\w-]+(?:-compiler|-gen|-generator)|generated\ by\ [\w.-]+""",
-    re.I | re.X,
+    re.I | re.X | re.M,
 )
 _DENIED = re.compile(r"""["'`‘“][^"'`’”\n]{0,80}generated|(?:not|never|isn't|hand[- ]?written|says?|said|reads?|text|report)\W+(?:\w+\W+){0,4}(?:auto)?(?:generated|produced|written)|generated\s+(?:method|constructor|catch|function|getter|setter)?\s*(?:stub|block)|on purpose""", re.I)
 # File names that only generators give.
 _GENERATED_NAME = re.compile(r"\.pb\.(?:go|cc|h|rb|swift)$|_pb2(?:_grpc)?\.pyi?$|_pb\.(?:js|ts|d\.ts|rb)$|\.generated\.\w+$|\.g(?:\.i)?\.(?:cs|dart|ts|java)$|\.designer\.(?:cs|vb)$|(?:^|/)zz_[\w.]*(?:generated|deepcopy)[\w.]*\.go$|_gen\.go$|\.gen\.(?:go|ts|rs)$|_generated\.(?:go|rs|ts|py|rb)$|(?:^|/)__generated__/|\.xaml\.cs$|_mock\.go$|\.freezed\.dart$", re.I)
 # Lock files of package managers.
 _LOCK = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|bun\.lockb?|composer\.lock|cargo\.lock|gemfile\.lock|poetry\.lock|pdm\.lock|uv\.lock|pipfile\.lock|packages\.lock\.json|go\.sum|mix\.lock|pubspec\.lock|podfile\.lock|flake\.lock|paket\.lock|gradle\.lockfile|\.terraform\.lock\.hcl)$", re.I)
-# Folders that hold other projects' code.
-_VENDOR_DIR = re.compile(r"/(?:vendor|vendors|vendored|third[-_]?party|3rdparty|node_modules|bower_components|jspm_packages|pods|carthage/(?:build|checkouts)|deps|external|externals|extern|ext|thirdparty|site-packages|godeps|_vendor)/", re.I)
+# Folders that hold other projects' code. Names that own code uses as well count only above a library's folder.
+_VENDOR_DIR = re.compile(r"/(?:vendor|vendors|vendored|third[-_]?party|3rdparty|node_modules|bower_components|jspm_packages|pods|carthage/(?:build|checkouts)|thirdparty|site-packages|godeps|_vendor)/|/(?:deps|external|externals|extern|ext)/[^/]+/", re.I)
 _VENDOR = re.compile(r"\b(?:bundled|vendored|verbatim|local|private|embedded|modified|unmodified)\s+(?:copy|version)\s+of\b|\b(?:copied|taken|imported|vendored|ported|pulled|mirrored|synced)\s+(?:\w+\s+){0,3}from\s+(?:upstream|https?:|the\s+[\w-]+\s+(?:project|library|repository))|\bupstream\s+(?:release|version|project|source|repository|commit)\b|\b(?:library|package|module),?\s+version\s+\d|\bv?\d+\.\d+\.\d+\b[^\n]{0,30}\b(?:licen[cs]ed?|license)\b|@(?:license|preserve)\b[^\n]*\bv?\d+\.\d+|\bimported\s+unchanged\b", re.I)
 
 
@@ -54,6 +58,11 @@ def masked(toks: list[tuple[str, str, int]]) -> list[str]:
     return [_MASK.get(k) or t for k, t, _ in toks if k != COMMENT and k != NEWLINE]
 
 
+def plain(toks: list[tuple[str, str, int]]) -> list[str]:
+    """Tokens as they are; comments and line ends left out."""
+    return [t for k, t, _ in toks if k != COMMENT and k != NEWLINE]
+
+
 def leading_comments(toks: list[tuple[str, str, int]]) -> str:
     """Comments before the first code, where generators and vendors put their notice."""
     out = []
@@ -172,11 +181,31 @@ def shingles(mask: list[str], size: int = SHINGLE) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32))
 
 
-_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>"
+_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>, sketch array<int>"
+
+
+def band_keys(codes: np.ndarray) -> list[int]:
+    """A 64-bit key of each band of the signature."""
+    sig = signature(codes).reshape(BANDS, ROWS)
+    with np.errstate(over="ignore"):
+        key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(ROWS):
+            key = (key ^ sig[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(31)
+    return key.view(np.int64).tolist()
+
+
+def sketch(codes: np.ndarray) -> list[int]:
+    """The least of SKETCH orders of the codes each: two sets agree in as many values as their similarity says."""
+    with np.errstate(over="ignore"):
+        h = (codes.astype(np.uint64)[:, None] + np.uint64(1)) * (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h.min(axis=0) >> np.uint64(33)).astype(np.int32).tolist()
 
 
 def profiled(parse_results: DataFrame) -> DataFrame:
-    """One row per file: its own marks, and for code of enough tokens the hash of its masked tokens and the band keys."""
+    """One row per file: its own marks, and for code with tokens the hash of its masked tokens, the band keys and the sketch."""
     files = current_files(parse_results).where(F.col("content") != "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,33 +216,41 @@ def profiled(parse_results: DataFrame) -> DataFrame:
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
                 toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
                 verdict, share, n = marks(path, lang, text, toks)
-                shape, size, bands = None, None, None
-                if toks is not None and n:
+                shape, size, bands, near = None, None, None, None
+                if toks:
                     mask = masked(toks)
-                    shape = np.uint64(xxhash.xxh64_intdigest("\x1f".join(mask))).astype(np.int64)
-                    codes = shingles(mask)
-                    size = len(codes)
-                    sig = signature(codes).reshape(BANDS, ROWS)
-                    bands = [int(np.uint64(xxhash.xxh64_intdigest(bytes([k]) + row.tobytes())).astype(np.int64)) for k, row in enumerate(sig)]
-                rows.append((path, repo, lang, verdict, share, shape, size, bands))
+                    if mask:
+                        shape = np.uint64(xxhash.xxh64_intdigest("\x1f".join(mask))).astype(np.int64)
+                        codes = shingles(mask)
+                        size = len(codes)
+                        bands = band_keys(codes)
+                        near = sketch(shingles(plain(toks), PLAIN))
+                rows.append((path, repo, lang, verdict, share, shape, size, bands, near))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FILE.split(", ")]).astype({"shape": "Int64", "size": "Int32"})
 
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, _FILE)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of keys, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _shingle_sets(parse_results: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(shape, sets, plain), the masked and the plain shingles of the files in ``wanted`` (filepath, shape): only candidates are read again for verification."""
+    """(shape, sets, plain), the masked and the plain shingles of the files in ``wanted`` (filepath, shape; checkpointed): only candidates are read again for verification."""
     own = parse_results.select("repo", "filepath", "language", "content", "parsed_at")
-    files = current_files(own.join(wanted.select(F.col("filepath").alias("path")), clean_path(F.col("filepath")) == F.col("path"), "left_semi")).join(wanted, "filepath")
+    few = _small(wanted)
+    paths = _small(wanted.select(F.col("filepath").alias("path")))
+    files = current_files(own.join(paths, clean_path(F.col("filepath")) == F.col("path"), "left_semi")).join(few, "filepath")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets, plain = [], []
+            sets, named = [], []
             for text, lang in zip(pdf["content"], pdf["language"], strict=True):
                 toks = tokens(text, lang)
                 sets.append(shingles(masked(toks)).tobytes())
-                plain.append(shingles([t for k, t, _ in toks if k != COMMENT and k != NEWLINE], PLAIN).tobytes())
-            yield pd.DataFrame({"shape": pdf["shape"], "sets": sets, "plain": plain})
+                named.append(shingles(plain(toks), PLAIN).tobytes())
+            yield pd.DataFrame({"shape": pdf["shape"], "sets": sets, "plain": named})
 
     return files.select("shape", "language", "content").mapInPandas(run, "shape long, sets binary, plain binary")
 
@@ -268,38 +305,53 @@ def clusters(parse_results: DataFrame, files: DataFrame) -> DataFrame:
     of its band buckets; then all pairs of a bucket that this left in different clusters are compared,
     so no link is lost and copies of one text cost one comparison. Clusters are connected components.
     """
-    shapes = files.where("shape IS NOT NULL").groupBy("shape").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("filepath").alias("filepath"))
-    banded = shapes.select("shape", "size", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("shape").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
-    banded = banded.join(shared, "band").checkpoint()
-    sets = _shingle_sets(parse_results, shapes.join(banded.select("shape").distinct(), "shape", "left_semi").select("filepath", "shape")).checkpoint()
+    coded = files.where("shape IS NOT NULL").select("shape", "size", "filepath", F.explode("bands").alias("band"))
+    # copies of one text are one value on either side, so that they are counted before anything moves
+    shared = coded.groupBy("band").agg(F.min("shape").alias("head"), F.max("shape").alias("last")).where("head <> last").select("band", "head").checkpoint()
+    banded = coded.join(_small(shared), "band").groupBy("shape", "size", "band", "head").agg(F.min("filepath").alias("filepath")).checkpoint()
+    wanted = banded.groupBy("shape").agg(F.min("filepath").alias("filepath")).select("filepath", "shape").checkpoint()
+    banded = banded.drop("filepath")
+    sets = _shingle_sets(parse_results, wanted).checkpoint()
     stars = _verified(banded.where("shape <> head").select("shape", F.col("head").alias("other")).distinct(), sets).checkpoint()
     first = components(stars)
     rest = banded.join(first, "shape", "left").select("band", "shape", "size", F.coalesce("cluster", "shape").alias("cluster"))
     links = stars.unionByName(_verified(_in_buckets(rest), sets))
-    return shapes.select("shape").join(components(links), "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
+    return files.where("shape IS NOT NULL").select("shape").distinct().join(components(links), "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
+
+
+def _agreeing(known: DataFrame) -> DataFrame:
+    """(cluster) of those whose files share their plain shingles, not their shape alone: in the mean over the sketch, AGREE of the files have the most frequent value."""
+    values = known.select("cluster", F.posexplode("sketch").alias("at", "value")).groupBy("cluster", "at", "value").count()
+    top = values.groupBy("cluster", "at").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+    return top.groupBy("cluster").agg(F.avg(F.col("top") / F.col("n")).alias("agree")).where(F.col("agree") >= AGREE).select("cluster")
 
 
-def classified(parse_results: DataFrame) -> DataFrame:
+def classified(parse_results: DataFrame, use_marks: bool = True) -> DataFrame:
     """(filepath, repo, language, verdict) of every current file.
 
     ``verdict`` is generated, minified, vendored, data, or hand-written. A file without a mark of
     its own takes that of its cluster: a family of FAMILY or more files in its repository is
-    generated, a cluster over SPREAD or more repositories vendored (generated where most of its marked
-    files are), one of literals alone data. Files without content give no row.
+    generated, a cluster over SPREAD or more repositories whose files share their names vendored
+    (generated where most of its marked files are), one of literals alone data. Files without content
+    give no row. Without ``use_marks`` the clusters alone decide.
     """
     ensure_checkpoint_dir(parse_results.sparkSession)
     files = profiled(parse_results).checkpoint()
-    known = files.where("shape IS NOT NULL").join(clusters(parse_results, files), "shape").select("filepath", "cluster", "repo", "verdict", "literal")
+    if not use_marks:
+        files = files.withColumn("verdict", F.lit(None).cast("string"))
+    named = clusters(parse_results, files)
+    known = files.where("shape IS NOT NULL").join(named, "shape").select("filepath", "cluster", "repo", "verdict", "literal", "sketch")
     in_repo = known.groupBy("cluster", "repo").agg(F.count(F.lit(1)).alias("family"), F.avg("literal").alias("l"), F.count_if(F.col("verdict") == "generated").alias("g"), F.count_if(F.col("verdict") == "vendored").alias("v"))
-    overall = in_repo.groupBy("cluster").agg(F.max("family").alias("family"), F.count(F.lit(1)).alias("repos"), F.avg("l").alias("l"), F.sum("g").alias("g"), F.sum("v").alias("v"))
+    overall = in_repo.groupBy("cluster").agg(F.max("family").alias("family"), F.count(F.lit(1)).alias("repos"), F.avg("l").alias("l"), F.sum("g").alias("g"), F.sum("v").alias("v")).where((F.col("family") > 1) | (F.col("repos") > 1)).checkpoint()
+    wide = overall.where(F.col("repos") >= SPREAD).select("cluster")
+    copies = _agreeing(known.join(wide, "cluster", "left_semi")).withColumn("copied", F.lit(True))
     sign = (
         F.when((F.col("l") >= 0.85) & (F.col("repos") + F.col("family") > 2), "data")
         .when((F.col("repos") >= SPREAD) & (F.col("g") >= F.col("v")) & (F.col("g") > 0), "generated")
-        .when(F.col("repos") >= SPREAD, "vendored")
+        .when((F.col("repos") >= SPREAD) & F.col("copied"), "vendored")
         .when(F.col("family") >= FAMILY, "generated")
     )
-    by_cluster = overall.select("cluster", sign.alias("sign")).where("sign IS NOT NULL")
+    by_cluster = overall.join(copies, "cluster", "left").select("cluster", sign.alias("sign")).where("sign IS NOT NULL")
     signs = known.select("filepath", "cluster").join(by_cluster, "cluster").select("filepath", "sign")
     return files.select("filepath", "repo", "language", "verdict").join(signs, "filepath", "left").select("filepath", "repo", "language", F.coalesce("verdict", "sign", F.lit("hand-written")).alias("verdict"))
 
