@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ SHINGLE = 16  # masked tokens; five of them repeat in all code
 PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verified
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 7  # a pair of similarity 0.8 shares no band with 0.0005; of those of 0.3 0.007 share one
+NEAR, LOOKS = 64, 0.6  # values of the sketch of masked shingles, and the share of agreeing values below which a pair is not verified: 0.0001 of the pairs of 0.8 lie below
 SKETCH = 32  # values of the sketch of plain shingles by which a cluster over repositories is told from look-alikes
 AGREE = 0.82  # mean share of a cluster's files that have the most frequent value: 0.89 in copies of pairwise similarity 0.8, 0.73 at 0.55
 SMALL = 500_000  # rows of keys up to which a side is broadcast: 20 MB at most
@@ -161,27 +162,41 @@ def signature(codes: np.ndarray) -> np.ndarray:
 _ORDER = np.random.default_rng(1).permuted(np.tile(np.arange(BANDS * ROWS, dtype=np.int16), (BANDS * ROWS, 1)), axis=1)
 
 
-_CODES: dict[str, int] = {}
+class _Codes(dict):
+    """64-bit codes of the tokens that this worker has seen."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[token] = xxhash.xxh64_intdigest(token) - (1 << 63)
+        return code
+
+
+_CODES = _Codes()
 
 
 def shingles(mask: list[str], size: int = SHINGLE) -> np.ndarray:
     """Distinct 32-bit codes of the shingles of ``size`` tokens, of the whole text."""
-    import xxhash
+    return np.unique(shingle_codes(mask, size))
 
+
+def shingle_codes(mask: list[str], size: int) -> np.ndarray:
+    """The codes of all shingles, in order."""
     if not mask:
         return np.zeros(0, np.uint32)
-    if len(_CODES) > 1_000_000:
-        _CODES.clear()
-    ids = np.array([_CODES.get(t) or _CODES.setdefault(t, xxhash.xxh64_intdigest(t)) for t in mask], np.uint64)
+    ids = np.fromiter(map(_CODES.__getitem__, mask), np.int64, len(mask)).view(np.uint64)
     n = max(1, len(ids) - size + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(size, len(ids))):
-        h = (h * np.uint64(0x100000001B3)) ^ ids[k : k + n]
+        h *= np.uint64(0x100000001B3)
+        h ^= ids[k : k + n]
         h ^= h >> np.uint64(29)
-    return np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32))
+    return (h ^ (h >> np.uint64(32))).astype(np.uint32)
 
 
-_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>, sketch array<int>"
+_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>, near array<tinyint>, sketch array<tinyint>"
 
 
 def band_keys(codes: np.ndarray) -> list[int]:
@@ -195,13 +210,13 @@ def band_keys(codes: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def sketch(codes: np.ndarray) -> list[int]:
-    """The least of SKETCH orders of the codes each: two sets agree in as many values as their similarity says."""
+def sketch(codes: np.ndarray, size: int) -> list[int]:
+    """Eight bits of the least of ``size`` orders of the codes each: two sets agree in as many values as their similarity says."""
     with np.errstate(over="ignore"):
-        h = (codes.astype(np.uint64)[:, None] + np.uint64(1)) * (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+        h = (codes.astype(np.uint64)[:, None] + np.uint64(1)) * (np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h.min(axis=0) >> np.uint64(33)).astype(np.int32).tolist()
+    return (h.min(axis=0) >> np.uint64(40)).astype(np.uint8).view(np.int8).tolist()
 
 
 def profiled(parse_results: DataFrame) -> DataFrame:
@@ -216,7 +231,7 @@ def profiled(parse_results: DataFrame) -> DataFrame:
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
                 toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
                 verdict, share, n = marks(path, lang, text, toks)
-                shape, size, bands, near = None, None, None, None
+                shape, size, bands, near, named = None, None, None, None, None
                 if toks:
                     mask = masked(toks)
                     if mask:
@@ -224,8 +239,9 @@ def profiled(parse_results: DataFrame) -> DataFrame:
                         codes = shingles(mask)
                         size = len(codes)
                         bands = band_keys(codes)
-                        near = sketch(shingles(plain(toks), PLAIN))
-                rows.append((path, repo, lang, verdict, share, shape, size, bands, near))
+                        near = sketch(codes, NEAR)
+                        named = sketch(shingle_codes(plain(toks), PLAIN), SKETCH)
+                rows.append((path, repo, lang, verdict, share, shape, size, bands, near, named))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FILE.split(", ")]).astype({"shape": "Int64", "size": "Int32"})
 
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, _FILE)
@@ -265,9 +281,20 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (shape, other) whose masked or plain shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    both = candidates.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
+def _agreement(a: str, b: str) -> Column:
+    """Share of the values of two sketches that agree."""
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(a)
+
+
+def _verified(candidates: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (shape, other) whose masked or plain shingle sets have a Jaccard similarity of SIMILARITY or more.
+
+    Sketches, a hundred bytes a shape, go over the pairs first; only pairs that look alike by one of them move the sets.
+    """
+    other = sketches.select(F.col("shape").alias("other"), F.col("near").alias("onear"), F.col("sketch").alias("osketch"))
+    alike = candidates.join(sketches, "shape").join(other, "other").where((_agreement("near", "onear") >= LOOKS) | (_agreement("sketch", "osketch") >= LOOKS)).select("shape", "other")
+    both = alike.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
     return both.where((_jaccard("sets", "osets") >= SIMILARITY) | (_jaccard("plain", "oplain") >= SIMILARITY)).select("shape", "other")
 
 
@@ -310,12 +337,13 @@ def clusters(parse_results: DataFrame, files: DataFrame) -> DataFrame:
     shared = coded.groupBy("band").agg(F.min("shape").alias("head"), F.max("shape").alias("last")).where("head <> last").select("band", "head").checkpoint()
     banded = coded.join(_small(shared), "band").groupBy("shape", "size", "band", "head").agg(F.min("filepath").alias("filepath")).checkpoint()
     wanted = banded.groupBy("shape").agg(F.min("filepath").alias("filepath")).select("filepath", "shape").checkpoint()
+    sketches = files.select("filepath", "near", "sketch").join(_small(wanted), "filepath").select("shape", "near", "sketch").checkpoint()
     banded = banded.drop("filepath")
     sets = _shingle_sets(parse_results, wanted).checkpoint()
-    stars = _verified(banded.where("shape <> head").select("shape", F.col("head").alias("other")).distinct(), sets).checkpoint()
+    stars = _verified(banded.where("shape <> head").select("shape", F.col("head").alias("other")).distinct(), sketches, sets).checkpoint()
     first = components(stars)
     rest = banded.join(first, "shape", "left").select("band", "shape", "size", F.coalesce("cluster", "shape").alias("cluster"))
-    links = stars.unionByName(_verified(_in_buckets(rest), sets))
+    links = stars.unionByName(_verified(_in_buckets(rest), sketches, sets))
     return files.where("shape IS NOT NULL").select("shape").distinct().join(components(links), "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
 
 

@@ -5,10 +5,11 @@ A vector is indexed in its own cell and asks, besides that cell, the neighbourin
 order of the estimated chance that they hold a close vector (squared distances to the cell walls).
 Candidates of a cell are ranked by their exact cosine at once, so only the best leave a cell.
 
-Scale: equal vectors are one class before hashing, so a group of copies costs one row; m grows
-with the logarithm of the collection up to MOST, so cells keep their size, and the tables and probes
-with m, so recall keeps too; a cell above ``cell_cap``, of any size, is cut into a grid of blocks
-that compares all of it.
+Scale: vectors of one direction are one class before hashing, so a group of copies, scaled or not,
+costs one row; m grows with the logarithm of the collection up to MOST, so cells keep their size, and
+the tables and probes with m, so recall keeps too. Cells are counted with those that ask them: an ask
+of an empty cell goes nowhere, and a cell whose vectors or askers exceed ``cell_cap``, by whatever
+factor, is cut into a grid of blocks that compares all of it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import ensure_checkpoint_dir
+
 DIM = 64
 TABLES, PROBES, WIDTH = 3, 2, 1.5
 MOST = 12  # projections of a table; beyond it cells grow
@@ -31,6 +34,8 @@ EFFORT = {6: (4, 2), 7: (5, 2), 8: (8, 2), 9: (10, 2), 10: (12, 2), 11: (10, 6),
 CELL_TARGET = 2000  # vectors that a cell should hold
 CELL_CAP = 20_000  # vectors above which a cell is cut
 BUNDLE = 20_000  # rows that one call of the ranking function takes, about
+TASK_ROWS = 400_000  # rows that one ranking task reads, about (100 MB)
+BROADCAST_CELLS = 1_000_000  # cells up to which their sizes are broadcast (about 40 MB)
 _SCALE = float(2**23 - 1)
 
 
@@ -112,25 +117,29 @@ def projections(n: int) -> int:
 
 
 def _hashed(classes: DataFrame, m: int, width: float, tables: int, probes: int, vectors: bool) -> DataFrame:
-    """(tbl, cell, own, cid[, v]): each class in its own cell and in those it asks."""
+    """(tbl, cell, own, ask, cid[, v]): each class in its own cell, and those that ask in the cells they ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(batch)
+            ask = batch.column("ask").to_numpy(zero_copy_only=False)
+            cid = batch.column("cid")
             packed = _binary(pack(x)) if vectors else None
+            asking = pa.array(np.nonzero(ask)[0])
             for t in range(tables):
                 own, asked = probe_cells(x, t, m, width, probes)
                 for k, key in enumerate([own, *asked]):
-                    columns = [pa.array(np.full(len(x), t, np.int32)), pa.array(key), pa.array(np.full(len(x), k == 0)), batch.column("cid")]
-                    names = ["tbl", "cell", "own", "cid"]
+                    pick = (lambda a: a) if k == 0 or ask.all() else (lambda a: a.take(asking))
+                    columns = [pick(pa.array(np.full(len(x), t, np.int32))), pick(pa.array(key)), pick(pa.array(np.full(len(x), k == 0))), pick(pa.array(ask)), pick(cid)]
+                    names = ["tbl", "cell", "own", "ask", "cid"]
                     if vectors:
-                        columns.append(packed)
+                        columns.append(pick(packed))
                         names.append("v")
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return classes.select("cid", "vector").mapInArrow(run, "tbl int, cell long, own boolean, cid long" + (", v binary" if vectors else ""))
+    return classes.select("cid", "vector", "ask").mapInArrow(run, "tbl int, cell long, own boolean, ask boolean, cid long" + (", v binary" if vectors else ""))
 
 
 def _rank(min_cosine: float, keep: int):
@@ -187,67 +196,104 @@ def _rank(min_cosine: float, keep: int):
     return run
 
 
+def direction(vector: Column) -> Column:
+    """A hash of a usable vector's direction: its unit vector rounded to 24 bits, as ``pack`` rounds it, so that the length doesn't count."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    top = F.array_max(F.transform(wide, lambda x: F.abs(x)))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) * top
+    return F.xxhash64(F.transform(wide, lambda x: F.rint(x / norm * F.lit(_SCALE)).cast("int")))
+
+
+def _usable_rows(code_chunks: DataFrame) -> DataFrame:
+    return code_chunks.where(F.col("id").isNotNull() & usable(F.col("vector")))
+
+
 def members(code_chunks: DataFrame) -> DataFrame:
     """(id, cid): each usable chunk id once with the class of its vector; of repeated ids the latest row counts."""
-    rows = code_chunks.where(F.col("id").isNotNull() & usable(F.col("vector"))).select("id", F.xxhash64("vector").alias("cid"), "indexed_at")
+    rows = _usable_rows(code_chunks).select("id", direction(F.col("vector")).alias("cid"), "indexed_at")
     return rows.groupBy("id").agg(F.max(F.struct("indexed_at", "cid")).alias("r")).select("id", F.col("r.cid").alias("cid"))
 
 
 def vector_classes(code_chunks: DataFrame) -> DataFrame:
-    """(cid, vector): each different usable vector once."""
-    rows = code_chunks.where(F.col("id").isNotNull() & usable(F.col("vector"))).select(F.xxhash64("vector").alias("cid"), "vector")
+    """(cid, vector): each different direction of the usable vectors once."""
+    rows = _usable_rows(code_chunks).select(direction(F.col("vector")).alias("cid"), "vector")
     return rows.groupBy("cid").agg(F.first("vector").alias("vector"))
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows with the blocks they take part in: an indexed row meets each block of askers, an asking row each block of the index."""
-    salt = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    place = lambda bi, bq, side: F.struct(bi.alias("bi"), bq.alias("bq"), F.lit(side).alias("side"))
-    whole = F.array(place(F.lit(0), F.lit(0), 0))
-    asking = F.transform(every, lambda i: place(i, salt, 2))
-    indexed = F.transform(every, lambda i: place(salt, i, 1))
-    places = F.when(F.col("blocks") == 1, whole).when(F.col("own"), F.concat(indexed, asking)).otherwise(asking)
+    """Rows with the blocks they take part in: an indexed row meets each block of askers, an asking row each block of the index.
+
+    ``bis`` blocks of the index and ``bqs`` of the askers make the grid of a cell; most cells are one block.
+    ``side``: 0 both, 1 indexed only, 2 asking only.
+    """
+    salt = lambda n: F.pmod(F.xxhash64("cid"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda bi, bq, side: F.struct(bi.alias("bi"), bq.alias("bq"), side.cast("int").alias("side"))
+    whole = F.array(place(F.lit(0), F.lit(0), F.when(~F.col("own"), 2).when(F.col("ask"), 0).otherwise(1)))
+    asking = F.transform(every("bis"), lambda i: place(i, salt("bqs"), F.lit(2)))
+    indexed = F.transform(every("bqs"), lambda i: place(salt("bis"), i, F.lit(1)))
+    grid = F.when(F.col("own") & F.col("ask"), F.concat(indexed, asking)).when(F.col("own"), indexed).otherwise(asking)
+    places = F.when((F.col("bis") == 1) & (F.col("bqs") == 1), whole).otherwise(grid)
     return rows.select("tbl", "cell", "own", "cid", "v", F.explode(places).alias("p")).select("tbl", "cell", "own", "cid", "v", "p.bi", "p.bq", "p.side")
 
 
-def class_neighbours(classes: DataFrame, n: int, k: int = 5, min_cosine: float = 0.9, cell_cap: int = CELL_CAP) -> DataFrame:
-    """(ca, cb, cosine): for each class its ``k`` nearest other classes of at least ``min_cosine``. ``n`` is about the number of classes."""
+def cell_sizes(classes: DataFrame, m: int, tables: int, probes: int, cell_cap: int) -> DataFrame:
+    """(tbl, cell, bis, bqs): the blocks of every cell that holds a vector and is asked by another, counted before any vector moves."""
+    keys = _hashed(classes, m, WIDTH, tables, probes, False)
+    sizes = keys.groupBy("tbl", "cell").agg(F.count_if("own").alias("owners"), F.count_if("ask").alias("askers"), F.count(F.lit(1)).alias("n"))
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(F.col(x) / cell_cap)).cast("int")
+    return sizes.where("owners > 0 AND askers > 0 AND n > 1").select("tbl", "cell", blocks("owners").alias("bis"), blocks("askers").alias("bqs"))
+
+
+def class_neighbours(classes: DataFrame, n: int, k: int = 5, min_cosine: float = 0.9, cell_cap: int = CELL_CAP, effort: tuple[int, int] | None = None) -> DataFrame:
+    """(ca, cb, cosine): for each class its ``k`` nearest other classes of at least ``min_cosine``; with a column ``ask``, for those where it is true.
+
+    ``n`` is about the number of classes; ``effort`` (tables, probes) replaces that of EFFORT. Of
+    classes at exactly the same distance those of the smaller hash count.
+    """
+    ensure_checkpoint_dir(classes.sparkSession)
+    everyone = "ask" not in classes.columns
+    if everyone:
+        classes = classes.withColumn("ask", F.lit(True))
     m = projections(n)
-    tables, probes = EFFORT.get(m, (TABLES, PROBES))
-    rows = _hashed(classes, m, WIDTH, tables, probes, True)
-    sizes = _hashed(classes, m, WIDTH, tables, 0, False).groupBy("tbl", "cell").count()
-    hot = sizes.where(F.col("count") > cell_cap).select("tbl", "cell", F.ceil(F.col("count") / cell_cap).cast("int").alias("blocks"))
-    # few cells, if any, are too large: at most n / cell_cap in a table
-    hint = F.broadcast if n * tables / cell_cap < 1_000_000 else (lambda x: x)
-    marked = rows.join(hint(hot), ["tbl", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = _in_blocks(marked)
+    tables, probes = effort or EFFORT.get(m, (TABLES, PROBES))
+    cells = cell_sizes(classes, m, tables, probes, cell_cap).checkpoint()
+    hint = F.broadcast if cells.count() <= BROADCAST_CELLS else (lambda x: x)
+    cut = _in_blocks(_hashed(classes, m, WIDTH, tables, probes, True).join(hint(cells), ["tbl", "cell"]))
     # whole cells in bundles, since a call for each of very many small cells would cost more than their work
-    bundles = max(1, n * tables * (probes + 1) // BUNDLE)
-    cut = cut.withColumn("bundle", F.pmod(F.xxhash64("tbl", "cell", "bi", "bq"), F.lit(bundles)))
+    rows = n * tables * (probes + 1)
+    bundles = max(1, rows // BUNDLE)
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+    cut = cut.withColumn("bundle", F.pmod(F.xxhash64("tbl", "cell", "bi", "bq"), F.lit(bundles))).repartition(tasks, "bundle")
     found = cut.groupBy("bundle").applyInPandas(_rank(min_cosine, k), "ca long, cb long, cosine double")
-    # what one of two classes finds, the other has found too
-    both = found.select(F.explode(F.array(F.struct("ca", "cb", "cosine"), F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "cosine"))).alias("p")).select("p.*")
-    merged = both.groupBy("ca", "cb").agg(F.max("cosine").alias("cosine"))
+    if everyone:  # what one of two classes finds, the other has found too
+        found = found.select(F.explode(F.array(F.struct("ca", "cb", "cosine"), F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "cosine"))).alias("p")).select("p.*")
+    merged = found.groupBy("ca", "cb").agg(F.max("cosine").alias("cosine"))
     rank = W.partitionBy("ca").orderBy(F.desc("cosine"), "cb")
     return merged.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
 
 
-def neighbours(code_chunks: DataFrame, k: int = 5, min_cosine: float = 0.9) -> DataFrame:
-    """(id, neighbour, cosine, rank): for each usable chunk the ``k`` most similar chunks of at least ``min_cosine``.
+def neighbours(code_chunks: DataFrame, k: int = 5, min_cosine: float = -1.0, effort: tuple[int, int] | None = None) -> DataFrame:
+    """(id, neighbour, cosine, rank): for each usable chunk the ``k`` most similar chunks of at least ``min_cosine``, by default however far.
 
-    Ties are broken by the smaller id, equal vectors first (cosine 1). Ids count once; unusable
-    vectors take no part; an empty table gives no row.
+    Vectors of one direction come first (cosine 1), ties among them go to the smaller id; between
+    different directions at exactly the same distance the smaller class hash decides. Ids count once;
+    unusable vectors take no part; an empty table gives no row. What the hashing finds of near vectors
+    and of far ones differs: the README has the measured recalls, and ``effort`` (tables, probes) raises them.
     """
-    own = members(code_chunks)
-    near = class_neighbours(vector_classes(code_chunks), code_chunks.count(), k, min_cosine)
+    return _by_id(members(code_chunks), class_neighbours(vector_classes(code_chunks), code_chunks.count(), k, min_cosine, effort=effort), k)
+
+
+def _by_id(own: DataFrame, near: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """Neighbours of classes spelt out for chunks (id, cid), or for the ``asked`` ones."""
     by_id = W.partitionBy("cid").orderBy("id")
     heads = own.withColumn("rn", F.row_number().over(by_id)).where(F.col("rn") <= k + 1).groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("heads"))
     mine = heads.where(F.size("heads") > 1).select("cid", F.transform("heads", lambda x: F.struct(F.lit(-1.0).alias("c"), x.alias("id"))).alias("list"))
     others = near.join(heads.withColumnRenamed("cid", "cb"), "cb").select(F.col("ca").alias("cid"), F.transform("heads", lambda x: F.struct((-F.col("cosine")).alias("c"), x.alias("id"))).alias("list"))
     # at most (k + 1) * (k + 1) entries a class
     lists = mine.unionByName(others).groupBy("cid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("list"))), 1, k + 1).alias("list"))
-    pairs = own.join(lists, "cid").select("id", F.posexplode(F.slice(F.filter("list", lambda e: e["id"] != F.col("id")), 1, k)).alias("rank", "e"))
+    whom = own if asked is None else asked
+    pairs = whom.join(lists, "cid").select("id", F.posexplode(F.slice(F.filter("list", lambda e: e["id"] != F.col("id")), 1, k)).alias("rank", "e"))
     return pairs.select("id", F.col("e.id").alias("neighbour"), (-F.col("e.c")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
@@ -268,17 +314,19 @@ def query_neighbours(code_chunks: DataFrame, k: int = 5, min_cosine: float = 0.9
     compared with all vectors, in blocks of at most QUERY_BLOCK queries.
     """
     spark = code_chunks.sparkSession
-    near = neighbours(code_chunks, k, min_cosine).where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
-    own = members(code_chunks)
-    asked = own.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
+    ensure_checkpoint_dir(spark)
+    own, n = members(code_chunks), code_chunks.count()
+    asked = own.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).checkpoint()
+    classes = vector_classes(code_chunks)
+    # only the query set asks; every class is indexed
+    ask = asked.select("cid").distinct().withColumn("ask", F.lit(True))
+    hint = F.broadcast if n / 100 <= BROADCAST_CELLS else (lambda x: x)
+    marked = classes.join(hint(ask), "cid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+    near = _by_id(own, class_neighbours(marked, n, k, min_cosine), k, asked).checkpoint()
     full = near.groupBy("id").count().where(F.col("count") >= k).select("id")
-    rest = asked.join(full, "id", "left_anti").join(vector_classes(code_chunks), "cid").select("id", "cid", "vector").withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(1 << 20)))
+    rest = asked.join(full, "id", "left_anti").join(classes, "cid").select("id", "cid", "vector").withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(1 << 20)))
     out = near.join(full, "id", "left_semi")
-    n = code_chunks.count()
     parts = max(1, math.ceil(n / 100 / (QUERY_BLOCK * 0.8)))
-    from ..tables import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     rest = rest.checkpoint()
     for p in range(parts):
         block = rest.where(F.col("block") % parts == p).select("id", "vector").toPandas()

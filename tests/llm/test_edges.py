@@ -82,7 +82,7 @@ def targets(spark):
 def test_similar(chunks):
     got = {tuple(r) for r in similar.pairs(chunks).collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "c")}
-    assert {r["id"] for r in similar.neighbours(chunks).collect()} == {"a", "b", "c"}
+    assert {r["id"] for r in similar.neighbours(chunks, min_cosine=0.9).collect()} == {"a", "b", "c"}
     assert similar.pairs(chunks.limit(0)).count() == 0
 
 
