@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,14 @@ SHINGLE = 16  # masked tokens; five of them repeat in all code
 PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verified
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 7  # a pair of similarity 0.8 shares no band with 0.0005; of those of 0.3 0.007 share one
-NEAR, LOOKS = 64, 0.6  # values of the sketch of masked shingles, and the share of agreeing values below which a pair is not verified: 0.0001 of the pairs of 0.8 lie below
+LOOKS = 0.6  # share of agreeing values of the signatures below which a pair is not verified: of the pairs of 0.8 less than 0.001 lie below, even of forty shingles
 SKETCH = 32  # values of the sketch of plain shingles by which a cluster over repositories is told from look-alikes
 AGREE = 0.82  # mean share of a cluster's files that have the most frequent value: 0.89 in copies of pairwise similarity 0.8, 0.73 at 0.55
 SMALL = 500_000  # rows of keys up to which a side is broadcast: 20 MB at most
 DENSE = 80  # tokens of a line that people do not write
 BLOCK = 2000  # shapes of a bucket's block
 FAMILY = 3  # files of one repository
+USUAL = 2  # files that each repository has in the mean where a family is spread over repositories
 SPREAD = 3  # repositories
 
 # What generators write at the top of their output.
@@ -51,17 +53,27 @@ _VENDOR_DIR = re.compile(r"/(?:vendor|vendors|vendored|third[-_]?party|3rdparty|
 _VENDOR = re.compile(r"\b(?:bundled|vendored|verbatim|local|private|embedded|modified|unmodified)\s+(?:copy|version)\s+of\b|\b(?:copied|taken|imported|vendored|ported|pulled|mirrored|synced)\s+(?:\w+\s+){0,3}from\s+(?:upstream|https?:|the\s+[\w-]+\s+(?:project|library|repository))|\bupstream\s+(?:release|version|project|source|repository|commit)\b|\b(?:library|package|module),?\s+version\s+\d|\bv?\d+\.\d+\.\d+\b[^\n]{0,30}\b(?:licen[cs]ed?|license)\b|@(?:license|preserve)\b[^\n]*\bv?\d+\.\d+|\bimported\s+unchanged\b", re.I)
 
 
-_MASK = {IDENT: "I", STRING: "S", NUMBER: "N"}
+class Code(NamedTuple):
+    """The tokens of a text that are neither comments nor line ends: 64-bit codes of them as they are, and with names and literals masked."""
 
+    plain: np.ndarray
+    masked: np.ndarray
 
-def masked(toks: list[tuple[str, str, int]]) -> list[str]:
-    """Tokens with identifiers, strings and numbers masked; comments and line ends left out."""
-    return [_MASK.get(k) or t for k, t, _ in toks if k != COMMENT and k != NEWLINE]
 
+def kinds_of(toks: list[tuple[str, str, int]]) -> np.ndarray:
+    """The kind of each token, as the code of its letter."""
+    return np.frombuffer("".join([t[0] for t in toks]).encode(), np.uint8)
 
-def plain(toks: list[tuple[str, str, int]]) -> list[str]:
-    """Tokens as they are; comments and line ends left out."""
-    return [t for k, t, _ in toks if k != COMMENT and k != NEWLINE]
+
+def coded(toks: list[tuple[str, str, int]], kinds: np.ndarray | None = None) -> Code:
+    kinds = kinds_of(toks) if kinds is None else kinds
+    at = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
+    texts = [t for k, t, _ in toks if k != COMMENT and k != NEWLINE]
+    plain = np.fromiter(map(_CODES.__getitem__, texts), np.int64, len(texts))
+    masked, kinds = plain.copy(), kinds[at]
+    for kind in (IDENT, STRING, NUMBER):
+        masked[kinds == ord(kind)] = ord(kind)
+    return Code(plain, masked)
 
 
 def leading_comments(toks: list[tuple[str, str, int]]) -> str:
@@ -92,7 +104,7 @@ def leading_lines(text: str) -> str:
     return "\n".join(out)
 
 
-def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str, int]] | None = None) -> tuple[str | None, float, int]:
+def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str, int]] | None = None, kinds: np.ndarray | None = None) -> tuple[str | None, float, int]:
     """(verdict by the file's own marks or None, share of literals among the code's characters, number of tokens)."""
     name = "/" + path.split("/", 1)[-1]
     if _LOCK.search(path) or language in ("json", "yaml", "toml") and re.search(r"\"lockfileVersion\"\s*:|^lockfileVersion:|^# This file is automatically @generated by Cargo", text, re.M):
@@ -103,33 +115,24 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
         head = leading_lines(text) if language != "markdown" else ""
         return ("generated" if head and _GENERATED.search(head) and not _DENIED.search(head) else None), 0.0, 0
     toks = tokens(text, language) if toks is None else toks
-    n = total = literal = real = line = packed = counted = 0
-    for kind, t, _ in toks:
-        if kind == NEWLINE:
-            if line > DENSE:
-                packed += line
-            counted += line
-            line = 0
-        elif kind != COMMENT:
-            n += 1
-            size = len(t)
-            total += size
-            if kind == STRING or kind == NUMBER:
-                real += size
-                line += kind == NUMBER
-            else:
-                line += 1
-                if kind == OP and t in "[]{}(),-":
-                    literal += size
-    counted += line
-    packed += line if line > DENSE else 0
-    literal += real
+    kinds = kinds_of(toks) if kinds is None else kinds
+    size = np.fromiter(map(len, [t[1] for t in toks]), np.int64, len(toks))
+    code = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
+    n, total = int(code.sum()), int(size[code].sum())
+    real = int(size[(kinds == ord(STRING)) | (kinds == ord(NUMBER))].sum())
+    literal = real + sum(len(t) for k, t, _ in toks if k == OP and t in "[]{}(),-") if real >= 0.4 * total else real
+    # tokens of each line, strings not counted
+    sums = np.cumsum(code & (kinds != ord(STRING)))
+    ends = np.append(np.nonzero(kinds == ord(NEWLINE))[0], len(toks) - 1)
+    lines = np.diff(sums[ends], prepend=0) if len(toks) else np.zeros(0, np.int64)
+    counted, packed = int(lines.sum()), int(lines[lines > DENSE].sum())
     share = literal / total if total else 0.0
     if total >= 300 and share >= 0.85 and real >= 0.6 * total:
         return "data", share, n
     if counted and packed >= 0.6 * counted:  # most of the code stands on lines of very many tokens
         return "minified", share, n
-    if any(kind == COMMENT and (t.startswith(("//# sourceMappingURL=", "//@ sourceMappingURL=")) or "webpackBootstrap" in t) for kind, t, _ in toks):
+    remarks = [t for k, t, _ in toks if k == COMMENT]
+    if any((t.startswith(("//# sourceMappingURL=", "//@ sourceMappingURL=")) or "webpackBootstrap" in t) for t in remarks):
         return "minified", share, n
     head = leading_comments(toks)
     if _GENERATED.search(head) and not _DENIED.search(head):
@@ -177,16 +180,16 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def shingles(mask: list[str], size: int = SHINGLE) -> np.ndarray:
+def shingles(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Distinct 32-bit codes of the shingles of ``size`` tokens, of the whole text."""
-    return np.unique(shingle_codes(mask, size))
+    return np.unique(shingle_codes(codes, size))
 
 
-def shingle_codes(mask: list[str], size: int) -> np.ndarray:
+def shingle_codes(codes: np.ndarray, size: int) -> np.ndarray:
     """The codes of all shingles, in order."""
-    if not mask:
+    if not len(codes):
         return np.zeros(0, np.uint32)
-    ids = np.fromiter(map(_CODES.__getitem__, mask), np.int64, len(mask)).view(np.uint64)
+    ids = codes.view(np.uint64)
     n = max(1, len(ids) - size + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(size, len(ids))):
@@ -196,12 +199,12 @@ def shingle_codes(mask: list[str], size: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).astype(np.uint32)
 
 
-_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>, near array<tinyint>, sketch array<tinyint>"
+_FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>, near binary, sketch array<tinyint>"
 
 
-def band_keys(codes: np.ndarray) -> list[int]:
-    """A 64-bit key of each band of the signature."""
-    sig = signature(codes).reshape(BANDS, ROWS)
+def band_keys(sig: np.ndarray) -> list[int]:
+    """A 64-bit key of each band of a signature."""
+    sig = sig.reshape(BANDS, ROWS)
     with np.errstate(over="ignore"):
         key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(ROWS):
@@ -220,7 +223,10 @@ def sketch(codes: np.ndarray, size: int) -> list[int]:
 
 
 def profiled(parse_results: DataFrame) -> DataFrame:
-    """One row per file: its own marks, and for code with tokens the hash of its masked tokens, the band keys and the sketch."""
+    """One row per file: its own marks, and for code with tokens the hash of its masked tokens, the band keys and the sketches.
+
+    Markup under a code extension, such as a saved error page, is no code that could have a shape: problem 6 finds it.
+    """
     files = current_files(parse_results).where(F.col("content") != "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,17 +236,16 @@ def profiled(parse_results: DataFrame) -> DataFrame:
             rows = []
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
                 toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
-                verdict, share, n = marks(path, lang, text, toks)
+                kinds = kinds_of(toks) if toks else None
+                verdict, share, n = marks(path, lang, text, toks, kinds)
                 shape, size, bands, near, named = None, None, None, None, None
-                if toks:
-                    mask = masked(toks)
-                    if mask:
-                        shape = np.uint64(xxhash.xxh64_intdigest("\x1f".join(mask))).astype(np.int64)
-                        codes = shingles(mask)
-                        size = len(codes)
-                        bands = band_keys(codes)
-                        near = sketch(codes, NEAR)
-                        named = sketch(shingle_codes(plain(toks), PLAIN), SKETCH)
+                if toks and n and not (lang != "php" and text.lstrip()[:1] == "<"):
+                    code = coded(toks, kinds)
+                    shape = xxhash.xxh64_intdigest(code.masked.tobytes()) - (1 << 63)
+                    own = shingles(code.masked)
+                    sig = signature(own)
+                    size, bands, near = len(own), band_keys(sig), (sig >> np.uint64(8)).astype(np.uint8).tobytes()
+                    named = sketch(shingle_codes(code.plain, PLAIN), SKETCH)
                 rows.append((path, repo, lang, verdict, share, shape, size, bands, near, named))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FILE.split(", ")]).astype({"shape": "Int64", "size": "Int32"})
 
@@ -263,9 +268,9 @@ def _shingle_sets(parse_results: DataFrame, wanted: DataFrame) -> DataFrame:
         for pdf in batches:
             sets, named = [], []
             for text, lang in zip(pdf["content"], pdf["language"], strict=True):
-                toks = tokens(text, lang)
-                sets.append(shingles(masked(toks)).tobytes())
-                named.append(shingles(plain(toks), PLAIN).tobytes())
+                code = coded(tokens(text, lang))
+                sets.append(shingles(code.masked).tobytes())
+                named.append(shingles(code.plain, PLAIN).tobytes())
             yield pd.DataFrame({"shape": pdf["shape"], "sets": sets, "plain": named})
 
     return files.select("shape", "language", "content").mapInPandas(run, "shape long, sets binary, plain binary")
@@ -281,7 +286,14 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _agreement(a: str, b: str) -> Column:
+@F.pandas_udf(T.DoubleType())
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of the values of two signatures that agree."""
+    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(len(a), -1) for z in (a, b))
+    return pd.Series((x == y).mean(axis=1) if len(a) else np.zeros(0))
+
+
+def _named_alike(a: str, b: str) -> Column:
     """Share of the values of two sketches that agree."""
     same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
     return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(a)
@@ -293,7 +305,7 @@ def _verified(candidates: DataFrame, sketches: DataFrame, sets: DataFrame) -> Da
     Sketches, a hundred bytes a shape, go over the pairs first; only pairs that look alike by one of them move the sets.
     """
     other = sketches.select(F.col("shape").alias("other"), F.col("near").alias("onear"), F.col("sketch").alias("osketch"))
-    alike = candidates.join(sketches, "shape").join(other, "other").where((_agreement("near", "onear") >= LOOKS) | (_agreement("sketch", "osketch") >= LOOKS)).select("shape", "other")
+    alike = candidates.join(sketches, "shape").join(other, "other").where((_named_alike("sketch", "osketch") >= LOOKS) | (_agreement("near", "onear") >= LOOKS)).select("shape", "other")
     both = alike.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
     return both.where((_jaccard("sets", "osets") >= SIMILARITY) | (_jaccard("plain", "oplain") >= SIMILARITY)).select("shape", "other")
 
@@ -359,7 +371,7 @@ def classified(parse_results: DataFrame, use_marks: bool = True) -> DataFrame:
 
     ``verdict`` is generated, minified, vendored, data, or hand-written. A file without a mark of
     its own takes that of its cluster: a family of FAMILY or more files in its repository is
-    generated, a cluster over SPREAD or more repositories whose files share their names vendored
+    generated (one spread over repositories if each has USUAL in the mean), a cluster over SPREAD or more repositories whose files share their names vendored
     (generated where most of its marked files are), one of literals alone data. Files without content
     give no row. Without ``use_marks`` the clusters alone decide.
     """
@@ -370,14 +382,14 @@ def classified(parse_results: DataFrame, use_marks: bool = True) -> DataFrame:
     named = clusters(parse_results, files)
     known = files.where("shape IS NOT NULL").join(named, "shape").select("filepath", "cluster", "repo", "verdict", "literal", "sketch")
     in_repo = known.groupBy("cluster", "repo").agg(F.count(F.lit(1)).alias("family"), F.avg("literal").alias("l"), F.count_if(F.col("verdict") == "generated").alias("g"), F.count_if(F.col("verdict") == "vendored").alias("v"))
-    overall = in_repo.groupBy("cluster").agg(F.max("family").alias("family"), F.count(F.lit(1)).alias("repos"), F.avg("l").alias("l"), F.sum("g").alias("g"), F.sum("v").alias("v")).where((F.col("family") > 1) | (F.col("repos") > 1)).checkpoint()
+    overall = in_repo.groupBy("cluster").agg(F.max("family").alias("family"), F.avg("family").alias("usual"), F.count(F.lit(1)).alias("repos"), F.avg("l").alias("l"), F.sum("g").alias("g"), F.sum("v").alias("v")).where((F.col("family") > 1) | (F.col("repos") > 1)).checkpoint()
     wide = overall.where(F.col("repos") >= SPREAD).select("cluster")
     copies = _agreeing(known.join(wide, "cluster", "left_semi")).withColumn("copied", F.lit(True))
     sign = (
         F.when((F.col("l") >= 0.85) & (F.col("repos") + F.col("family") > 2), "data")
         .when((F.col("repos") >= SPREAD) & (F.col("g") >= F.col("v")) & (F.col("g") > 0), "generated")
         .when((F.col("repos") >= SPREAD) & F.col("copied"), "vendored")
-        .when(F.col("family") >= FAMILY, "generated")
+        .when((F.col("family") >= FAMILY) & ((F.col("repos") < SPREAD) | (F.col("usual") >= USUAL)), "generated")
     )
     by_cluster = overall.join(copies, "cluster", "left").select("cluster", sign.alias("sign")).where("sign IS NOT NULL")
     signs = known.select("filepath", "cluster").join(by_cluster, "cluster").select("filepath", "sign")
