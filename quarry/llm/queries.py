@@ -22,6 +22,13 @@ def _sentence_counts(documents: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  # of the driver; its file server ships it
+
+
+def _in_tokens(operator) -> Query:
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), mixture.tokenizer_size(spark, TOKENIZER))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(similar.pairs, "code_chunks"),
@@ -42,6 +49,7 @@ def queries() -> dict[str, Query]:
         "p8_shares": _on(mixture.shares, "documents", "mix_targets"),
         "p8_report": _on(mixture.report, "documents", "mix_targets"),
         "p8_mix": _on(mixture.mix, "documents", "mix_targets"),
+        "p8_token_report": _in_tokens(mixture.report),
         "p9_found": _on(lambda df: sentences.sentences(df, with_text=False).select("doc_id", "end_char").distinct(), "documents"),
         "p9_counts": _on(_sentence_counts, "documents"),
     }
