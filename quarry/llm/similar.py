@@ -33,8 +33,8 @@ MOST = 12  # projections of a table; beyond it cells grow
 EFFORT = {6: (4, 2), 7: (5, 2), 8: (8, 2), 9: (10, 2), 10: (12, 2), 11: (10, 6), 12: (10, 6)}
 CELL_TARGET = 2000  # vectors that a cell should hold
 CELL_CAP = 20_000  # vectors above which a cell is cut
-BUNDLE = 20_000  # rows that one call of the ranking function takes, about
-TASK_ROWS = 400_000  # rows that one ranking task reads, about (100 MB)
+BUNDLE = 5_000  # rows that one call of the ranking function takes, about
+TASK_ROWS = 50_000  # rows that one ranking task reads, about (12 MB), however large the collection
 BROADCAST_CELLS = 1_000_000  # cells up to which their sizes are broadcast (about 40 MB)
 _SCALE = float(2**23 - 1)
 
@@ -196,28 +196,41 @@ def _rank(min_cosine: float, keep: int):
     return run
 
 
-def direction(vector: Column) -> Column:
-    """A hash of a usable vector's direction: its unit vector rounded to 24 bits, as ``pack`` rounds it, so that the length doesn't count."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    top = F.array_max(F.transform(wide, lambda x: F.abs(x)))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) * top
-    return F.xxhash64(F.transform(wide, lambda x: F.rint(x / norm * F.lit(_SCALE)).cast("int")))
+def direction(packed: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of ``pack``, so of a vector's direction: its length doesn't count."""
+    words = packed.view(np.uint64)
+    h = np.full(len(words), 0x9E3779B97F4A7C15, np.uint64)
+    with np.errstate(over="ignore"):
+        for column in words.T:
+            h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _usable_rows(code_chunks: DataFrame) -> DataFrame:
-    return code_chunks.where(F.col("id").isNotNull() & usable(F.col("vector")))
+def _directed(code_chunks: DataFrame, *columns: str) -> DataFrame:
+    """(cid, columns) of the usable rows: the hash of the vector's direction beside columns of the row."""
+    rows = code_chunks.where(F.col("id").isNotNull() & usable(F.col("vector"))).select("vector", *(c for c in columns if c != "vector"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cid = pa.array(direction(pack(_unit(batch))))
+                yield pa.RecordBatch.from_arrays([cid, *(batch.column(n) for n in batch.schema.names if n in columns)], ["cid", *(n for n in batch.schema.names if n in columns)])
+
+    return rows.mapInArrow(run, f"cid long, {fields}")
 
 
 def members(code_chunks: DataFrame) -> DataFrame:
     """(id, cid): each usable chunk id once with the class of its vector; of repeated ids the latest row counts."""
-    rows = _usable_rows(code_chunks).select("id", direction(F.col("vector")).alias("cid"), "indexed_at")
+    rows = _directed(code_chunks, "id", "indexed_at")
     return rows.groupBy("id").agg(F.max(F.struct("indexed_at", "cid")).alias("r")).select("id", F.col("r.cid").alias("cid"))
 
 
 def vector_classes(code_chunks: DataFrame) -> DataFrame:
     """(cid, vector): each different direction of the usable vectors once."""
-    rows = _usable_rows(code_chunks).select(direction(F.col("vector")).alias("cid"), "vector")
-    return rows.groupBy("cid").agg(F.first("vector").alias("vector"))
+    return _directed(code_chunks, "vector").groupBy("cid").agg(F.first("vector").alias("vector"))
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
