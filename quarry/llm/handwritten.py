@@ -27,9 +27,10 @@ SHINGLE = 16  # masked tokens; five of them repeat in all code
 PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verified
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 7  # a pair of similarity 0.8 shares no band with 0.0005; of those of 0.3 0.007 share one
-LOOKS = 0.6  # share of agreeing values of the signatures below which a pair is not verified: of the pairs of 0.8 less than 0.001 lie below, even of forty shingles
+CERTAIN = 3.2  # standard deviations that the signatures' agreement of a pair may lie below SIMILARITY before the pair is not verified: 0.0007 of the pairs of 0.8 do
 SKETCH = 32  # values of the sketch of plain shingles by which a cluster over repositories is told from look-alikes
 AGREE = 0.82  # mean share of a cluster's files that have the most frequent value: 0.89 in copies of pairwise similarity 0.8, 0.73 at 0.55
+SKETCHES = 50_000  # rows of sketches up to which they are broadcast: 15 MB at most
 SMALL = 500_000  # rows of keys up to which a side is broadcast: 20 MB at most
 DENSE = 80  # tokens of a line that people do not write
 BLOCK = 2000  # shapes of a bucket's block
@@ -156,13 +157,19 @@ def signature(codes: np.ndarray) -> np.ndarray:
     np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), h)
     full = out != np.iinfo(np.uint64).max
     empty = np.nonzero(~full)[0]
-    if full.any() and len(empty):
-        out[empty] = out[_ORDER[empty, full[_ORDER[empty]].argmax(axis=1)]]
+    if len(empty) and full.any():
+        for step in _ORDER:  # the first full bin in the bin's own order; few steps fill nearly all
+            donor = step[empty]
+            got = full[donor]
+            out[empty[got]] = out[donor[got]]
+            empty = empty[~got]
+            if not len(empty):
+                break
     return out
 
 
-# The bins from which an empty bin takes its code: the first full one in an order of its own.
-_ORDER = np.random.default_rng(1).permuted(np.tile(np.arange(BANDS * ROWS, dtype=np.int16), (BANDS * ROWS, 1)), axis=1)
+# The bins from which an empty bin takes its code: each row gives every bin its next candidate.
+_ORDER = np.random.default_rng(1).permuted(np.tile(np.arange(BANDS * ROWS, dtype=np.int64), (BANDS * ROWS, 1)), axis=1).T.copy()
 
 
 class _Codes(dict):
@@ -252,9 +259,9 @@ def profiled(parse_results: DataFrame) -> DataFrame:
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, _FILE)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of keys, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has ``most`` rows at most (those of keys 20 MB)."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _shingle_sets(parse_results: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -299,13 +306,23 @@ def _named_alike(a: str, b: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
+def _least_agreement(n: Column) -> Column:
+    """What the agreement of ``n`` values can be by chance where the similarity is SIMILARITY."""
+    return F.lit(SIMILARITY) - CERTAIN * F.sqrt(F.lit(SIMILARITY * (1 - SIMILARITY)) / n)
+
+
 def _verified(candidates: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (shape, other) whose masked or plain shingle sets have a Jaccard similarity of SIMILARITY or more.
 
-    Sketches, a hundred bytes a shape, go over the pairs first; only pairs that look alike by one of them move the sets.
+    Signatures and sketches, a quarter kilobyte a shape, go over the pairs first; only pairs that can be
+    similar by one of them move the sets.
     """
-    other = sketches.select(F.col("shape").alias("other"), F.col("near").alias("onear"), F.col("sketch").alias("osketch"))
-    alike = candidates.join(sketches, "shape").join(other, "other").where((_named_alike("sketch", "osketch") >= LOOKS) | (_agreement("near", "onear") >= LOOKS)).select("shape", "other")
+    other = sketches.select(F.col("shape").alias("other"), F.col("size").alias("osize"), F.col("near").alias("onear"), F.col("sketch").alias("osketch"))
+    values = F.least("size", "osize", F.lit(BANDS * ROWS))  # a small set has no more independent values than shingles
+    looks = (_named_alike("sketch", "osketch") >= _least_agreement(F.lit(SKETCH))) | (_agreement("near", "onear") >= _least_agreement(values))
+    alike = candidates.join(_small(sketches, SKETCHES), "shape").join(_small(other, SKETCHES), "other").where(looks).select("shape", "other").checkpoint()
+    wanted = _small(alike.select(F.explode(F.array("shape", "other")).alias("shape")).distinct().checkpoint())
+    sets = sets.join(wanted, "shape", "left_semi")
     both = alike.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
     return both.where((_jaccard("sets", "osets") >= SIMILARITY) | (_jaccard("plain", "oplain") >= SIMILARITY)).select("shape", "other")
 
@@ -349,12 +366,13 @@ def clusters(parse_results: DataFrame, files: DataFrame) -> DataFrame:
     shared = coded.groupBy("band").agg(F.min("shape").alias("head"), F.max("shape").alias("last")).where("head <> last").select("band", "head").checkpoint()
     banded = coded.join(_small(shared), "band").groupBy("shape", "size", "band", "head").agg(F.min("filepath").alias("filepath")).checkpoint()
     wanted = banded.groupBy("shape").agg(F.min("filepath").alias("filepath")).select("filepath", "shape").checkpoint()
-    sketches = files.select("filepath", "near", "sketch").join(_small(wanted), "filepath").select("shape", "near", "sketch").checkpoint()
+    sketches = files.select("filepath", "size", "near", "sketch").join(_small(wanted), "filepath").select("shape", "size", "near", "sketch").checkpoint()
     banded = banded.drop("filepath")
     sets = _shingle_sets(parse_results, wanted).checkpoint()
     stars = _verified(banded.where("shape <> head").select("shape", F.col("head").alias("other")).distinct(), sketches, sets).checkpoint()
-    first = components(stars)
-    rest = banded.join(first, "shape", "left").select("band", "shape", "size", F.coalesce("cluster", "shape").alias("cluster"))
+    # shapes that the first comparison has linked to one head need none among themselves
+    first = stars.groupBy("shape").agg(F.min("other").alias("to"))
+    rest = banded.join(first, "shape", "left").select("band", "shape", "size", F.coalesce("to", "shape").alias("cluster"))
     links = stars.unionByName(_verified(_in_buckets(rest), sketches, sets))
     return files.where("shape IS NOT NULL").select("shape").distinct().join(components(links), "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
 
