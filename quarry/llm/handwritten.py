@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,8 @@ PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verifie
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 7  # a pair of similarity 0.8 shares no band with 0.0005; of those of 0.3 0.007 share one
 CERTAIN = 3.2  # standard deviations that the signatures' agreement of a pair may lie below SIMILARITY before the pair is not verified: 0.0007 of the pairs of 0.8 do
-SKETCH = 32  # values of the sketch of plain shingles by which a cluster over repositories is told from look-alikes
-AGREE = 0.82  # mean share of a cluster's files that have the most frequent value: 0.89 in copies of pairwise similarity 0.8, 0.73 at 0.55
+SKETCH = 32  # values of the sketch of plain shingles by which copies of one shape are told from look-alikes
+AGREE = 0.82  # mean share of a shape's files that have the most frequent value: 0.89 in copies of pairwise similarity 0.8, 0.73 at 0.55
 SKETCHES = 50_000  # rows of sketches up to which they are broadcast: 15 MB at most
 SMALL = 500_000  # rows of keys up to which a side is broadcast: 20 MB at most
 DENSE = 80  # tokens of a line that people do not write
@@ -61,16 +62,18 @@ class Code(NamedTuple):
     masked: np.ndarray
 
 
-def kinds_of(toks: list[tuple[str, str, int]]) -> np.ndarray:
-    """The kind of each token, as the code of its letter."""
-    return np.frombuffer("".join([t[0] for t in toks]).encode(), np.uint8)
+Columns = tuple[np.ndarray, list[str]]
 
 
-def coded(toks: list[tuple[str, str, int]], kinds: np.ndarray | None = None) -> Code:
-    kinds = kinds_of(toks) if kinds is None else kinds
+def columns_of(toks: list[tuple[str, str, int]]) -> Columns:
+    """The kind of each token, as the code of its letter, and its text."""
+    return np.frombuffer("".join([t[0] for t in toks]).encode(), np.uint8), [t[1] for t in toks]
+
+
+def coded(toks: list[tuple[str, str, int]], columns: Columns | None = None) -> Code:
+    kinds, texts = columns_of(toks) if columns is None else columns
     at = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
-    texts = [t for k, t, _ in toks if k != COMMENT and k != NEWLINE]
-    plain = np.fromiter(map(_CODES.__getitem__, texts), np.int64, len(texts))
+    plain = np.fromiter(map(_CODES.__getitem__, compress(texts, at.tolist())), np.int64, int(at.sum()))
     masked, kinds = plain.copy(), kinds[at]
     for kind in (IDENT, STRING, NUMBER):
         masked[kinds == ord(kind)] = ord(kind)
@@ -105,7 +108,7 @@ def leading_lines(text: str) -> str:
     return "\n".join(out)
 
 
-def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str, int]] | None = None, kinds: np.ndarray | None = None) -> tuple[str | None, float, int]:
+def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str, int]] | None = None, columns: Columns | None = None) -> tuple[str | None, float, int]:
     """(verdict by the file's own marks or None, share of literals among the code's characters, number of tokens)."""
     name = "/" + path.split("/", 1)[-1]
     if _LOCK.search(path) or language in ("json", "yaml", "toml") and re.search(r"\"lockfileVersion\"\s*:|^lockfileVersion:|^# This file is automatically @generated by Cargo", text, re.M):
@@ -116,8 +119,8 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
         head = leading_lines(text) if language != "markdown" else ""
         return ("generated" if head and _GENERATED.search(head) and not _DENIED.search(head) else None), 0.0, 0
     toks = tokens(text, language) if toks is None else toks
-    kinds = kinds_of(toks) if kinds is None else kinds
-    size = np.fromiter(map(len, [t[1] for t in toks]), np.int64, len(toks))
+    kinds, texts = columns_of(toks) if columns is None else columns
+    size = np.fromiter(map(len, texts), np.int64, len(toks))
     code = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
     n, total = int(code.sum()), int(size[code].sum())
     real = int(size[(kinds == ord(STRING)) | (kinds == ord(NUMBER))].sum())
@@ -132,7 +135,7 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
         return "data", share, n
     if counted and packed >= 0.6 * counted:  # most of the code stands on lines of very many tokens
         return "minified", share, n
-    remarks = [t for k, t, _ in toks if k == COMMENT]
+    remarks = [texts[k] for k in np.nonzero(kinds == ord(COMMENT))[0]]
     if any((t.startswith(("//# sourceMappingURL=", "//@ sourceMappingURL=")) or "webpackBootstrap" in t) for t in remarks):
         return "minified", share, n
     head = leading_comments(toks)
@@ -221,12 +224,19 @@ def band_keys(sig: np.ndarray) -> list[int]:
 
 
 def sketch(codes: np.ndarray, size: int) -> list[int]:
-    """Eight bits of the least of ``size`` orders of the codes each: two sets agree in as many values as their similarity says."""
+    """Eight bits of the least code of each of ``size`` bins, an empty one taking the next full one's: two sets agree in as many values as their similarity says."""
     with np.errstate(over="ignore"):
-        h = (codes.astype(np.uint64)[:, None] + np.uint64(1)) * (np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+        h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h.min(axis=0) >> np.uint64(40)).astype(np.uint8).view(np.int8).tolist()
+        h ^= h >> np.uint64(32)
+    none = np.iinfo(np.uint64).max
+    out = np.full(size, none, np.uint64)
+    np.minimum.at(out, (h % np.uint64(size)).astype(np.int64), h)
+    full = np.nonzero(out != none)[0]
+    if len(full) < size:
+        out = out[np.append(full, full[0])[np.searchsorted(full, np.arange(size))]]
+    return (out >> np.uint64(40)).astype(np.uint8).view(np.int8).tolist()
 
 
 def profiled(parse_results: DataFrame) -> DataFrame:
@@ -243,11 +253,11 @@ def profiled(parse_results: DataFrame) -> DataFrame:
             rows = []
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
                 toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
-                kinds = kinds_of(toks) if toks else None
-                verdict, share, n = marks(path, lang, text, toks, kinds)
+                columns = columns_of(toks) if toks else None
+                verdict, share, n = marks(path, lang, text, toks, columns)
                 shape, size, bands, near, named = None, None, None, None, None
                 if toks and n and not (lang != "php" and text.lstrip()[:1] == "<"):
-                    code = coded(toks, kinds)
+                    code = coded(toks, columns)
                     shape = xxhash.xxh64_intdigest(code.masked.tobytes()) - (1 << 63)
                     own = shingles(code.masked)
                     sig = signature(own)
@@ -312,7 +322,7 @@ def _least_agreement(n: Column) -> Column:
 
 
 def _verified(candidates: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (shape, other) whose masked or plain shingle sets have a Jaccard similarity of SIMILARITY or more.
+    """The pairs (shape, other, copied) whose masked or plain shingle sets have a Jaccard similarity of SIMILARITY or more; ``copied`` if the plain ones have.
 
     Signatures and sketches, a quarter kilobyte a shape, go over the pairs first; only pairs that can be
     similar by one of them move the sets.
@@ -324,7 +334,8 @@ def _verified(candidates: DataFrame, sketches: DataFrame, sets: DataFrame) -> Da
     wanted = _small(alike.select(F.explode(F.array("shape", "other")).alias("shape")).distinct().checkpoint())
     sets = sets.join(wanted, "shape", "left_semi")
     both = alike.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
-    return both.where((_jaccard("sets", "osets") >= SIMILARITY) | (_jaccard("plain", "oplain") >= SIMILARITY)).select("shape", "other")
+    judged = both.select("shape", "other", (_jaccard("plain", "oplain") >= SIMILARITY).alias("copied"), (_jaccard("sets", "osets") >= SIMILARITY).alias("alike"))
+    return judged.where("copied OR alike").select("shape", "other", "copied")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -332,6 +343,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Least labels go over the links, then to the label's own label, until none changes.
     """
+    links = links.select("shape", "other")
     both = links.unionByName(links.select(F.col("other").alias("shape"), F.col("shape").alias("other"))).distinct().checkpoint()
     labels = both.groupBy("shape").agg(F.least("shape", F.min("other")).alias("cluster")).checkpoint()
     while True:
@@ -373,15 +385,22 @@ def clusters(parse_results: DataFrame, files: DataFrame) -> DataFrame:
     # shapes that the first comparison has linked to one head need none among themselves
     first = stars.groupBy("shape").agg(F.min("other").alias("to"))
     rest = banded.join(first, "shape", "left").select("band", "shape", "size", F.coalesce("to", "shape").alias("cluster"))
-    links = stars.unionByName(_verified(_in_buckets(rest), sketches, sets))
-    return files.where("shape IS NOT NULL").select("shape").distinct().join(components(links), "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"))
+    links = stars.unionByName(_verified(_in_buckets(rest), sketches, sets)).checkpoint()
+    copied = links.where("copied").select(F.explode(F.array("shape", "other")).alias("shape")).distinct().withColumn("copied", F.lit(True))
+    return files.where("shape IS NOT NULL").select("shape").distinct().join(components(links), "shape", "left").join(copied, "shape", "left").select("shape", F.coalesce("cluster", "shape").alias("cluster"), F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
-def _agreeing(known: DataFrame) -> DataFrame:
-    """(cluster) of those whose files share their plain shingles, not their shape alone: in the mean over the sketch, AGREE of the files have the most frequent value."""
-    values = known.select("cluster", F.posexplode("sketch").alias("at", "value")).groupBy("cluster", "at", "value").count()
-    top = values.groupBy("cluster", "at").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
-    return top.groupBy("cluster").agg(F.avg(F.col("top") / F.col("n")).alias("agree")).where(F.col("agree") >= AGREE).select("cluster")
+def _copies(known: DataFrame) -> DataFrame:
+    """(cluster) of those whose files are copies rather than look-alikes: most of them have a link by their plain shingles, or share shape and plain shingles with others.
+
+    Files of one shape share their plain shingles where in the mean over the sketch AGREE of them have the most frequent value.
+    """
+    values = known.select("cluster", "shape", F.posexplode("sketch").alias("at", "value")).groupBy("cluster", "shape", "at", "value").count()
+    top = values.groupBy("cluster", "shape", "at").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+    shapes = top.groupBy("cluster", "shape").agg(F.avg(F.col("top") / F.col("n")).alias("agree"), F.first("n").alias("n"))
+    linked = known.groupBy("cluster", "shape").agg(F.max("copied").alias("copied"))
+    same = (F.col("n") > 1) & (F.col("agree") >= AGREE)
+    return shapes.join(linked, ["cluster", "shape"]).groupBy("cluster").agg((F.sum(F.when(F.col("copied") | same, F.col("n")).otherwise(0)) / F.sum("n")).alias("part")).where("part > 0.5").select("cluster")
 
 
 def classified(parse_results: DataFrame, use_marks: bool = True) -> DataFrame:
@@ -398,11 +417,11 @@ def classified(parse_results: DataFrame, use_marks: bool = True) -> DataFrame:
     if not use_marks:
         files = files.withColumn("verdict", F.lit(None).cast("string"))
     named = clusters(parse_results, files)
-    known = files.where("shape IS NOT NULL").join(named, "shape").select("filepath", "cluster", "repo", "verdict", "literal", "sketch")
+    known = files.where("shape IS NOT NULL").join(named, "shape").select("filepath", "shape", "cluster", "copied", "repo", "verdict", "literal", "sketch")
     in_repo = known.groupBy("cluster", "repo").agg(F.count(F.lit(1)).alias("family"), F.avg("literal").alias("l"), F.count_if(F.col("verdict") == "generated").alias("g"), F.count_if(F.col("verdict") == "vendored").alias("v"))
     overall = in_repo.groupBy("cluster").agg(F.max("family").alias("family"), F.avg("family").alias("usual"), F.count(F.lit(1)).alias("repos"), F.avg("l").alias("l"), F.sum("g").alias("g"), F.sum("v").alias("v")).where((F.col("family") > 1) | (F.col("repos") > 1)).checkpoint()
     wide = overall.where(F.col("repos") >= SPREAD).select("cluster")
-    copies = _agreeing(known.join(wide, "cluster", "left_semi")).withColumn("copied", F.lit(True))
+    copies = _copies(known.join(wide, "cluster", "left_semi")).withColumn("copied", F.lit(True))
     sign = (
         F.when((F.col("l") >= 0.85) & (F.col("repos") + F.col("family") > 2), "data")
         .when((F.col("repos") >= SPREAD) & (F.col("g") >= F.col("v")) & (F.col("g") > 0), "generated")
