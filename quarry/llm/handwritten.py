@@ -269,16 +269,16 @@ def profiled(parse_results: DataFrame) -> DataFrame:
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, _FILE)
 
 
-def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """A checkpointed table, to be broadcast if it has ``most`` rows at most (those of keys 20 MB)."""
-    return F.broadcast(df) if df.count() <= most else df
+def _small(df: DataFrame, most: int = SMALL, rows: int | None = None) -> DataFrame:
+    """A table, to be broadcast if it has ``most`` rows at most (those of keys 20 MB); ``rows`` if they have been counted."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
-def _shingle_sets(parse_results: DataFrame, wanted: DataFrame) -> DataFrame:
+def _shingle_sets(parse_results: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """(shape, sets, plain), the masked and the plain shingles of the files in ``wanted`` (filepath, shape; checkpointed): only candidates are read again for verification."""
     own = parse_results.select("repo", "filepath", "language", "content", "parsed_at")
-    few = _small(wanted)
-    paths = _small(wanted.select(F.col("filepath").alias("path")))
+    few = _small(wanted, rows=rows)
+    paths = _small(wanted.select(F.col("filepath").alias("path")), rows=rows)
     files = current_files(own.join(paths, clean_path(F.col("filepath")) == F.col("path"), "left_semi")).join(few, "filepath")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,8 +330,8 @@ def _verified(candidates: DataFrame, sketches: DataFrame, sets: DataFrame) -> Da
     other = sketches.select(F.col("shape").alias("other"), F.col("size").alias("osize"), F.col("near").alias("onear"), F.col("sketch").alias("osketch"))
     values = F.least("size", "osize", F.lit(BANDS * ROWS))  # a small set has no more independent values than shingles
     looks = (_named_alike("sketch", "osketch") >= _least_agreement(F.lit(SKETCH))) | (_agreement("near", "onear") >= _least_agreement(values))
-    alike = candidates.join(_small(sketches, SKETCHES), "shape").join(_small(other, SKETCHES), "other").where(looks).select("shape", "other").checkpoint()
-    wanted = _small(alike.select(F.explode(F.array("shape", "other")).alias("shape")).distinct().checkpoint())
+    alike = candidates.join(sketches, "shape").join(other, "other").where(looks).select("shape", "other").checkpoint()
+    wanted = _small(alike.select(F.explode(F.array("shape", "other")).alias("shape")).distinct(), rows=2 * alike.count())
     sets = sets.join(wanted, "shape", "left_semi")
     both = alike.join(sets, "shape").join(sets.select(F.col("shape").alias("other"), F.col("sets").alias("osets"), F.col("plain").alias("oplain")), "other")
     judged = both.select("shape", "other", (_jaccard("plain", "oplain") >= SIMILARITY).alias("copied"), (_jaccard("sets", "osets") >= SIMILARITY).alias("alike"))
@@ -378,9 +378,10 @@ def clusters(parse_results: DataFrame, files: DataFrame) -> DataFrame:
     shared = coded.groupBy("band").agg(F.min("shape").alias("head"), F.max("shape").alias("last")).where("head <> last").select("band", "head").checkpoint()
     banded = coded.join(_small(shared), "band").groupBy("shape", "size", "band", "head").agg(F.min("filepath").alias("filepath")).checkpoint()
     wanted = banded.groupBy("shape").agg(F.min("filepath").alias("filepath")).select("filepath", "shape").checkpoint()
-    sketches = files.select("filepath", "size", "near", "sketch").join(_small(wanted), "filepath").select("shape", "size", "near", "sketch").checkpoint()
+    n = wanted.count()
+    sketches = _small(files.select("filepath", "size", "near", "sketch").join(_small(wanted, rows=n), "filepath").select("shape", "size", "near", "sketch"), SKETCHES, n)
     banded = banded.drop("filepath")
-    sets = _shingle_sets(parse_results, wanted).checkpoint()
+    sets = _shingle_sets(parse_results, wanted, n).checkpoint()
     stars = _verified(banded.where("shape <> head").select("shape", F.col("head").alias("other")).distinct(), sketches, sets).checkpoint()
     # shapes that the first comparison has linked to one head need none among themselves
     first = stars.groupBy("shape").agg(F.min("other").alias("to"))
