@@ -101,50 +101,124 @@ def line_column(x: Column, index: Column) -> tuple[Column, Column]:
     return line_count(head), F.length(F.substring_index(head, "\n", -1))
 
 
+# White space as scripts count it: that of Java's class, and the Unicode spaces.
+SPACE = r"[\s\u000b\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(x: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def content_parts(content: Column) -> tuple[Column, Column, Column]:
+    """(documentation, signature, body) of a chunk.
+
+    Documentation are the comment lines before the first line of code; the signature is the code up to the
+    first ``{`` or ``=>``, or without either its first line; the body the rest, or all of the code. A part
+    that is empty is null, the body never.
+    """
+    lines = F.split(content, "\n", -1)
+    remark = F.transform(lines, lambda x: x.rlike(rf"^{SPACE}*(?://|#|/\*|\*)") | (strip(x) == ""))
+    first = F.coalesce(F.nullif(F.array_position(remark, F.lit(False)), F.lit(0)), F.size(lines) + 1).cast("int")
+    doc = F.array_join(F.filter(F.slice(lines, F.lit(1), first - 1), lambda x: strip(x) != ""), "\n")
+    code = F.array_join(F.slice(lines, first, F.size(lines)), "\n")
+    brace, arrow = F.instr(code, "{"), F.instr(code, "=>")
+    opening = F.when((brace > 0) & (arrow > 0), F.least(brace, arrow)).otherwise(F.greatest(brace, arrow))
+    head = F.when(opening > 0, F.substring(code, F.lit(1), opening - 1)).otherwise(F.substring_index(code, "\n", 1))
+    body = F.when(opening > 0, F.substring(code, opening, F.length(code))).otherwise(code)
+    return F.nullif(doc, F.lit("")), F.nullif(strip(head), F.lit("")), strip(body)
+
+
 def round6(x: Column) -> Column:
     return F.round(x, 6)
 
 
-def redact_assignments(x: Column) -> Column:
-    """Values of quoted assignments to secret-looking names, bearer tokens, key blocks and known token prefixes masked, in this order."""
-    pem = F.regexp_replace(x, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]")
-    bearer = F.regexp_replace(pem, r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 [REDACTED]")
-    quoted = F.regexp_replace(bearer, r"(?i)\b((?:[a-z0-9_-]*)(?:api[_-]?key|secret|token|password|passwd|private[_-]?key))(\s*[:=]\s*)(\"[^\"\n]*\"|'[^'\n]*')", '$1$2"[REDACTED]"')
-    return F.regexp_replace(quoted, r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\b", "[REDACTED]")
+# Names whose value is a secret, marks of token formats, words that are types rather than values.
+SECRET_KEY = "(?:api[_-]?key|access[_-]?token|auth(?:entication)?[_-]?token|authorization|client[_-]?secret|password|passwd|private[_-]?key|secret|token)"
+PEM = r"-----BEGIN [^-]+-----[\s\S]*?-----END [^-]+-----"
+BEARER = r"(?i)\bBearer[ \t]+[A-Za-z0-9._~+/-]{8,}={0,2}"
+TOKEN = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{20,})\b"
+TYPE_WORD = r"(?:any|bigint|boolean|never|null|number|object|string|symbol|undefined|unknown|void)(?:\[\])?[?]?"
+
+
+def redact(x: Column) -> Column:
+    """Secrets masked in five passes: key blocks, bearer tokens, quoted values of secret names, unquoted ones that are no type, token formats."""
+    left = rf"""((?:["']?(?<![A-Za-z0-9_]){SECRET_KEY}(?![A-Za-z0-9_])["']?)[ \t]*[:=][ \t]*)"""
+    out = F.regexp_replace(x, PEM, "[REDACTED PEM BLOCK]")
+    out = F.regexp_replace(out, BEARER, "Bearer [REDACTED TOKEN]")
+    out = F.regexp_replace(out, rf"""(?i){left}(["'`])(?:\\.|[^\\\r\n])*?\2""", "$1$2[REDACTED]$2")
+    value = r"""[^\s"'`,;}\r\n)]"""
+    out = F.regexp_replace(out, rf"(?i){left}(?!{TYPE_WORD}(?!{value})){value}+", "$1[REDACTED]")
+    return F.regexp_replace(out, TOKEN, "[REDACTED TOKEN]")
 
 
-# Phrases by which a text tries to steer its reader.
+def redact_values(values: Column) -> Column:
+    """A map of texts with the values of secret names masked whole, the others as texts are. A value that is masked already stays."""
+    secret = lambda k: F.lower(k).rlike(f"^{SECRET_KEY}$")
+    return F.transform_values(values, lambda k, v: F.when(secret(k) & v.isNotNull() & ~v.contains("[REDACTED"), "[REDACTED]").otherwise(redact(v)))
+
+
+# Fixed value: what an absolute path looks like in a message.
+ABSOLUTE_PATH = r"""(?:[A-Za-z]:[\\/]|(?:^|[\s("'`])/[^\s"'`)]*)"""
+
+
+def scrub_error(x: Column, fallback: str) -> Column:
+    """An error text, at most 500 characters; the fallback for one that holds an absolute path."""
+    return F.when(x.rlike(ABSOLUTE_PATH), F.lit(fallback)).when(F.length(x) > 500, F.concat(F.substring(x, 1, 497), F.lit("..."))).otherwise(x)
+
+
+# Phrases by which a text tries to steer its reader, with the confidence of each; in this order they are looked for.
 INSTRUCTION_SIGNALS = {
-    "override": r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+(?:instructions|prompts|rules)",
-    "role": r"(?i)\byou\s+are\s+now\b|\bact\s+as\s+(?:a|an|the)\b",
-    "exfiltration": r"(?i)\b(?:send|post|upload|exfiltrate)\b[^.\n]{0,60}\b(?:secret|token|password|credential)s?\b",
-    "never": r"(?i)\bnever\s+(?:delete|reveal|mention|tell)\b",
+    "instruction_override": (0.99, r"(?i)\b(?:ignore|disregard|forget|override|bypass|follow only)\b[\s\S]{0,140}\b(?:previous|prior|above|system|developer|assistant|safety|instruction|rule)s?\b"),
+    "authority_spoofing": (0.96, r"(?im)(?:^|[\r\n])\s*(?:system|developer|assistant)\s*(?:message|prompt|instruction)\s*[:>]"),
+    "tool_execution_request": (0.82, r"(?i)\b(?:call|invoke|use|run|execute)\b[\s\S]{0,100}\b(?:tool|function|command|shell|powershell|bash|terminal|script)\b"),
+    "secret_exfiltration_request": (0.94, r"(?i)\b(?:send|upload|exfiltrate|reveal|print|dump|share|post|collect)\b[\s\S]{0,120}\b(?:secret|token|api[_ -]?key|password|credential|private\s+key|environment|\.env)\b"),
+    "delimiter_spoofing": (0.91, r"(?i)<\s*/?\s*(?:system|tool_call|function_call|assistant|developer)\s*>|\[\s*(?:system|assistant|developer)\s*\]|```\s*(?:system|tool_call|function_call)\b"),
+    "hidden_unicode": (0.90, r"[\u202A-\u202E\u2066-\u2069]"),
+    "encoded_instruction": (0.78, r"(?i)\b(?:base64|atob|frombase64|decode|decode64)\b[\s\S]{0,100}\b(?:instruction|prompt|command|secret|token)\b"),
 }
 
 
 def signal_count(x: Column, name: str) -> Column:
     """Hits of one instruction signal."""
-    return F.regexp_count(x, F.lit(INSTRUCTION_SIGNALS[name]))
+    return F.regexp_count(x, F.lit(INSTRUCTION_SIGNALS[name][1]))
+
+
+# Kinds of project documents by name, the first that applies; ``adr`` looks at the whole path.
+ARTIFACTS = [
+    ("adr", r"(?:^|[-_])adr(?:[-_]|$)|(?:^|/)adr(?:/|$)"),
+    ("specification", r"(?:spec|rfc|requirements?)"),
+    ("plan", r"(?:plan|roadmap|proposal)"),
+    ("runbook", r"(?:runbook|playbook|operations?|incident)"),
+    ("security", r"(?:security|threat|vulnerability)"),
+    ("changelog", r"(?:change|history|release|version)"),
+    ("contributing", r"(?:contribut|development|getting-started)"),
+]
+
+
+def stem(path: Column) -> Column:
+    """Last part of a path without its extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
 def artifact_kind(path: Column) -> Column:
-    """Kind of a project artifact by its path; the first that applies."""
-    p = F.lower(path)
-    rules = [("adr", r"(^|/)(adr|adrs|decisions)/"), ("changelog", r"(^|/)(changelog|changes|history)"), ("readme", r"(^|/)readme"), ("runbook", r"runbook|playbook"), ("spec", r"(^|/)specs?(/|$)|rfc"), ("architecture", r"architect|design"), ("test", r"(^|/)tests?/|\.test\.|_test\."), ("config", r"(^|/)config/|\.(ya?ml|toml|ini|json)$"), ("docs", r"(^|/)docs?/|\.mdx?$")]
-    out = F.lit("other")
-    for kind, pattern in reversed(rules):
-        out = F.when(p.rlike(pattern), kind).otherwise(out)
-    return out
+    """Kind of a project document by its path."""
+    p = F.lower(normal_path(path))
+    name = stem(p)
+    out = F.when(name == "readme", "readme").when(name.contains("architecture") | (name == "design"), "architecture")
+    for kind, pattern in ARTIFACTS:
+        out = out.when((p if kind == "adr" else name).rlike(pattern), kind)
+    return out.otherwise("documentation")
 
 
 def markdown_title(x: Column) -> Column:
-    """Text of the first level-1 heading, or null."""
-    return F.nullif(F.trim(F.regexp_extract(x, r"(?m)^# +([^\r\n]+)", 1)), F.lit(""))
+    """Text of the first level-1 heading without closing signs, or null."""
+    return F.nullif(strip(F.regexp_extract(x, r"(?m)^\s*#\s+(.+?)\s*#?\s*$", 1)), F.lit(""))
 
 
 def markdown_links(x: Column, limit: int = 50) -> Column:
     """Distinct link targets in order, at most ``limit``."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(x, F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))), 1, limit)
+    return F.slice(F.array_distinct(F.regexp_extract_all(x, F.lit(r"\[[^\]]+\]\(([^)\s]+)(?:\s+[^)]*)?\)"), F.lit(1))), 1, limit)
 
 
 def change_kind(code: Column) -> Column:

@@ -17,14 +17,6 @@ def focus_terms(text: Column, limit: int = 12) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS))), 1, limit)
 
 
-def content_parts(content: Column) -> tuple[Column, Column, Column]:
-    """(documentation, signature, body): leading comment lines, the text up to the first ``{`` or ``=>``, the rest."""
-    doc = F.regexp_extract(content, r"^((?:[ \t]*(?://|#|/?\*)[^\n]*(?:\n|$)|[ \t]*\n)*)", 1)
-    rest = F.substring(content, F.length(doc) + 1, F.length(content))
-    head = F.regexp_extract(rest, r"^([\s\S]*?)(?:\{|=>|$)", 1)
-    return F.trim(doc), F.trim(head), F.substring(rest, F.length(head) + 1, F.length(rest))
-
-
 def short_symbol(symbol: Column) -> Column:
     """Last word of an index symbol."""
     parts = F.filter(F.split(symbol, "[#/.:`()]+"), lambda x: x != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..tables import ensure_checkpoint_dir
@@ -17,8 +17,10 @@ def closure(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = Fals
     seen = start.select("node").distinct().withColumn("distance", F.lit(0))
     frontier = seen
     for step in range(1, depth + 1):
-        nxt = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)).checkpoint()
-        if nxt.isEmpty():
+        reached = Observation()
+        step_ = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step))
+        nxt = step_.observe(reached, F.count(F.lit(1)).alias("n")).checkpoint()
+        if not reached.get["n"]:
             break
         seen = seen.unionByName(nxt)
         if step % 8 == 0:
@@ -39,31 +41,39 @@ def blast_radius(edges: DataFrame, focus: DataFrame, max_path: int) -> DataFrame
     return near.withColumn("kind", F.when(F.col("distance") == 1, "direct").otherwise("transitive"))
 
 
-def shortest_path(edges: DataFrame, source, target, max_length: int) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target, max_length: int, direction: str = "forward") -> DataFrame:
     """(path, length) of a shortest path of at most ``max_length`` edges, the least by node order among the shortest; no row if there is none.
 
-    Each round keeps one least path a node, so a round's size is bounded by the number of nodes.
+    ``direction`` follows the edges forward, in reverse, or both ways. Each round keeps one least path a node,
+    so a round's size is bounded by the number of nodes.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    edges = edges.select("src", "dst").distinct()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = {"forward": edges.select("src", "dst"), "reverse": back, "both": edges.select("src", "dst").unionByName(back)}
+    edges = ways[direction].distinct()
     seen = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path"))
     frontier = seen
-    for _ in range(max_length):
+    for k in range(max_length):
         goal = frontier.where(F.col("node") == target)
         if not goal.isEmpty():
             return goal.select("path", (F.size("path") - 1).alias("length"))
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         frontier = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).checkpoint()
-        seen = seen.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+        seen = seen.select("node").unionByName(frontier.select("node"))
+        if k % 8 == 7:
+            seen = seen.checkpoint()
     return frontier.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("length"))
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 30, tolerance: float = 1e-6, damping: float = 0.85) -> DataFrame:
     """(node, rank): personalised by ``focus`` >= 0 of the nodes, without redistribution of dangling mass.
 
-    Stops early once the L1 change falls below ``tolerance`` (checked every fifth round, with the checkpoint).
+    Stops once the L1 change of a round falls below ``tolerance``; the change is observed by the job that
+    writes the round, so it costs no job of its own.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("focus") > 0, F.col("focus")).otherwise(1.0)).alias("f")).first()
@@ -71,21 +81,19 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 30, tolerance
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     total = max((stats["f"] or 0.0) + n, 1.0)
-    base = nodes.select("node", ((F.col("focus") + 1) / total).alias("p"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
+    # both are joined by their key in every round: written once, in partitions by it
     weighted = edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("w")).checkpoint()
-    rank = nodes.select("node", F.lit(1.0 / n).alias("rank"))
-    last = rank
-    for i in range(1, iterations + 1):
-        inflow = weighted.join(rank, weighted["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
-        rank = base.join(inflow, base["node"] == inflow["dst"], "left").select("node", ((1 - damping) * F.col("p") + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if i % 5 == 0 and i < iterations:
-            rank = rank.checkpoint()
-            change = rank.join(last.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change is not None and change < tolerance:
-                break
-            last = rank
-    return rank
+    rank = nodes.select("node", ((F.col("focus") + 1) / total).alias("p"), F.lit(1.0 / n).alias("rank")).checkpoint()
+    for _ in range(iterations):
+        inflow = weighted.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
+        new = ((1 - damping) * F.col("p") + damping * F.coalesce("s", F.lit(0.0))).alias("rank")
+        seen = Observation()
+        rank = rank.join(inflow, "node", "left").select("node", "p", new, F.abs(new - F.col("rank")).alias("moved")).observe(seen, F.sum("moved").alias("change")).select("node", "p", "rank").checkpoint()
+        change = seen.get["change"]
+        if change is not None and change < tolerance:
+            break
+    return rank.select("node", "rank")
 
 
 def cycles(edges: DataFrame, length: int) -> DataFrame:
@@ -103,6 +111,32 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     return paths.join(back, ["end", "first"]).select("cycle")
 
 
+def all_cycles(edges: DataFrame, most: int = 50, longest: int = 50) -> DataFrame:
+    """(cycle): the first ``most`` simple cycles of at most ``longest`` nodes by length and nodes, each set of nodes once.
+
+    Nodes that lie on no cycle are stripped first; lengths are tried until enough are found.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    core = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct().checkpoint()
+    n = core.count()
+    while n:
+        core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").checkpoint()
+        n, last = core.count(), n
+        if n == last:
+            break
+    found, have = None, 0
+    for length in range(2, longest + 1):
+        if not n or have >= most or not length <= n:
+            break
+        some = cycles(core, length).groupBy(F.array_sort("cycle").alias("nodes")).agg(F.min("cycle").alias("cycle")).orderBy("cycle").limit(most - have).checkpoint()
+        have += some.count()
+        found = some if found is None else found.unionByName(some)
+        if length >= core.select("src").distinct().count():
+            break
+    empty = edges.limit(0).select(F.array("src").alias("cycle"))
+    return empty if found is None else found.select("cycle")
+
+
 def call_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """(caller, callee): one row per call site and function of the called name; repeats are kept."""
     return calls.join(nodes.select("name", F.col("node").alias("callee")), "name").select("caller", "callee")

@@ -45,11 +45,23 @@ def match_nodes(nodes: DataFrame, query: str) -> DataFrame:
     return both.where(F.col("tier") == both.agg(F.min("tier")).scalar()).drop("tier")
 
 
-def smallest_span(spans: DataFrame, points: DataFrame, key: str, point: str = "line") -> DataFrame:
+def _inside(spans: DataFrame, points: DataFrame, key: str, point: str, width: int) -> DataFrame:
+    """(key, point, start, stop, name) of the spans that contain each point, met in windows of ``width`` so that a hot key is spread."""
+    a = spans.select(key, "start", "stop", "name", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))).alias("_w")).where("start <= stop")
+    b = points.select(key, point).distinct().withColumn("_w", F.floor(F.col(point) / width))
+    return b.join(a, [key, "_w"]).where((F.col("start") <= F.col(point)) & (F.col("stop") >= F.col(point))).drop("_w")
+
+
+def smallest_span(spans: DataFrame, points: DataFrame, key: str, point: str = "line", width: int = 64) -> DataFrame:
     """Each point with the smallest span (start, stop, name) of its key that contains it; points in no span keep null."""
-    joined = points.join(spans, [key], "left")
-    inside = (F.col("start") <= F.col(point)) & (F.col("stop") >= F.col(point))
-    return joined.groupBy(key, point).agg(F.min(F.when(inside, F.struct((F.col("stop") - F.col("start")).alias("w"), "start", "name"))).alias("s")).select(key, point, F.col("s.name").alias("name"))
+    hit = _inside(spans, points, key, point, width).groupBy(key, point).agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("w"), "start", "name")).alias("s"))
+    return points.select(key, point).distinct().join(hit, [key, point], "left").select(key, point, F.col("s.name").alias("name"))
+
+
+def last_span(spans: DataFrame, points: DataFrame, key: str, point: str = "line", default: str = "__global__", width: int = 64) -> DataFrame:
+    """Each point with the span of its key that begins last among those that contain it, or ``default``."""
+    hit = _inside(spans, points, key, point, width).groupBy(key, point).agg(F.max(F.struct("start", "name")).alias("s"))
+    return points.select(key, point).distinct().join(hit, [key, point], "left").select(key, point, F.coalesce("s.name", F.lit(default)).alias("name"))
 
 
 # ------------------------------------------------------------------ joins
@@ -218,26 +230,28 @@ def page(df: DataFrame, offset: int, limit: int, *order: Column | str) -> DataFr
 
 
 def fair_budget(layers: list[tuple[str, float, int]], total: int) -> dict[str, int]:
-    """Bytes given to each layer (name, weight, wanted): 30 % evenly, 70 % by weight, unused bytes poured on until nothing is left or wanted."""
+    """Bytes of a budget for each layer (name, weight, wanted); a handful of layers, so plain arithmetic.
+
+    Three tenths go in equal parts and the rest by weight, each part rounded down, what rounding leaves to the
+    last layer; no layer gets more than it wants. What is over is poured by weight on those that want more,
+    at least a byte each, in rounds until nothing is left or wanted.
+    """
     if not layers:
         return {}
-    weights = sum(w for _, w, _ in layers) or 1.0
-    even, given, left = int(total * 0.3) // len(layers), {}, total
-    for k, (name, w, wanted) in enumerate(layers):
-        share = left if k == len(layers) - 1 else even + int(total * 0.7 * w / weights)
-        share = min(share, left)
-        given[name] = min(share, wanted)
-        left -= share
-    rest = total - sum(given.values())
-    while rest > 0:
-        hungry = [(n, w) for n, _, w in layers if given[n] < w]
-        if not hungry:
+    even, weights = total * 3 // 10, sum(w for _, w, _ in layers)
+    parts = [even // len(layers) + int((total - even) * w / weights) for _, w, _ in layers[:-1]]
+    parts.append(total - sum(parts))
+    given = {name: min(part, wanted) for (name, _, wanted), part in zip(layers, parts, strict=True)}
+    over = total - sum(given.values())
+    while over > 0:
+        hungry = [x for x in layers if given[x[0]] < x[2]]
+        pool, weights = over, sum(w for _, w, _ in hungry)
+        for name, weight, wanted in hungry:
+            more = min(wanted - given[name], max(1, int(pool * weight / weights)), over)
+            given[name] += more
+            over -= more
+        if over == pool:
             break
-        each = max(1, rest // len(hungry))
-        for name, wanted in hungry:
-            add = min(each, wanted - given[name], rest)
-            given[name] += add
-            rest -= add
     return given
 
 

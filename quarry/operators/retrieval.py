@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BOUNDARY, split_camel, tokens
+from ..functions.scalars import BOUNDARY, content_parts, split_camel, tokens
 
 RRF_K = 60
 POOL = 500
@@ -58,7 +58,7 @@ def squared_distance(vector: Column, query: list[float]) -> Column:
 
 def vector_top_k(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "vec_id", threshold: float | None = None) -> DataFrame:
     """(key, score) of the ``k`` nearest vectors, score being the squared distance; optionally only those within ``threshold``."""
-    scored = vectors.where(F.size(vector) == len(query)).select(key, squared_distance(F.col(vector), query).alias("score"))
+    scored = vectors.where(valid_embedding(F.col(vector), len(query))).select(key, squared_distance(F.col(vector), query).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") <= threshold)
     return top_k(scored, k, "score", key)
@@ -134,43 +134,94 @@ def bm25(docs: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "
     return top_k(joined.select(key, score.alias("score")), k, F.desc("score"), key)
 
 
+def full_text(chunks: DataFrame, query: str, k: int) -> DataFrame:
+    """(id, score) of the ``k`` best chunks by BM25, the score being one over the place."""
+    best = bm25(chunks, query, k, "id", "content")
+    return with_rank(best, F.desc("score"), "id").select("id", (1.0 / (F.col("rank") + 1)).alias("score"))
+
+
+def candidates(chunks: DataFrame, query: str, vector: list[float], mode: str = "hybrid", limit: int = POOL + 1, weight: float = 0.5) -> DataFrame:
+    """(id, score) of the first ``limit`` chunks in the mode: ``vector`` (distance, less is nearer), ``fts`` (one over the place) or ``hybrid`` (fused ranks of twice as many of both)."""
+    if mode == "vector":
+        return vector_top_k(chunks, vector, limit, "vector", "id")
+    if mode == "fts":
+        return full_text(chunks, query, limit)
+    if mode != "hybrid":
+        raise ValueError(f"mode {mode}")
+    near = with_rank(vector_top_k(chunks, vector, 2 * limit, "vector", "id"), "score", "id").select("id", "rank")
+    text = with_rank(full_text(chunks, query, 2 * limit), F.desc("score"), "id").select("id", "rank")
+    return reciprocal_rank_fusion(near, text, limit, weight)
+
+
+_IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?$"
+
+
+def split_terms(query: str) -> list[str]:
+    """Distinct terms of a query whose camel case is split first, as reranking and classification read it."""
+    return query_terms(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", query))
+
+
+def query_kind(query: str) -> str:
+    """identifier, concept or mixed: one name is an identifier, a name of two terms is mixed, everything else a concept."""
+    text = query.strip()
+    terms = split_terms(text)
+    named = re.match(_IDENTIFIER, text) is not None or any("_" in t or "$" in t for t in terms)
+    if named and len(terms) <= 2:
+        return "identifier" if len(terms) == 1 else "mixed"
+    return "concept"
+
+
 def classify_query(query: Column) -> Column:
-    """identifier, concept or mixed. A single word is an identifier; the text of three or more terms is a concept."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(split_camel(query)), F.lit("([a-z0-9_$]+)"), F.lit(1)))
-    plain = F.trim(query)
-    return F.when(~plain.contains(" ") & (F.size(terms) <= 1), "identifier").when(F.size(terms) >= 3, "concept").otherwise("mixed")
+    """``query_kind`` of a column."""
+    text = F.trim(query)
+    terms = F.array_distinct(tokens(split_camel(text), "search"))
+    named = text.rlike(_IDENTIFIER) | F.exists(terms, lambda t: t.contains("_") | t.contains("$"))
+    return F.when(named & (F.size(terms) == 1), "identifier").when(named & (F.size(terms) <= 2), "mixed").otherwise("concept")
 
 
-def rerank(pool: DataFrame, query: str, mode: str = "lexical", concept: bool = False) -> DataFrame:
-    """A ranked pool (rank from 0) with ``rerank_score`` mixing the old position and a term signal."""
-    terms = query_terms(query)
-    symbol = F.lower(F.concat_ws(" ", F.coalesce("symbolname", F.lit("")), F.coalesce("symboltype", F.lit(""))))
-    content, path = F.lower(F.coalesce("content", F.lit(""))), F.lower(F.coalesce("filepath", F.lit("")))
+def _symbol_text() -> Column:
+    return F.lower(F.concat(F.coalesce("symbolname", F.lit("")), F.lit(" "), F.coalesce("symboltype", F.lit(""))))
+
+
+def rerank(pool: DataFrame, query: str, mode: str = "lexical") -> DataFrame:
+    """A ranked pool (rank from 0, bounded) with ``rerank_score`` mixing the old position and a term signal.
+
+    Without terms, with mode ``none`` or with fewer than two rows the old ``score`` stays.
+    """
+    terms, q = split_terms(query), query.strip().lower()
+    if mode == "none" or not terms:
+        return pool.withColumn("rerank_score", F.col("score"))
+    content, path, symbol = F.lower(F.coalesce("content", F.lit(""))), F.lower(F.coalesce("filepath", F.lit(""))), _symbol_text()
+    weight = 1.5 if query_kind(query) == "concept" else 3.0
     signal = F.lit(0.0)
     for t in terms:
-        signal = signal + F.when(symbol.contains(t), 1.5 if concept else 3.0).otherwise(0.0) + F.when(content.contains(t), 1.0).otherwise(0.0) + F.when(path.contains(t), 0.5).otherwise(0.0)
-    top, old, new = 4.5, 0.65, 0.35
+        signal = signal + F.when(symbol.contains(t), weight).otherwise(0.0) + F.when(content.contains(t), 1.0).otherwise(0.0) + F.when(path.contains(t), 0.5).otherwise(0.0)
+    most, old, new = 4.5, 0.65, 0.35
     if mode == "code":
         name = F.lower(F.coalesce("symbolname", F.lit("")))
-        signal = signal + F.when(name == query.lower().strip(), 8.0).otherwise(0.0)
-        words = F.split(name, "[^a-z0-9_$]+")
+        words = tokens(name, "search")
+        signal = signal + F.when(name == q, 8.0).otherwise(0.0)
         for t in terms:
             signal = signal + F.when(F.array_contains(words, t), 3.0).otherwise(0.0)
-        signal = signal + F.when(F.substring_index(content, "{", 1).contains(query.lower().strip()), 2.0).otherwise(0.0)
-        top, old, new = 8.0, 0.4, 0.6
-    share = F.least(F.lit(1.0), signal / max(top * len(terms), 1.0))
-    return pool.withColumn("rerank_score", old / (F.col("rank") + 1) + new * share)
-
-
-def confidence(ranked: DataFrame, query: str, concept: bool = False) -> DataFrame:
-    """A ranked result (rank, score) with ``confidence`` between 0 and 1."""
-    terms = query_terms(query)
-    symbol, content = F.lower(F.coalesce("symbolname", F.lit(""))), F.lower(F.coalesce("content", F.lit("")))
-    q = query.lower().strip()
-    matched = sum((F.when(content.contains(t) | symbol.contains(t), 1).otherwise(0) for t in terms), F.lit(0))
+        signature = F.lower(F.coalesce(content_parts(F.coalesce("content", F.lit("")))[1], F.lit("")))
+        signal = signal + F.when(signature.contains(q) & (signature != ""), 2.0).otherwise(0.0)
+        most, old, new = 8.0, 0.4, 0.6
+    share = F.least(F.lit(1.0), signal / max(most * len(terms), 1.0))
+    several = F.count(F.lit(1)).over(W.partitionBy(F.lit(1))) > 1  # of a bounded pool
+    return pool.withColumn("rerank_score", F.when(several, old / (F.col("rank") + 1) + new * share).otherwise(F.col("score")))
+
+
+def confidence(ranked: DataFrame, query: str) -> DataFrame:
+    """A ranked result (rank, score; ``distance`` for neighbours) with ``confidence`` between 0 and 1."""
+    terms, q = split_terms(query), query.lower()
+    symbol, content = _symbol_text(), F.lower(F.coalesce("content", F.lit("")))
+    matched = sum((F.when(content.contains(t), 1).otherwise(0) for t in terms), F.lit(0))
     following = F.lead("score").over(W.orderBy("rank"))  # a bounded result
     margin = F.when(F.col("score") > following, F.least(F.lit(0.12), (F.col("score") - following) / F.greatest(F.abs("score"), F.lit(1.0)))).otherwise(0.0)
-    value = 0.25 + F.least(F.lit(0.25), 0.2 / (F.col("rank") + 1)) + F.when(symbol.contains(q), 0.16 if concept else 0.35).otherwise(0.0) + F.when(content.contains(q), 0.16).otherwise(0.0) + 0.18 * matched / max(len(terms), 1) + margin
+    named = 0.16 if query_kind(query) == "concept" else 0.35
+    value = 0.25 + F.least(F.lit(0.25), 0.2 / (F.col("rank") + 1)) + F.when(symbol.contains(q), named).otherwise(0.0) + F.when(content.contains(q), 0.16).otherwise(0.0) + 0.18 * matched / max(len(terms), 1) + margin
+    if "distance" in ranked.columns:
+        value = value * F.when(F.col("distance").isNull(), 1.0).otherwise(F.pow(F.lit(0.82), F.col("distance")))
     return ranked.withColumn("confidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 4))
 
 

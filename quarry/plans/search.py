@@ -1,4 +1,4 @@
-"""Composite requests: search, repository map, dead code, changed symbols."""
+"""Composite requests: search, repository map, changed symbols."""
 
 from __future__ import annotations
 
@@ -6,20 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, retrieval
-from ..operators.relational import byte_budget_prefix, is_test_path, search_filter
+from ..operators.relational import adjacent, byte_budget_prefix, keep_first, keyed_range_join, search_filter
 
 
-def search(chunks: DataFrame, query: str, limit: int = 10, offset: int = 0, mode: str = "lexical", floor: float = 0.0, **filters) -> DataFrame:
-    """(id, filepath, startline, score, confidence, rank): candidate pool of 500, rerank, post-filters, confidence floor, page.
+def search(chunks: DataFrame, query: str, vector: list[float] | None = None, mode: str = "fts", rerank: str = "lexical", limit: int = 10, offset: int = 0, floor: float = 0.0, threshold: float | None = None, weight: float = 0.5, neighbours: int = 0, **filters) -> DataFrame:
+    """(id, filepath, startline, score, confidence, rank, neighbour_of) of one search.
 
-    The filters follow the pool, as they narrow a result and don't widen it.
+    The first 500 candidates of the mode are ordered, then filtered, each (file, line, symbol) once, widened by
+    up to 3 neighbours of the first 20 hits, reranked, rated, and cut to those of enough confidence and the
+    page. The filters follow the pool, as they narrow a result and don't widen it; ``threshold`` is a distance
+    and counts in vector mode only.
     """
-    pool = retrieval.top_k(retrieval.lexical_scores(chunks, query), retrieval.POOL, F.desc("score"), "filepath", "startline", "id")
-    ranked = retrieval.with_rank(pool, F.desc("score"), "filepath", "startline", "id")
-    scored = retrieval.rerank(ranked, query, mode).withColumn("score", F.col("rerank_score")).drop("rerank_score", "rank")
-    kept = search_filter(scored, **filters)
-    final = retrieval.confidence(retrieval.with_rank(kept, F.desc("score"), "filepath", "startline", "id"), query).where(F.col("confidence") >= floor)
-    return final.orderBy("rank").offset(offset).limit(limit).select("id", "filepath", "startline", F.round("score", 6).alias("score"), "confidence", "rank")
+    found = retrieval.candidates(chunks, query, vector or [], mode, retrieval.POOL + 1, weight)
+    better = F.col("score").asc() if mode == "vector" else F.col("score").desc()
+    order = [better, "filepath", "startline", "id"]
+    pool = retrieval.top_k(found, retrieval.POOL, better, "id").join(chunks, "id")
+    if threshold is not None and mode == "vector":
+        pool = pool.where(F.col("score") <= threshold)
+    kept = keep_first(search_filter(pool, **filters), ["filepath", "startline", "symbolname"], *order)
+    hits = retrieval.with_rank(kept, *order).withColumn("neighbour_of", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("int"))
+    if neighbours:
+        seeds = hits.where("rank < 20").select("id", F.col("score").alias("seed_score"), F.col("rank").alias("seed_rank"))
+        near = adjacent(chunks, seeds, min(3, neighbours)).join(seeds.withColumnRenamed("id", "seed"), "seed").join(search_filter(chunks, **filters), "id")
+        score = retrieval.neighbour_score(F.col("seed_score"), F.col("distance"), mode == "vector" and rerank == "none")
+        placed = near.withColumn("score", score).withColumn("side_order", F.when(F.col("side") == "before", 0).otherwise(1))
+        first = retrieval.with_rank(placed, "seed_rank", "distance", "side_order", "id").where("rank < 120").withColumn("rank", F.col("rank") + 1000)
+        wide = hits.unionByName(first.withColumn("neighbour_of", F.col("seed").cast("string")).select(*hits.columns))
+        hits = retrieval.with_rank(keep_first(wide, ["filepath", "startline", "symbolname"], "rank", "id").withColumnRenamed("rank", "_r"), "_r").drop("_r")
+    scored = retrieval.rerank(hits, query, rerank)
+    again = scored.withColumnRenamed("rank", "_old").withColumn("score", F.col("rerank_score")).drop("rerank_score")
+    placed = retrieval.with_rank(again, *([F.desc("score"), "_old"] if rerank != "none" else ["_old"]))
+    rated = retrieval.confidence(placed, query).where(F.col("confidence") >= floor)
+    return rated.orderBy("rank").offset(offset).limit(limit).select("id", "filepath", "startline", F.round("score", 6).alias("score"), "confidence", "rank", "neighbour_of")
 
 
 def repository_map(edges: DataFrame, files: DataFrame, tokens: int) -> DataFrame:
@@ -29,16 +47,9 @@ def repository_map(edges: DataFrame, files: DataFrame, tokens: int) -> DataFrame
     return byte_budget_prefix(ordered, tokens, "key", "text").select("node", "rank", "used")
 
 
-def dead_code(symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """(filepath, name, type, confidence): functions defined once, outside tests, that nothing refers to."""
-    once = symbols.where(F.col("type").isin("function", "method") & F.col("name").isNotNull() & ~F.col("name").isin("main", "constructor", "__init__") & ~is_test_path(F.col("filepath")))
-    single = once.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("filepath").alias("filepath"), F.min("type").alias("type")).where("n = 1")
-    used = references.groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
-    return single.join(used, "name", "left_anti").select("filepath", "name", "type", retrieval.dead_code_confidence(F.col("type")).alias("confidence"))
-
-
 def changed_symbols(symbols: DataFrame, hunks: DataFrame, whole: DataFrame) -> DataFrame:
     """Symbols (filepath, name, line, endline) that a hunk (filepath, start, stop) touches, or whose file changed as a whole."""
-    cond = (symbols["filepath"] == hunks["filepath"]) & (hunks["start"] <= symbols["endline"]) & (hunks["stop"] >= symbols["line"])
-    touched = symbols.join(hunks, cond, "left_semi")
-    return touched.unionByName(symbols.join(whole, "filepath", "left_semi")).distinct()
+    a = symbols.select("filepath", "name", "line", "endline").distinct().withColumn("a1", F.col("line")).withColumn("a2", F.coalesce("endline", "line"))
+    b = hunks.select("filepath", F.col("start").alias("b1"), F.col("stop").alias("b2")).distinct()
+    touched = keyed_range_join(a, b, "filepath", 64).select("filepath", "name", "line", "endline")
+    return touched.unionByName(symbols.select("filepath", "name", "line", "endline").join(whole, "filepath", "left_semi")).distinct()

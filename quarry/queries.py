@@ -51,21 +51,13 @@ CHUNKS = "chunks AS (SELECT doc_id AS id, text AS content, coalesce(repo, '') ||
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and the suppliers they bought from, in one space of keys: some suppliers are hot."""
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    pairs = o.join(li.where("l_quantity >= 50"), o["o_orderkey"] == li["l_orderkey"]).select((F.col("o_custkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"))
+    pairs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return pairs.where("src <> dst").distinct()
 
 
-EDGES = "edges AS (SELECT DISTINCT o_custkey % 100 AS src, l_suppkey % 100 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND o_custkey % 100 <> l_suppkey % 100)"
-
-
-def sparse(spark: SparkSession, d: str) -> DataFrame:
-    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    pairs = o.join(li.where("l_quantity >= 50 AND l_returnflag = 'R' AND l_discount >= 0.09"), o["o_orderkey"] == li["l_orderkey"]).select((F.col("o_custkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"))
-    return pairs.where("src <> dst").distinct()
-
-
-SPARSE = "edges AS (SELECT DISTINCT o_custkey % 100 AS src, l_suppkey % 100 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_returnflag = 'R' AND l_discount >= 0.09 AND o_custkey % 100 <> l_suppkey % 100)"
+EDGES = "edges AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey)"
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +153,7 @@ def fts_postings(s, d):
 
 
 _POOL = f"WITH {CHUNKS}, {SCORED}, pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM scored QUALIFY rank < 50)"
-_SIG = "+".join(f"(CASE WHEN contains(lower(symbolname || ' ' || symboltype), '{t}') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(content,'')), '{t}') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(filepath), '{t}') THEN 0.5 ELSE 0 END)" for t in ("frozen", "cache"))
+_SIG = "+".join(f"(CASE WHEN contains(lower(symbolname || ' ' || symboltype), '{t}') THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(coalesce(content,'')), '{t}') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(filepath), '{t}') THEN 0.5 ELSE 0 END)" for t in ("frozen", "cache"))
 
 
 def _pool(s, d):
@@ -176,15 +168,23 @@ def rerank_lexical(s, d):
 _NAME = "lower(symbolname)"
 
 
-@query(f"""{_POOL} SELECT id, rank, round(0.4 / (rank + 1) + 0.6 * least(1.0, ({_SIG} + CASE WHEN {_NAME} = 'frozen cache' THEN 8.0 ELSE 0 END
- + CASE WHEN list_contains(regexp_split_to_array({_NAME}, '[^a-z0-9_$]+'), 'frozen') THEN 3.0 ELSE 0 END + CASE WHEN list_contains(regexp_split_to_array({_NAME}, '[^a-z0-9_$]+'), 'cache') THEN 3.0 ELSE 0 END
- + CASE WHEN contains(split_part(lower(coalesce(content,'')), '{{', 1), 'frozen cache') THEN 2.0 ELSE 0 END) / 16.0), 6) AS rerank_score FROM pool""")
+# lines, the first that is neither blank nor a comment, and the code from there
+_SPLIT = r"""string_split(coalesce(content, ''), chr(10)) AS ls, list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: regexp_matches(x, '^\s*(//|#|/\*|\*)') OR regexp_replace(x, '\s', '', 'g') = '') AS remark"""
+_CODE_SQL = rf"""lined AS (SELECT *, coalesce(nullif(list_position(remark, FALSE), 0), len(ls) + 1) AS first FROM (SELECT *, {_SPLIT} FROM {{0}})),
+coded AS (SELECT *, array_to_string(list_filter(ls[1:first - 1], lambda x: regexp_replace(x, '\s', '', 'g') <> ''), chr(10)) AS doc, array_to_string(ls[first:], chr(10)) AS code FROM lined),
+opened AS (SELECT *, least(coalesce(nullif(instr(code, '{{{{'), 0), 1000000000), coalesce(nullif(instr(code, '=>'), 0), 1000000000)) AS opening FROM coded),
+parted AS (SELECT *, regexp_replace(CASE WHEN opening < 1000000000 THEN left(code, opening - 1) ELSE split_part(code, chr(10), 1) END, '^\s+|\s+$', '', 'g') AS head, regexp_replace(CASE WHEN opening < 1000000000 THEN substr(code, opening) ELSE code END, '^\s+|\s+$', '', 'g') AS body FROM opened)"""
+
+
+@query(f"""{_POOL}, {_CODE_SQL.format("pool")} SELECT id, rank, round(0.4 / (rank + 1) + 0.6 * least(1.0, ({_SIG} + CASE WHEN {_NAME} = 'frozen cache' THEN 8.0 ELSE 0 END
+ + CASE WHEN list_contains(regexp_extract_all({_NAME}, '[a-z0-9_$]+'), 'frozen') THEN 3.0 ELSE 0 END + CASE WHEN list_contains(regexp_extract_all({_NAME}, '[a-z0-9_$]+'), 'cache') THEN 3.0 ELSE 0 END
+ + CASE WHEN contains(lower(head), 'frozen cache') THEN 2.0 ELSE 0 END) / 16.0), 6) AS rerank_score FROM parted""")
 def rerank_code(s, d):
     return V.rerank(_pool(s, d), QUERY, "code").select("id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-_CONF = """least(1.0, greatest(0.0, 0.25 + least(0.25, 0.2 / (rank + 1)) + CASE WHEN contains(lower(symbolname), 'frozen cache') THEN 0.35 ELSE 0 END + CASE WHEN contains(lower(coalesce(content,'')), 'frozen cache') THEN 0.16 ELSE 0 END
- + 0.18 * ((CASE WHEN contains(lower(coalesce(content,'')), 'frozen') OR contains(lower(symbolname), 'frozen') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(coalesce(content,'')), 'cache') OR contains(lower(symbolname), 'cache') THEN 1 ELSE 0 END)) / 2
+_CONF = """least(1.0, greatest(0.0, 0.25 + least(0.25, 0.2 / (rank + 1)) + CASE WHEN contains(lower(symbolname || ' ' || symboltype), 'frozen cache') THEN 0.16 ELSE 0 END + CASE WHEN contains(lower(coalesce(content,'')), 'frozen cache') THEN 0.16 ELSE 0 END
+ + 0.18 * ((CASE WHEN contains(lower(coalesce(content,'')), 'frozen') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(coalesce(content,'')), 'cache') THEN 1 ELSE 0 END)) / 2
  + CASE WHEN score > lead(score) OVER (ORDER BY rank) THEN least(0.12, (score - lead(score) OVER (ORDER BY rank)) / greatest(abs(score), 1.0)) ELSE 0 END))"""
 
 
@@ -211,24 +211,12 @@ def baseline_rank(s, d):
     return V.baseline_scores(read(s, d, "documents"), QUERY)
 
 
-@query("""WITH x AS (SELECT doc_id, (CASE WHEN contains(lower(coalesce(title,'')), 'cache') THEN 5.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(source,'')), 'cache') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(text,'')), 'cache') THEN 1.0 ELSE 0 END
- + CASE WHEN contains(lower(coalesce(title,'')), 'memory') THEN 5.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(source,'')), 'memory') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(text,'')), 'memory') THEN 1.0 ELSE 0 END)::DOUBLE AS score, updated_at FROM documents)
-SELECT doc_id, score FROM x WHERE score > 0 ORDER BY score DESC, updated_at DESC NULLS LAST, doc_id LIMIT 50""")
-def memory_rank(s, d):
-    x = read(s, d, "documents").withColumn("score", V.presence_score("cache memory", {"title": 5.0, "source": 3.0, "text": 1.0}))
-    return V.top_k(x.where("score > 0"), 50, F.desc("score"), F.desc_nulls_last("updated_at"), "doc_id").select("doc_id", "score")
-
-
-@query("""SELECT DISTINCT path, score FROM (SELECT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path, (CASE WHEN contains(lower(coalesce(filepath,'')), 'docs') THEN 4.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(language,'')), 'docs') THEN 5.0 ELSE 0 END
- + CASE WHEN contains(lower(concat_ws(' ', filepath, language)), 'docs') THEN 8.0 ELSE 0 END)::DOUBLE AS score FROM parse_results) WHERE score > 0""")
-def catalog_rank(s, d):
-    x = read(s, d, "parse_results").select(S.normal_path(F.col("filepath")).alias("path"), V.presence_score("docs", {"filepath": 4.0, "language": 5.0}, 8.0).alias("score"))
-    return x.where("score > 0").distinct()
-
-
-@query("SELECT name, CASE WHEN NOT contains(trim(name), ' ') AND n <= 1 THEN 'identifier' WHEN n >= 3 THEN 'concept' ELSE 'mixed' END AS kind FROM (SELECT DISTINCT name, len(list_distinct(regexp_extract_all(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_$]+'))) AS n FROM unified_symbols WHERE name IS NOT NULL)")
+@query(r"""SELECT name, CASE WHEN named AND n = 1 THEN 'identifier' WHEN named AND n <= 2 THEN 'mixed' ELSE 'concept' END AS kind FROM (
+SELECT name, regexp_matches(trim(name), '^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)?$') OR len(list_filter(terms, lambda t: contains(t, '_') OR contains(t, '$'))) > 0 AS named, len(terms) AS n
+FROM (SELECT name, list_distinct(regexp_extract_all(lower(regexp_replace(trim(name), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_$]+')) AS terms FROM (SELECT name FROM unified_symbols WHERE name IS NOT NULL UNION SELECT title FROM documents WHERE title IS NOT NULL)))""")
 def query_class(s, d):
-    return read(s, d, "unified_symbols").where("name IS NOT NULL").select("name").distinct().withColumn("kind", V.classify_query(F.col("name")))
+    names = read(s, d, "unified_symbols").select("name").unionByName(read(s, d, "documents").select(F.col("title").alias("name")))
+    return names.where("name IS NOT NULL").distinct().withColumn("kind", V.classify_query(F.col("name")))
 
 
 _JUDGED = """rel AS (SELECT DISTINCT lower(trim(source)) AS query, doc_id AS id FROM documents WHERE source IS NOT NULL AND doc_id % 3 = 0 AND lower(lang) = 'en'),
@@ -250,11 +238,6 @@ def page_2(s, d):
     return R.page(V.lexical_scores(chunks(s, d), QUERY).select("id", "score"), R.read_cursor(R.cursor(scope, 10), scope), 10, F.desc("score"), "id")
 
 
-@query()
-def search_composite(s, d):
-    return P.search(chunks(s, d), QUERY, 20, language="en")
-
-
 # ------------------------------------------------------------------ scalars
 @query("SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimate(s, d):
@@ -271,10 +254,10 @@ def content_hashes(s, d):
     return read(s, d, "documents").select("doc_id", S.content_hash(F.col("text")).alias("hash"), S.project_id(F.col("repo")).alias("project"))
 
 
-@query("""WITH b AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 3) || ':' || sha256(string_agg(doc_id || chr(0) || sha256(text), chr(10) ORDER BY doc_id || chr(0) || sha256(text))) AS part FROM documents GROUP BY substr(sha256(doc_id::VARCHAR), 1, 3))
+@query("""WITH b AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 4) || ':' || sha256(string_agg(doc_id || chr(0) || sha256(text), chr(10) ORDER BY doc_id || chr(0) || sha256(text))) AS part FROM documents GROUP BY substr(sha256(doc_id::VARCHAR), 1, 4))
 SELECT substr(sha256(string_agg(part, chr(10) ORDER BY part)), 1, 16) AS fingerprint FROM b""")
-def source_fingerprint(s, d):
-    return K.fingerprint(read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), S.content_hash(F.col("text")).alias("hash")))
+def wide_fingerprint(s, d):
+    return K.wide_fingerprint(read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), S.content_hash(F.col("text")).alias("hash")))
 
 
 @query("SELECT doc_id, rtrim(translate(to_base64(encode(title)), '+/', '-_'), '=') AS code FROM documents WHERE title IS NOT NULL")
@@ -282,12 +265,6 @@ def base64url_titles(s, d):
     return read(s, d, "documents").where("title IS NOT NULL").select("doc_id", S.base64url(F.col("title")).alias("code"))
 
 
-@query("SELECT name, list_distinct(regexp_extract_all(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]+')) IS NOT NULL AS ok, len(regexp_extract_all(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]+')) AS n FROM (SELECT DISTINCT name FROM unified_symbols WHERE name IS NOT NULL)")
-def camel_tokens(s, d):
-    t = S.tokens(S.split_camel(F.col("name")), "embedding")
-    return read(s, d, "unified_symbols").where("name IS NOT NULL").select("name").distinct().select("name", t.isNotNull().alias("ok"), F.size(t).alias("n"))
-
-
 @query("SELECT doc_id, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) - length(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10), '')) + 1 AS lines FROM documents WHERE text IS NOT NULL")
 def line_counts(s, d):
     return read(s, d, "documents").where("text IS NOT NULL").select("doc_id", S.line_count(S.normal_newlines(F.col("text"))).alias("lines"))
@@ -303,31 +280,16 @@ def normal_paths(s, d):
     return read(s, d, "code_chunks").groupBy(S.normal_path(F.col("filepath")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT id, regexp_replace(content, '\\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\\b', '[REDACTED]', 'g') <> content AS changed FROM (SELECT DISTINCT id, content FROM code_chunks WHERE content IS NOT NULL)""")
-def redact_prefixes(s, d):
-    c = read(s, d, "code_chunks").where("content IS NOT NULL").select("id", "content").distinct()
-    return c.select("id", (F.regexp_replace("content", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\b", "[REDACTED]") != F.col("content")).alias("changed"))
-
-
-@query()
-def redact_texts(s, d):
-    return read(s, d, "documents").select("doc_id", S.redact_assignments(F.col("text")).alias("text"))
-
-
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bnever\\s+(?:delete|reveal|mention|tell)\\b')) AS n FROM documents WHERE text IS NOT NULL")
-def signal_scan(s, d):
-    return read(s, d, "documents").where("text IS NOT NULL").select("doc_id", S.signal_count(F.col("text"), "never").alias("n"))
+_STEM = f"regexp_replace(regexp_extract(lower({PATH}), '[^/]*$'), '(.)\\.[^.]*$', '\\1')"
 
 
-_KINDS = [("adr", r"(^|/)(adr|adrs|decisions)/"), ("changelog", r"(^|/)(changelog|changes|history)"), ("readme", r"(^|/)readme"), ("runbook", r"runbook|playbook"), ("spec", r"(^|/)specs?(/|$)|rfc"), ("architecture", r"architect|design"), ("test", r"(^|/)tests?/|\.test\.|_test\."), ("config", r"(^|/)config/|\.(ya?ml|toml|ini|json)$"), ("docs", r"(^|/)docs?/|\.mdx?$")]
-
-
-@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE {' '.join(f'''WHEN regexp_matches(lower({PATH}), '{p}') THEN '{k}' ''' for k, p in _KINDS)} ELSE 'other' END AS kind FROM parse_results) GROUP BY 1")
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN {_STEM} = 'readme' THEN 'readme' WHEN contains({_STEM}, 'architecture') OR {_STEM} = 'design' THEN 'architecture'
+ {' '.join(f"WHEN regexp_matches({f'lower({PATH})' if k == 'adr' else _STEM}, '{p}') THEN '{k}'" for k, p in S.ARTIFACTS)} ELSE 'documentation' END AS kind FROM parse_results WHERE filepath IS NOT NULL) GROUP BY 1""")
 def artifact_kinds(s, d):
-    return read(s, d, "parse_results").groupBy(S.artifact_kind(S.normal_path(F.col("filepath"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return read(s, d, "parse_results").where("filepath IS NOT NULL").groupBy(S.artifact_kind(S.normal_path(F.col("filepath"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, nullif(trim(regexp_extract(text, '(?m)^# +([^\\r\\n]+)', 1)), '') AS heading FROM documents")
+@query(r"SELECT doc_id, nullif(trim(regexp_extract(text, '(?m)^\s*#\s+(.+?)\s*#?\s*$', 1)), '') AS heading FROM documents")
 def title_of(s, d):
     return read(s, d, "documents").select("doc_id", S.markdown_title(F.col("text")).alias("heading"))
 
@@ -348,11 +310,6 @@ def index_status(s, d):
     return R.index_status(read(s, d, "code_chunks"))
 
 
-@query("SELECT coalesce(lower(language), 'unknown') AS language, count(*) AS files, sum(strlen(content))::BIGINT AS bytes FROM parse_results GROUP BY 1 ORDER BY 2 DESC, 1")
-def lang_bytes(s, d):
-    return read(s, d, "parse_results").groupBy(F.coalesce(F.lower("language"), F.lit("unknown")).alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("bytes")).orderBy(F.desc("files"), "language")
-
-
 @query("""WITH r AS (SELECT *, regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path FROM (SELECT DISTINCT ON (change_id) * FROM file_changes))
 SELECT path, count(DISTINCT commit_id) AS commits, coalesce(sum(additions), 0)::BIGINT AS additions, coalesce(sum(deletions), 0)::BIGINT AS deletions, count(*) FILTER (additions IS NULL) AS binary_changes,
  (coalesce(sum(additions), 0) + coalesce(sum(deletions), 0) + count(*) FILTER (additions IS NULL))::BIGINT AS churn, (max({'ts': ts, 'change_id': change_id, 'commit_id': commit_id})).commit_id AS last_commit FROM r GROUP BY path""")
@@ -394,28 +351,10 @@ def match_nodes(s, d):
     return R.match_nodes(n, "cache").select("id", "path")
 
 
-@query("SELECT path, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path, 1 AS n FROM parse_results WHERE regexp_matches(lower(filepath), '(^|[._-])(credentials?|secrets?)([._-]|$)|\\.(pem|key|p12|pfx|kdbx)$|env')) GROUP BY path")
-def env_like_files(s, d):
-    p = S.normal_path(F.col("filepath"))
-    return read(s, d, "parse_results").where(F.lower("filepath").rlike(r"(^|[._-])(credentials?|secrets?)([._-]|$)|\.(pem|key|p12|pfx|kdbx)$|env")).groupBy(p.alias("path")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _LANGS = {"py": "python", "ts": "typescript", "js": "javascript", "go": "go", "rs": "rust", "java": "java", "cs": "csharp", "rb": "ruby", "php": "php", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini"}
 
 
-@query(f"SELECT language, count(*) AS n FROM (SELECT CASE {' '.join(f'''WHEN regexp_extract(lower(filepath), '\\.([^./]+)$', 1) = '{k}' THEN '{v}' ''' for k, v in _LANGS.items())} END AS language FROM parse_results) WHERE language IS NOT NULL GROUP BY 1")
-def detected_languages(s, d):
-    x = read(s, d, "parse_results").select(L.language_of(S.normal_path(F.col("filepath"))).alias("language"))
-    return x.where(F.col("language").isin(*set(_LANGS.values()))).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ------------------------------------------------------------------ joins
-@query(f"WITH {SPARSE}, n AS (SELECT DISTINCT dst AS node, dst % 10 AS name FROM edges), c AS (SELECT src AS caller, dst % 10 AS name FROM edges) SELECT caller, node AS callee FROM c JOIN n USING (name)")
-def call_edges(s, d):
-    e = sparse(s, d)
-    return G.call_edges(e.select(F.col("src").alias("caller"), (F.col("dst") % 10).alias("name")), e.select(F.col("dst").alias("node"), (F.col("dst") % 10).alias("name")).distinct())
-
-
 @query(f"""WITH {SYMBOLS}, s AS (SELECT DISTINCT filepath, line AS start, endline AS stop, name FROM symbols WHERE endline IS NOT NULL AND type <> 'class'), p AS (SELECT DISTINCT filepath, line + 2 AS line FROM symbols)
 SELECT p.filepath, p.line, (min(CASE WHEN start <= p.line AND stop >= p.line THEN {{'w': stop - start, 's': start, 'n': name}} END)).n AS name FROM p LEFT JOIN s ON p.filepath = s.filepath GROUP BY 1, 2""")
 def range_owner(s, d):
@@ -488,20 +427,6 @@ def anti_removed(s, d):
     return R.removed(docs, docs.where("doc_id % 5 <> 0"), "doc_id")
 
 
-@query(f"""WITH {SYMBOLS}, h AS (SELECT DISTINCT filepath, 10 AS start, 30 AS stop FROM symbols) SELECT DISTINCT s.filepath, s.name, s.line, s.endline FROM symbols s JOIN h USING (filepath) WHERE h.start <= s.endline AND h.stop >= s.line""")
-def changed_symbols(s, d):
-    x = symbols(s, d).select("filepath", "name", "line", "endline")
-    files = x.select("filepath").distinct()
-    return P.changed_symbols(x, files.select("filepath", F.lit(10).alias("start"), F.lit(30).alias("stop")), files.limit(0))
-
-
-@query(f"""WITH {SYMBOLS}, o AS (SELECT name, min(filepath) AS filepath, min(type) AS type FROM symbols WHERE type IN ('function', 'method') AND name NOT IN ('main', 'constructor', '__init__') AND NOT regexp_matches(lower(filepath), '(^|/)(tests?|__tests__|specs?)/|(\\.test|\\.spec|_test|_spec)\\.[^./]+$') GROUP BY name HAVING count(*) = 1)
-SELECT filepath, name, type, (CASE WHEN type = 'method' THEN 0.70 ELSE 0.82 END)::DOUBLE AS confidence FROM o WHERE name NOT IN (SELECT name FROM symbols WHERE type = 'class')""")
-def dead_code(s, d):
-    x = symbols(s, d)
-    return P.dead_code(x, x.where("type = 'class'").select("name"))
-
-
 # ------------------------------------------------------------------ ranking and sets
 @query("SELECT source, lang, doc_id FROM (SELECT lower(trim(source)) AS source, lang, doc_id, row_number() OVER (PARTITION BY lower(trim(source)), lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def dedup_keep_first(s, d):
@@ -533,30 +458,30 @@ def max_parents(s, d):
 
 # ------------------------------------------------------------------ graph
 _RANK0 = f"WITH {EDGES}, nodes AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), o AS (SELECT src, count(*)::DOUBLE AS d FROM edges GROUP BY src), r0 AS (SELECT node, 1 / n AS rank FROM nodes, n)"
-_STEPS = ", ".join(f"r{i} AS (SELECT t.node, 0.15 * (1 / (2 * n)) + 0.85 * coalesce(s, 0) AS rank FROM nodes t LEFT JOIN (SELECT dst, sum(rank / d) AS s FROM edges JOIN o USING (src) JOIN r{i - 1} ON src = node GROUP BY dst) x ON t.node = x.dst, n)" for i in range(1, 6))
+_STEPS = ", ".join(f"r{i} AS (SELECT t.node, 0.15 * (1 / (2 * n)) + 0.85 * coalesce(s, 0) AS rank FROM nodes t LEFT JOIN (SELECT dst, sum(rank / d) AS s FROM edges JOIN o USING (src) JOIN r{i - 1} ON src = node GROUP BY dst) x ON t.node = x.dst, n)" for i in range(1, 31))
 
 
 def _nodes(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-@query(f"{_RANK0}, {_STEPS} SELECT node, round(rank, 8) AS rank FROM r5")
+@query(f"{_RANK0}, {_STEPS} SELECT node, round(rank, 6) AS rank FROM r30")
 def pagerank(s, d):
     e = edges(s, d)
-    return G.pagerank(e, _nodes(e).withColumn("focus", F.lit(0.0)), 5).withColumn("rank", F.round("rank", 8))
+    return G.pagerank(e, _nodes(e).withColumn("focus", F.lit(0.0))).withColumn("rank", F.round("rank", 6))
 
 
-_CLOSURE = f"""WITH RECURSIVE {SPARSE}, walk AS (SELECT 5::BIGINT AS node, 0 AS distance UNION SELECT e.src, w.distance + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.distance < {{depth}}), best AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
+_CLOSURE = f"""WITH RECURSIVE {EDGES}, walk AS (SELECT 5::BIGINT AS node, 0 AS distance UNION SELECT e.src, w.distance + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.distance < {{depth}}), best AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
 
 
 @query(_CLOSURE.format(depth=20) + " SELECT node, distance = 1 AS direct FROM best WHERE node <> 5")
 def impact_closure(s, d):
-    return G.impact(sparse(s, d), s.createDataFrame([(5,)], "node long"), 20)
+    return G.impact(edges(s, d), s.createDataFrame([(5,)], "node long"), 20)
 
 
 @query(_CLOSURE.format(depth=4) + " SELECT node, distance, CASE WHEN distance = 1 THEN 'direct' ELSE 'transitive' END AS kind FROM best WHERE distance > 0")
 def blast_radius(s, d):
-    return G.blast_radius(sparse(s, d), s.createDataFrame([(5,)], "node long"), 3)
+    return G.blast_radius(edges(s, d), s.createDataFrame([(5,)], "node long"), 3)
 
 
 @query(f"WITH RECURSIVE {EDGES}, walk AS (SELECT 1::BIGINT AS node, 0 AS l UNION SELECT e.dst, w.l + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.l < 6) SELECT min(l)::INT AS length FROM walk WHERE node = 77 HAVING min(l) IS NOT NULL")
@@ -569,15 +494,9 @@ def cycles_len_2(s, d):
     return G.cycles(edges(s, d), 2).select(F.col("cycle")[0].alias("a"), F.col("cycle")[1].alias("b"))
 
 
-@query(f"WITH {SPARSE} SELECT a.src AS a, a.dst AS b, b.dst AS c FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
+@query(f"WITH {EDGES} SELECT a.src AS a, a.dst AS b, b.dst AS c FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
 def cycles_len_3(s, d):
-    return G.cycles(sparse(s, d), 3).select(F.col("cycle")[0].alias("a"), F.col("cycle")[1].alias("b"), F.col("cycle")[2].alias("c"))
-
-
-@query(f"""WITH {SPARSE}, n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)) SELECT node, (SELECT count(DISTINCT src) FROM edges WHERE dst = node) AS callers, (SELECT count(DISTINCT dst) FROM edges WHERE src = node) AS callees FROM n""")
-def call_context(s, d):
-    e = sparse(s, d)
-    return G.call_context(e, _nodes(e), 1000).select("node", F.coalesce(F.size("callers"), F.lit(0)).alias("callers"), F.coalesce(F.size("callees"), F.lit(0)).alias("callees")).na.fill(0).select("node", F.greatest("callers", F.lit(0)).alias("callers"), F.greatest("callees", F.lit(0)).alias("callees"))
+    return G.cycles(edges(s, d), 3).select(F.col("cycle")[0].alias("a"), F.col("cycle")[1].alias("b"), F.col("cycle")[2].alias("c"))
 
 
 @query()
@@ -622,36 +541,6 @@ def memory_upsert(s, d):
     return K.optimistic_upsert(old, change)
 
 
-@query()
-def regex_symbols(s, d):
-    return X.extract(read(s, d, "parse_results"), "symbols", "filepath", "content")
-
-
-@query()
-def regex_imports(s, d):
-    return X.extract(read(s, d, "parse_results"), "imports", "filepath", "content")
-
-
-@query()
-def type_hierarchy(s, d):
-    return X.extract(read(s, d, "parse_results"), "hierarchy", "filepath", "content")
-
-
-@query()
-def code_signals(s, d):
-    return X.extract(read(s, d, "parse_results"), "signals", "filepath", "content")
-
-
-@query()
-def call_sites(s, d):
-    return X.extract(read(s, d, "parse_results"), "calls", "filepath", "content")
-
-
-@query()
-def hunk_parse(s, d):
-    return X.extract(read(s, d, "parse_results").where(F.col("content").contains("@@ -")), "hunks", "filepath", "content")
-
-
 @query()
 def line_split(s, d):
     return X.table_function(read(s, d, "documents"), "doc_id", "text", _pieces, "first int, last int, piece string")

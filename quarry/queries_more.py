@@ -9,27 +9,10 @@ from .operators import context as N
 from .operators import graph as G
 from .operators import relational as R
 from .operators import retrieval as V
-from .queries import EDGES, PATH, SPARSE, SYMBOLS, edges, query, sparse, symbols
-from .sources import files as L
+from .queries import EDGES, PATH, SYMBOLS, edges, query, symbols
 from .tables import read
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(title, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[a-zA-Z_$][a-zA-Z0-9_$-]{2,}'), lambda w: lower(w)), lambda w: w NOT IN ('the','and','for','with','that','this','from','into','are','was','has','have','not','les','des','une','est','dans','pour','sur','par','que','qui')))[1:12]) AS n FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')")
-def focus_terms(s, d):
-    t = read(s, d, "documents").where("title IS NOT NULL").where(F.col("title").rlike("^[ -~]*$"))
-    return t.select("doc_id", F.size(N.focus_terms(F.col("title"))).alias("n"))
-
-
-@query("SELECT id, length(content) AS total, starts_with(ltrim(content), '//') OR starts_with(ltrim(content), '#') OR starts_with(ltrim(content), '/*') AS documented FROM (SELECT DISTINCT id, content FROM code_chunks WHERE content IS NOT NULL AND language = 'go')")
-def content_parts(s, d):
-    c = read(s, d, "code_chunks").where("content IS NOT NULL AND language = 'go'").select("id", "content").distinct()
-    doc, head, body = N.content_parts(F.col("content"))
-    total = F.length(F.regexp_extract("content", r"^((?:[ \t]*(?://|#|/?\*)[^\n]*(?:\n|$)|[ \t]*\n)*)", 1))
-    rest = F.substring(F.col("content"), total + 1, F.length("content"))
-    raw = F.length(F.regexp_extract(rest, r"^([\s\S]*?)(?:\{|=>|$)", 1))
-    return c.select("id", (total + raw + F.length(body)).cast("long").alias("total"), (F.length(doc) > 0).alias("documented"))
-
-
 @query(f"""WITH {SYMBOLS}, c AS (SELECT DISTINCT id, {PATH} AS filepath, startline, endline FROM code_chunks), m AS (SELECT id, s.name, min(s.line) AS pos FROM c JOIN symbols s USING (filepath) WHERE c.startline <= coalesce(s.endline, s.line) AND s.line <= c.endline GROUP BY 1, 2)
 SELECT id, least(count(*), 20) AS n, arg_min(name, {{'a': pos, 'n': name}}) AS first_name FROM m GROUP BY id""")
 def chunk_symbols(s, d):
@@ -38,40 +21,6 @@ def chunk_symbols(s, d):
     return x.select("id", F.size("names").alias("n"), F.col("names")[0].alias("first_name"))
 
 
-@query("""WITH c AS (SELECT DISTINCT id, regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS filepath, lower(language) AS language FROM code_chunks) SELECT id, concat_ws(chr(10), 'File: ' || filepath, 'Language: ' || language) AS header FROM c""")
-def enrichment_headers(s, d):
-    c = read(s, d, "code_chunks").select("id", S.normal_path(F.col("filepath")).alias("filepath"), F.lower("language").alias("language")).distinct()
-    none = s.createDataFrame([], "id string, names array<string>")
-    return N.enrichment_header(c, none)
-
-
-_IMPORT = f"""i AS (SELECT DISTINCT a.filepath AS importer, b.filepath AS target, b.name FROM symbols a JOIN symbols b ON a.repo = b.repo AND a.name = b.name AND a.filepath < b.filepath)"""
-
-
-def _imports(s, d):
-    x = symbols(s, d)
-    a = x.select("repo", "name", F.col("filepath").alias("importer"))
-    b = x.select("repo", "name", F.col("filepath").alias("target"))
-    return a.join(b, ["repo", "name"]).where("importer < target").select("importer", "target", "name").distinct()
-
-
-@query(f"WITH {SYMBOLS}, {_IMPORT} SELECT importer, target, name, 0.9::DOUBLE AS confidence FROM i UNION ALL SELECT DISTINCT importer, target, NULL, 0.96::DOUBLE FROM i")
-def exported_edges(s, d):
-    return N.exported_edges(_imports(s, d), symbols(s, d))
-
-
-@query(f"""WITH {SYMBOLS}, {_IMPORT}, ri AS (SELECT *, row_number() OVER (PARTITION BY importer ORDER BY target) AS r FROM (SELECT DISTINCT importer, target FROM i)), rs AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY line, name) AS r FROM (SELECT DISTINCT filepath AS target, name, line FROM symbols))
-SELECT importer, target, name FROM ri JOIN rs USING (target) WHERE ri.r <= 10 AND rs.r <= 5""")
-def imported_symbols(s, d):
-    return N.imported_symbols(_imports(s, d), symbols(s, d))
-
-
-@query(f"WITH {SYMBOLS} SELECT a.name, count(DISTINCT a.filepath || ':' || a.line) AS definitions FROM symbols a GROUP BY a.name")
-def definition_counts(s, d):
-    x = symbols(s, d).select("name", "filepath", "line").distinct()
-    return N.reference_counts(x, x.limit(0)).select("name", "definitions")
-
-
 @query(f"WITH {SYMBOLS} SELECT filepath, name, line FROM (SELECT filepath, name, line, 0 AS mode FROM (SELECT DISTINCT filepath, name, line FROM symbols WHERE type = 'class') UNION ALL SELECT filepath, name, line, 1 FROM (SELECT DISTINCT filepath, name, line FROM symbols WHERE type = 'function')) ORDER BY filepath, mode, line, name LIMIT 100 OFFSET 50")
 def symbol_page(s, d):
     x = symbols(s, d).select("filepath", "name", "line", "type").distinct()
@@ -79,12 +28,6 @@ def symbol_page(s, d):
     return N.ordered_union_page(parts, "filepath", "line", 50, 100).select("filepath", "name", "line")
 
 
-@query("""SELECT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS filepath, json_extract_string(content, '$.name') AS name FROM (SELECT DISTINCT filepath, content FROM parse_results WHERE content LIKE '%lockfileVersion%' AND json_valid(content))""")
-def manifest_names(s, d):
-    r = read(s, d, "parse_results").where(F.col("content").contains("lockfileVersion")).where(F.get_json_object("content", "$.lockfileVersion").isNotNull()).select("filepath", "content").distinct()
-    return N.manifest_facts(r.withColumn("filepath", S.normal_path(F.col("filepath")))).select("filepath", "name")
-
-
 @query("""WITH k AS (SELECT DISTINCT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path, CASE WHEN lower(trim(change_type)) IN ('a', 'add', 'added') THEN 'added' WHEN lower(trim(change_type)) IN ('m', 'change', 'modified') THEN 'modified' WHEN lower(trim(change_type)) IN ('d', 'unlink', 'deleted') THEN 'deleted' WHEN lower(trim(change_type)) LIKE 'r%' THEN 'renamed' ELSE 'unknown' END AS kind FROM file_changes WHERE filepath IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path) AS rn, count(*) OVER (PARTITION BY kind) AS n FROM k)
 SELECT kind, string_agg(path, ', ' ORDER BY path) || CASE WHEN max(n) > 10 THEN ' ... and ' || (max(n) - 10) || ' more' ELSE '' END AS summary FROM r WHERE rn <= 10 GROUP BY kind""")
@@ -93,38 +36,11 @@ def change_summaries(s, d):
     return N.change_summary(c)
 
 
-@query("""SELECT 'tool_calls{tool="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
-def prometheus_lines(s, d):
-    return N.prometheus(read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls")), "tool_calls")
-
-
-@query("""WITH h AS (SELECT filepath AS key, unnest(regexp_extract_all(content, '@@ -\\d+(?:,\\d+)? \\+(\\d+(?:,\\d+)?) @@', 1)) AS h FROM (SELECT DISTINCT filepath, content FROM parse_results WHERE content IS NOT NULL)),
-p AS (SELECT key, split_part(h, ',', 1)::INT AS start, coalesce(nullif(split_part(h, ',', 2), '')::INT, 1) AS n FROM h) SELECT key, start, start + greatest(n, 1) - 1 AS stop FROM p""")
-def hunk_ranges(s, d):
-    return N.hunk_rows(read(s, d, "parse_results").where("content IS NOT NULL").select(F.col("filepath").alias("key"), F.col("content").alias("text")).distinct())
-
-
 @query(f"WITH {SYMBOLS} SELECT DISTINCT signature, list_last(list_filter(regexp_split_to_array(signature, '[#/.:`()]+'), lambda x: x <> '')) AS short FROM symbols WHERE signature IS NOT NULL")
 def short_symbols(s, d):
     return symbols(s, d).where("signature IS NOT NULL").select("signature").distinct().select("signature", N.short_symbol(F.col("signature")).alias("short"))
 
 
-@query(f"WITH {EDGES}, n AS (SELECT src AS node, count(*) AS out FROM edges GROUP BY src) SELECT node, out FROM n ORDER BY out DESC, node LIMIT 10")
-def top_callers(s, d):
-    return edges(s, d).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")).orderBy(F.desc("out"), "node").limit(10)
-
-
-@query(f"WITH {EDGES} SELECT count(*) AS edge_count, count(*) FILTER (src <> 0) AS total_calls FROM edges")
-def total_calls(s, d):
-    return edges(s, d).agg(F.count(F.lit(1)).alias("edge_count"), F.count_if(F.col("src") != 0).alias("total_calls"))
-
-
-@query(f"WITH {SPARSE} SELECT DISTINCT src % 10 AS a, dst % 10 AS b FROM edges WHERE src % 10 <> dst % 10")
-def edge_dedup(s, d):
-    e = sparse(s, d).select((F.col("src") % 10).alias("a"), (F.col("dst") % 10).alias("b"), "src", "dst").where("a <> b")
-    return R.keep_first(e, ["a", "b"], "src", "dst").select("a", "b")
-
-
 @query("SELECT DISTINCT o_custkey AS node FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
 def unknown_nodes(s, d):
     o = read(s, d, "orders").select(F.col("o_custkey").alias("node"))
@@ -144,44 +60,14 @@ def test_paths(s, d):
     return p.select("path", R.is_test_path(F.col("path")).alias("is_test"))
 
 
-@query("SELECT DISTINCT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path FROM parse_results WHERE NOT regexp_matches(regexp_replace(replace(filepath, '\\', '/'), '^\\./', ''), '(^|/)(\\.git|node_modules|dist|build|coverage)/')")
-def scannable_files(s, d):
-    p = S.normal_path(F.col("filepath"))
-    return read(s, d, "parse_results").where(~p.rlike(L.EXCLUDED)).select(p.alias("path")).distinct()
-
-
-@query(f"WITH {SYMBOLS} SELECT repo, type, count(*) AS n, count(DISTINCT filepath) AS files FROM symbols GROUP BY 1, 2")
-def file_metrics(s, d):
-    return symbols(s, d).groupBy("repo", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filepath").alias("files"))
-
-
 @query("SELECT sum(strlen(content))::BIGINT AS bytes, count(*) AS n, max(strlen(content)) AS largest FROM parse_results")
 def stored_bytes(s, d):
     return read(s, d, "parse_results").agg(F.sum(F.octet_length("content")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("content")).alias("largest"))
 
 
-@query("SELECT doc_id, array_to_string(tags, ',') AS tags FROM (SELECT doc_id, list_distinct([lower(trim(x)) FOR x IN [coalesce(source, ''), coalesce(lang, ''), coalesce(repo, '')] IF trim(x) <> '']) AS t, list_filter([lower(trim(coalesce(source, ''))), lower(trim(coalesce(lang, ''))), lower(trim(coalesce(repo, '')))], lambda x: x <> '') AS tags FROM documents)")
-def normal_tags(s, d):
-    tags = F.transform(F.array(*(F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang", "repo"))), lambda x: F.lower(F.trim(x)))
-    return read(s, d, "documents").select("doc_id", F.array_join(F.filter(tags, lambda x: x != ""), ",").alias("tags"))
-
-
-@query("SELECT doc_id, contains(lower(text), 'cache') AS hit, substr(text, greatest(strpos(lower(text), 'cache') - 100, 1)::INT, 20) AS head FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
-def snippets(s, d):
-    t = read(s, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    at = F.instr(F.lower("text"), "cache")
-    return t.select("doc_id", (at > 0).alias("hit"), F.substring(S.snippet(F.col("text"), at), 1, 20).alias("head"))
-
-
-@query(f"WITH RECURSIVE {SPARSE}, walk AS (SELECT 5::BIGINT AS node, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 10) SELECT node, min(distance) AS distance FROM walk GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES}, walk AS (SELECT 5::BIGINT AS node, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 10) SELECT node, min(distance) AS distance FROM walk GROUP BY node")
 def reachable(s, d):
-    return G.closure(sparse(s, d), s.createDataFrame([(5,)], "node long"), 10)
-
-
-@query("SELECT c_mktsegment AS key, count(*) AS n, min(c_acctbal) AS low FROM customer GROUP BY 1 HAVING count(*) >= 1")
-def quality_gate(s, d):
-    x = read(s, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"))
-    return x.where("n >= 1")
+    return G.closure(edges(s, d), s.createDataFrame([(5,)], "node long"), 10)
 
 
 @query("SELECT l.repo, count(*) AS files FROM (SELECT DISTINCT repo, regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path FROM parse_results) l JOIN (SELECT DISTINCT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path FROM file_changes) c USING (path) GROUP BY 1")

@@ -2,58 +2,107 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# File extension -> language, names that decide alone, names that are never read.
-LANGUAGES = {
-    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java",
-    "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "scala": "scala", "swift": "swift", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "md": "markdown", "json": "json",
-    "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "sql": "sql", "sh": "bash", "html": "html", "css": "css", "xml": "xml", "txt": "text",
-}
-SPECIAL = {"dockerfile": "dockerfile", "makefile": "makefile", "gemfile": "ruby", "rakefile": "ruby", "justfile": "just", ".gitignore": "gitignore", ".env": "env"}
-SENSITIVE = r"^\.env($|\.)|(^|[._-])(credentials?|secrets?)([._-]|$)|^id_(rsa|dsa|ecdsa|ed25519)$|\.(pem|key|p12|pfx|kdbx)$"
-EXCLUDED = r"(^|/)(\.git|node_modules|dist|build|coverage)/"
+from .languages import base_name, indexable, language_of
+
+# Names that are never read, folders that are never entered, budgets of a scan.
+SENSITIVE = [r"^\.env(?:\..*)?$", r"^(?:credentials?|secrets?)(?:\.(?:json|ya?ml|toml|ini|txt|env|config))?$", r"(?:^|[._-])(?:id_rsa|id_ed25519)(?:[._-]|$)", r"\.(?:pem|key|p12|pfx|kdbx)$"]
+EXCLUSIONS = ["node_modules", ".git", "dist", "build", ".src-index"]
 MAX_FILES, MAX_BYTES, MAX_DEPTH = 100_000, 512 * 1024 * 1024, 128
 
 
-def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+def is_sensitive(path: Column) -> Column:
+    """Names under which secrets are kept."""
+    name = F.lower(base_name(path))
+    out = F.lit(False)
+    for pattern in SENSITIVE:
+        out = out | name.rlike(pattern)
+    return out
 
 
-def language_of(path: Column) -> Column:
-    """Language by special name, ``dockerfile.*``, ``.env.*``, then extension; null if none is known."""
-    name = F.lower(base_name(path))
-    table = lambda d: F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
-    return F.coalesce(F.try_element_at(table(SPECIAL), name), F.when(name.startswith("dockerfile."), "dockerfile").when(name.startswith(".env."), "env"), F.try_element_at(table(LANGUAGES), F.regexp_extract(name, r"\.([^.]+)$", 1)))
+def is_hidden(path: Column) -> Column:
+    """Some folder of the path begins with a dot; a file that does is read only if its language is known."""
+    return path.rlike(r"(^|/)\.[^/]+/") | base_name(path).startswith(".") & ~indexable(path)
+
+
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(regular expression over a path whose folders end in ``/``, whether it takes in again) of the lines of an ignore file, in order."""
+    out = []
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)\s+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        back = line.startswith("!")
+        line = line[1:] if back else line.removeprefix("\\")
+        folder = line.endswith("/")
+        line = line.rstrip("/")
+        rooted = "/" in line
+        line = line.lstrip("/")
+        body, k = "", 0
+        while k < len(line):
+            if line.startswith("**/", k):
+                body, k = body + "(?:.*/)?", k + 3
+            elif line.startswith("/**", k) and k + 3 == len(line):
+                body, k = body + "/.+", k + 3
+            elif line[k] == "*":
+                body, k = body + "[^/]*", k + 1
+            elif line[k] == "?":
+                body, k = body + "[^/]", k + 1
+            elif line[k] == "[" and (end := line.find("]", k + 2)) > 0:
+                body, k = body + "[" + line[k + 1 : end].replace("!", "^", 1) + "]", end + 1
+            elif line[k] == "\\" and k + 1 < len(line):
+                body, k = body + re.escape(line[k + 1]), k + 2
+            else:
+                body, k = body + re.escape(line[k]), k + 1
+        if body:
+            out.append(("^" + ("" if rooted else "(?:.*/)?") + body + ("/" if folder else "/?") + "$", back))
+    return out
+
+
+def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether rules leave a relative path out: the last rule that matches it or, first, a folder above it decides.
+
+    What lies in a folder that is left out cannot be taken in again.
+    """
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.when(k < F.size(parts), "/").otherwise("")))
 
+    def left_out(p: Column) -> Column:
+        out = F.lit(False)
+        for pattern, back in rules:  # a later rule stands further out
+            out = F.when(p.rlike(pattern), F.lit(not back)).otherwise(out)
+        return out
 
-def is_sensitive(path: Column) -> Column:
-    return F.lower(base_name(path)).rlike(SENSITIVE)
+    return F.exists(above, left_out) if rules else F.lit(False)
 
 
-def is_hidden(path: Column) -> Column:
-    """Some folder of the path begins with a dot."""
-    return path.rlike(r"(^|/)\.[^/]+/")
+def scan_rules(gitignore: str = "", patterns: list[str] | None = None) -> list[tuple[str, bool]]:
+    """The fixed exclusions, then the root's ignore file, then the caller's patterns."""
+    return ignore_rules("\n".join([*EXCLUSIONS, gitignore, *(patterns or [])]))
 
 
-def scan(spark: SparkSession, folder: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_file: int = 1 << 20) -> DataFrame:
+def scan(spark: SparkSession, folder: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH, max_file: int = 1 << 20, patterns: list[str] | None = None) -> DataFrame:
     """(path, length, content, language) of the readable files below a folder.
 
-    Too large a file is left out; a scan beyond a budget fails instead of being cut. The budget is
-    taken from the listing, before any content is read.
+    Left out are what the fixed exclusions, the folder's ``.gitignore`` and ``patterns`` name, hidden
+    folders, sensitive names, unknown languages and too large files; a scan beyond a budget fails
+    instead of being cut. The budget is taken from the listing, before any content is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    listed = files.select(path.alias("path"), "length", "content").where(~path.rlike(EXCLUDED) & ~is_sensitive(path) & ~is_hidden(F.substring(path, len(folder) + 1, 1 << 16)) & (F.col("length") <= max_file))
-    used = listed.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).first()
-    if used["n"] > max_files or (used["b"] or 0) > max_bytes:
-        raise ValueError(f"scan exceeds its budget: {used['n']} files, {used['b']} bytes")
-    lang = language_of(F.col("path"))
-    return listed.select("path", "length", F.decode("content", "UTF-8").alias("content"), lang.alias("language")).where("language IS NOT NULL")
+    relative = F.substring(path, len(folder.rstrip("/")) + 2, 1 << 16)
+    own = files.where(relative == ".gitignore").select(F.decode("content", "UTF-8").alias("c")).first()
+    kept = ~ignored(relative, scan_rules(own["c"] if own else "", patterns)) & ~is_sensitive(relative) & ~is_hidden(relative) & indexable(relative) & (F.col("length") <= max_file)
+    listed = files.select(path.alias("path"), "length", "content", (F.size(F.split(relative, "/")) - 1).alias("depth"), kept.alias("kept")).where("kept")
+    used = listed.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"), F.max("depth").alias("d")).first()
+    if used["n"] > max_files or (used["b"] or 0) > max_bytes or (used["d"] or 0) > max_depth:
+        raise ValueError(f"scan exceeds its budget: {used['n']} files, {used['b']} bytes, {used['d']} levels")
+    return listed.select("path", "length", F.decode("content", "UTF-8").alias("content"), language_of(F.col("path")).alias("language"))
 
 
 _SARIF = "array<struct<tool:struct<driver:struct<name:string>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"

@@ -6,7 +6,7 @@ import oracle
 import pytest
 
 from quarry import queries as core
-from quarry import queries_more  # noqa: F401  (registers its queries)
+from quarry import queries_more, queries_source  # noqa: F401  (they register their queries)
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
