@@ -41,6 +41,7 @@ SIGNALS = [
 MAX_SYMBOLS = 2000
 _PATTERNS = [(kind, re.compile(p, re.A)) for kind, p in DECLARATIONS]
 _WORD = re.compile(r"\b[A-Za-z_$][\w$]*\b", re.A)
+_CALL = re.compile(r"(?<![\w$.])(?P<n>[A-Za-z_$][\w$]*)\s*\(", re.A)
 _IMPORT = re.compile(r"""\bimport\s+([^;\n]*?)(?:\s+from\s+)?["']([^"']+)["']""", re.A)
 _EXPORT = re.compile(r"\bexport\s+(default\s+)?(?:abstract\s+|async\s+|declare\s+)*(?:function\*?|class|const|let|var|interface|type|enum)\s+(\w+)|\bexport\s+(default)\b|\bexport\s*\{([^}]*)\}", re.A)
 
@@ -191,7 +192,7 @@ def call_sites(text: str) -> list[tuple[str, str, int, int]]:
     owners, lines = [s for s in symbols(text) if s.type == "function"], Lines(text)
     declared = {s.start + (re.search(rf"\b{re.escape(s.name)}\b", text[s.start : s.stop]) or re.match("", "")).start() for s in owners}
     out = []
-    for m in X._CALL.finditer(text):
+    for m in _CALL.finditer(text):
         if m["n"] in X._NO_CALL or m.start("n") in declared:
             continue
         inside = [s for s in owners if s.start <= m.start() <= s.stop]

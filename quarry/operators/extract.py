@@ -121,8 +121,28 @@ def split_lines(text: str, size: int, overlap: int) -> list[tuple[int, int, str]
     return out
 
 
-# Separators from the coarsest to the finest.
-SEPARATORS = {"python": ["\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""], "markdown": ["\n# ", "\n## ", "\n### ", "\n```\n", "\n\n", "\n", " ", ""], "": ["\n\n", "\n", " ", ""]}
+# Separators of a language's splitter from the coarsest to the finest; what all have comes last.
+_LAST = ["\n\n", "\n", " ", ""]
+_FLOW = ["\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase "]
+SEPARATORS = {
+    "": _LAST,
+    "python": ["\nclass ", "\ndef ", "\n\tdef ", *_LAST],
+    "js": ["\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", *_FLOW, "\ndefault ", *_LAST],
+    "go": ["\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase ", *_LAST],
+    "java": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", *_FLOW, *_LAST],
+    "cpp": ["\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", *_FLOW, *_LAST],
+    "rust": ["\nfn ", "\nconst ", "\nlet ", "\nif ", "\nwhile ", "\nfor ", "\nloop ", "\nmatch ", *_LAST],
+    "php": ["\nfunction ", "\nclass ", "\nif ", "\nforeach ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", *_LAST],
+    "ruby": ["\ndef ", "\nclass ", "\nif ", "\nunless ", "\nwhile ", "\nfor ", "\ndo ", "\nbegin ", "\nrescue ", *_LAST],
+    "scala": ["\nclass ", "\nobject ", "\ndef ", "\nval ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nmatch ", "\ncase ", *_LAST],
+    "swift": ["\nfunc ", "\nclass ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", *_LAST],
+    "markdown": ["\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", *_LAST],
+    "html": ["<body>", "<div>", "<p>", "<br>", "<li>", "<h1>", "<h2>", "<h3>", "<h4>", "<h5>", "<h6>", "<span>", "<table>", "<tr>", "<td>", "<th>", "<ul>", "<ol>", "<header>", "<footer>", "<nav>", "<head>", "<style>", "<script>", "<meta>", "<title>", " ", ""],
+    "latex": ["\n\\chapter{", "\n\\section{", "\n\\subsection{", "\n\\subsubsection{", "\n\\begin{enumerate}", "\n\\begin{itemize}", "\n\\begin{description}", "\n\\begin{list}", "\n\\begin{quote}", "\n\\begin{quotation}", "\n\\begin{verse}", "\n\\begin{verbatim}", "\n\\begin{align}", "$$", "$", *_LAST],
+    "proto": ["\nmessage ", "\nservice ", "\nenum ", "\noption ", "\nimport ", "\nsyntax ", *_LAST],
+    "rst": ["\n===\n", "\n---\n", "\n***\n", "\n.. ", *_LAST],
+    "sol": ["\npragma ", "\nusing ", "\ncontract ", "\ninterface ", "\nlibrary ", "\nconstructor ", "\ntype ", "\nfunction ", "\nevent ", "\nmodifier ", "\nerror ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo while ", "\nassembly ", *_LAST],
+}
 
 
 def split_recursive(text: str, size: int, overlap: int, separators: list[str] | None = None) -> list[str]:

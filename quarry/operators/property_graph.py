@@ -232,3 +232,73 @@ def graph_is_current(saved: DataFrame, now: DataFrame) -> bool:
     a = saved.select("path", F.substring("hash", 1, 16).alias("h"))
     b = now.select("path", F.substring("hash", 1, 16).alias("h"))
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+# ------------------------------------------------------------------ call graph
+CALL_LANGUAGES = ["typescript", "javascript", "python", "go"]
+
+
+def calls(t: Tables) -> DataFrame:
+    """(filepath, caller, callee, start, line): the call sites of the languages that have a call graph, with the function that begins last among those around."""
+    from ..sources.languages import chunk_language
+
+    return code.extract(t.files.where(chunk_language(F.col("filepath")).isin(CALL_LANGUAGES)), "calls")
+
+
+def call_graph(t: Tables) -> DataFrame:
+    """(caller, callee, name): one edge for every call site and every function of the called name in its repository; names are ``path:name``, repeats are kept.
+
+    Functions of one name in one file are one node.
+    """
+    targets = t.symbols.where("type = 'function'").select("repo", "name", F.concat_ws(":", "filepath", "name").alias("callee")).distinct()
+    sites = calls(t).join(t.modules.select("filepath", "repo"), "filepath").select("repo", F.concat_ws(":", "filepath", "caller").alias("caller"), F.col("callee").alias("name"))
+    return sites.join(targets, ["repo", "name"]).select("caller", "callee", "name")
+
+
+def call_totals(graph: DataFrame) -> DataFrame:
+    """(edge_count, total_calls): all edges, and those from within functions."""
+    return graph.agg(F.count(F.lit(1)).alias("edge_count"), F.count_if(~F.col("caller").endswith(":__global__")).alias("total_calls"))
+
+
+def top_names(graph: DataFrame, side: str, most: int = 10) -> DataFrame:
+    """(name, n) of the busiest callers or callees by short name; of qualified names with one short name the last in order counts."""
+    n = graph.where(~F.col(side).endswith(":__global__")).groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+    short = n.groupBy(F.element_at(F.split(side, ":"), -1).alias("name")).agg(F.max_by("n", side).alias("n"))
+    return short.orderBy(F.desc("n"), "name").limit(most)
+
+
+def busiest_nodes(graph: DataFrame, most: int) -> DataFrame:
+    """(node, degree): the nodes of a call graph by how many edges they have, then by name."""
+    ends = graph.select(F.explode(F.array("caller", "callee")).alias("node"))
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(most)
+
+
+# ------------------------------------------------------------------ lookups
+def symbols_of(symbols: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, name: str | None = None) -> DataFrame:
+    """Symbols of the included types without the excluded ones, and of a name."""
+    out = symbols if include is None else symbols.where(F.col("type").isin(include))
+    out = out if not exclude else out.where(~F.col("type").isin(exclude))
+    return out if name is None else out.where(F.col("name") == name)
+
+
+def first_named(symbols: DataFrame, name: str) -> DataFrame:
+    """The first symbol of a name by file and place."""
+    return symbols.where(F.col("name") == name).orderBy("filepath", "start").limit(1)
+
+
+def symbol_at(symbols: DataFrame, points: DataFrame) -> DataFrame:
+    """(filepath, line, column, name): the first symbol (filepath, name, line, column, endline, endcolumn) that holds each point (filepath, line, column)."""
+    s = symbols.select("filepath", "name", F.struct("line", "column").alias("a"), F.struct(F.col("endline").alias("line"), F.col("endcolumn").alias("column")).alias("b"))
+    p = points.withColumn("at", F.struct("line", "column"))
+    hit = p.join(s, "filepath").where((F.col("a") <= F.col("at")) & (F.col("at") <= F.col("b")))
+    return hit.groupBy("filepath", "line", "column").agg(F.min_by("name", F.struct("a", "name")).alias("name"))
+
+
+def chunks_of_file(chunks: DataFrame, path: str) -> DataFrame:
+    """Chunks of a file, its path without regard to case and kind of slash."""
+    return chunks.where(F.lower(F.translate("filepath", "\\", "/")) == path.replace("\\", "/").lower())
+
+
+def chunks_of_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks of the given ids (id)."""
+    return chunks.join(ids.select("id").distinct(), "id", "left_semi")

@@ -282,3 +282,27 @@ def dead_code_confidence(kind: Column) -> Column:
 def revision_state(recorded: Column, current: Column) -> Column:
     """current, stale, or unknown where either is missing."""
     return F.when(recorded.isNull() | current.isNull(), "unknown").when(recorded == current, "current").otherwise("stale")
+
+
+def embed_with(df: DataFrame, client, dim: int, text: str = "content", batch: int = 10) -> DataFrame:
+    """``df`` with ``vector`` from an embedding client: a picklable object that, called in a worker, gives a function from a list of texts to a list of vectors.
+
+    Batches go to the client in the size it takes; a missing vector, one of another length or with a value
+    that is not finite fails the job, so that no index is written from part of them.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        embed = client()
+        for pdf in batches:
+            texts, vectors = pdf[text].fillna("").to_list(), []
+            for k in range(0, len(texts), batch):
+                got = embed(texts[k : k + batch])
+                if len(got) != len(texts[k : k + batch]) or any(len(v) != dim or not all(math.isfinite(x) for x in v) for v in got):
+                    raise ValueError("an embedding is missing or malformed")
+                vectors += got
+            yield pdf.assign(vector=vectors)
+
+    return df.mapInPandas(run, schema)

@@ -199,11 +199,11 @@ def abstain(s, d):
 
 
 @query("""WITH c AS (SELECT DISTINCT id, regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS filepath, startline, endline FROM code_chunks),
-p AS (SELECT *, row_number() OVER (PARTITION BY filepath ORDER BY startline, endline, id) AS rn FROM c), x AS (SELECT id AS seed, filepath, rn FROM p WHERE startline = 1)
+p AS (SELECT *, row_number() OVER (PARTITION BY filepath ORDER BY startline, endline, id) AS rn FROM c), x AS (SELECT id AS seed, filepath, rn FROM p)
 SELECT seed, p.id, abs(p.rn - x.rn) AS distance, CASE WHEN p.rn < x.rn THEN 'before' ELSE 'after' END AS side, round(pow(0.82, abs(p.rn - x.rn)), 6) AS factor FROM x JOIN p USING (filepath) WHERE p.rn <> x.rn AND abs(p.rn - x.rn) <= 3""")
 def neighbor_expand(s, d):
     c = read(s, d, "code_chunks").select("id", S.normal_path(F.col("filepath")).alias("filepath"), "startline", "endline").distinct()
-    return R.adjacent(c, c.where("startline = 1"), 3).withColumn("factor", F.round(V.neighbour_score(F.lit(1.0), F.col("distance")), 6))
+    return R.adjacent(c, c, 3).withColumn("factor", F.round(V.neighbour_score(F.lit(1.0), F.col("distance")), 6))
 
 
 @query("SELECT doc_id, 0.0 + CASE WHEN contains(lower(text), 'frozen cache') THEN 5 ELSE 0 END + (length(lower(text)) - length(replace(lower(text), 'frozen', ''))) / 6 + (length(lower(text)) - length(replace(lower(text), 'cache', ''))) / 5 AS score FROM documents")
@@ -219,7 +219,7 @@ def query_class(s, d):
     return names.where("name IS NOT NULL").distinct().withColumn("kind", V.classify_query(F.col("name")))
 
 
-_JUDGED = """rel AS (SELECT DISTINCT lower(trim(source)) AS query, doc_id AS id FROM documents WHERE source IS NOT NULL AND doc_id % 3 = 0 AND lower(lang) = 'en'),
+_JUDGED = """rel AS (SELECT DISTINCT lower(trim(source)) AS query, doc_id AS id FROM documents WHERE source IS NOT NULL AND lower(lang) = 'en'),
 res AS (SELECT lower(trim(source)) AS query, doc_id AS id, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE source IS NOT NULL)"""
 
 
@@ -227,7 +227,7 @@ res AS (SELECT lower(trim(source)) AS query, doc_id AS id, row_number() OVER (PA
 SELECT query, round(coalesce(h, 0) / 10.0, 4) AS precision, round(coalesce(h, 0)::DOUBLE / n, 4) AS recall, round(coalesce(1.0 / b, 0), 4) AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))), 4) AS ndcg FROM w LEFT JOIN g USING (query)""")
 def eval_at_k(s, d):
     docs = read(s, d, "documents").where("source IS NOT NULL").withColumn("query", F.lower(F.trim("source")))
-    relevant = docs.where("doc_id % 3 = 0 AND lower(lang) = 'en'").select("query", F.col("doc_id").alias("id"))
+    relevant = docs.where("lower(lang) = 'en'").select("query", F.col("doc_id").alias("id"))
     ranked = R.top_per_key(docs, "query", 10, F.desc("n_chars"), "doc_id").select("query", F.col("doc_id").alias("id"), "rank")
     return V.ranked_metrics(ranked, relevant, 10)
 
@@ -395,15 +395,25 @@ def import_resolution(s, d):
     return R.resolve_imports(r.select(F.col("repo").alias("importer"), F.regexp_replace(p, r"\.[^./]*$", "").alias("target")), r.select(p.alias("path")), ["ts", "js", "py"])
 
 
-def _diff_parts(s, d):
-    docs = read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("n_chars").cast("string").alias("hash"))
-    return docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 3 <> 0"), docs.select("path", "doc_id", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+def _versions(s, d):
+    """(path, hash) of every file by its latest and by its first parse."""
+    r = read(s, d, "parse_results").where("filepath IS NOT NULL AND content IS NOT NULL").select(S.normal_path(F.col("filepath")).alias("path"), S.content_hash(F.col("content")).alias("hash"), "parsed_at")
+    g = r.groupBy("path").agg(F.max(F.struct("parsed_at", "hash")).alias("l"), F.min(F.struct("parsed_at", "hash")).alias("f"))
+    return g.select("path", F.col("l.hash").alias("hash")), g.select("path", F.col("f.hash").alias("hash"))
 
 
-@query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'modified' ELSE 'unchanged' END AS state FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 <> 0""")
+def _indexed(s, d):
+    return read(s, d, "code_chunks").where("filepath IS NOT NULL").select(S.normal_path(F.col("filepath")).alias("path")).distinct()
+
+
+VERSIONS = f"""v AS (SELECT {PATH} AS path, sha256(content) AS hash, parsed_at AS t FROM parse_results WHERE filepath IS NOT NULL AND content IS NOT NULL),
+now AS (SELECT path, (max({{'t': t, 'h': hash}})).h AS hash FROM v GROUP BY 1), cache AS (SELECT path, (min({{'t': t, 'h': hash}})).h AS hash FROM v GROUP BY 1), idx AS (SELECT DISTINCT {PATH} AS path FROM code_chunks WHERE filepath IS NOT NULL)"""
+
+
+@query(f"""WITH {VERSIONS} SELECT coalesce(now.path, idx.path) AS path, CASE WHEN now.path IS NULL THEN 'removed' WHEN idx.path IS NULL THEN 'added' WHEN cache.hash = now.hash THEN 'unchanged' ELSE 'modified' END AS state FROM now FULL JOIN idx ON now.path = idx.path LEFT JOIN cache ON cache.path = coalesce(now.path, idx.path)""")
 def incremental_diff(s, d):
-    now, known, cache = _diff_parts(s, d)
-    return R.incremental_diff(now.select("path", "hash"), known.select("path"), cache.select("path", "hash"))
+    now, cache = _versions(s, d)
+    return R.incremental_diff(now, _indexed(s, d), cache)
 
 
 @query("SELECT lower(trim(source)) AS filepath, count(*) AS n, sum(CASE WHEN lower(trim(source)) IN ('wiki', 'forum') THEN 1 ELSE 0 END)::BIGINT AS fresh FROM documents WHERE source IS NOT NULL AND (lower(trim(source)) NOT IN ('wiki', 'forum') OR doc_id % 2 = 0) GROUP BY 1")
@@ -415,16 +425,16 @@ def replace_by_file(s, d):
     return K.replaced(old, new, paths).groupBy("filepath").agg(F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("fresh"))
 
 
-@query(f"WITH {EDGES}, n AS (SELECT DISTINCT src AS node FROM edges WHERE src % 2 = 0) SELECT src, dst FROM edges WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+@query(f"WITH {EDGES}, n AS (SELECT src AS node FROM edges INTERSECT SELECT dst FROM edges) SELECT src, dst FROM edges WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
 def semi_endpoints(s, d):
     e = edges(s, d)
-    return R.between_selected(e, e.where("src % 2 = 0").select(F.col("src").alias("node")).distinct()).select("src", "dst")
+    return R.between_selected(e, e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))).select("src", "dst")
 
 
-@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 = 0")
+@query(f"WITH {VERSIONS} SELECT DISTINCT path FROM (SELECT {PATH} AS path FROM file_changes WHERE filepath IS NOT NULL) WHERE path NOT IN (SELECT path FROM idx)")
 def anti_removed(s, d):
-    docs = read(s, d, "documents")
-    return R.removed(docs, docs.where("doc_id % 5 <> 0"), "doc_id")
+    changed = read(s, d, "file_changes").where("filepath IS NOT NULL").select(S.normal_path(F.col("filepath")).alias("path"))
+    return R.removed(changed, _indexed(s, d), "path")
 
 
 # ------------------------------------------------------------------ ranking and sets
@@ -520,11 +530,10 @@ def tumbling_windows(s, d):
     return C.tumbling(read(s, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT doc_id::VARCHAR AS path, n_chars::VARCHAR AS hash FROM documents WHERE doc_id % 7 = 0")
+@query(f"WITH {VERSIONS} SELECT now.path, now.hash FROM now JOIN cache USING (path) WHERE now.hash <> cache.hash")
 def hash_suppressed(s, d):
-    now, _, cache = _diff_parts(s, d)
-    every = now.sparkSession.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("string").alias("hash"))
-    return C.real_changes(every, cache.select("path", "hash"))
+    now, cache = _versions(s, d)
+    return C.real_changes(now, cache)
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000")

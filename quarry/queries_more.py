@@ -41,10 +41,10 @@ def short_symbols(s, d):
     return symbols(s, d).where("signature IS NOT NULL").select("signature").distinct().select("signature", N.short_symbol(F.col("signature")).alias("short"))
 
 
-@query("SELECT DISTINCT o_custkey AS node FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query(f"SELECT DISTINCT {PATH} AS node FROM file_changes WHERE filepath IS NOT NULL AND {PATH} NOT IN (SELECT {PATH} FROM parse_results WHERE filepath IS NOT NULL)")
 def unknown_nodes(s, d):
-    o = read(s, d, "orders").select(F.col("o_custkey").alias("node"))
-    return R.removed(o, read(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node")), "node")
+    node = S.normal_path(F.col("filepath")).alias("node")
+    return R.removed(read(s, d, "file_changes").where("filepath IS NOT NULL").select(node), read(s, d, "parse_results").where("filepath IS NOT NULL").select(node), "node")
 
 
 @query("SELECT lang, count(*) FILTER (state = 'current') AS current, count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'unknown') AS unknown FROM (SELECT lang, CASE WHEN repo IS NULL OR title IS NULL THEN 'unknown' WHEN n_chars % 2 = 0 THEN 'current' ELSE 'stale' END AS state FROM documents) GROUP BY lang")

@@ -16,6 +16,7 @@ from .plans import search as A
 from .queries import _DIST, _TARGET, PATH, SYMBOLS, query, symbols
 from .sinks import versioned as K
 from .sources import files as L
+from .sources import history as H
 from .sources import languages as G
 from .sources import project as J
 from .tables import read
@@ -531,3 +532,79 @@ def file_metrics(s, d):
 @query(f"""WITH {SYMBOLS}, t AS (SELECT DISTINCT filepath, name, line FROM symbols WHERE name IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY filepath, line, name) AS rn FROM t) SELECT filepath, name, line, (SELECT count(*) FROM t) > 200 AS truncated FROM r WHERE rn <= 200""")
 def truncated_symbols(s, d):
     return M.truncated(symbols(s, d).select("filepath", "name", "line").distinct(), 200, "filepath", "line", "name")
+
+
+# ------------------------------------------------------------------ call graph
+_NO_CALL = ", ".join(f"'{w}'" for w in sorted(X._NO_CALL))
+_WITH_BRACKET = " UNION ALL ".join(f"SELECT filepath, unnest(regexp_extract_all(content, {_sql(p if p.endswith('(') else p + chr(92) + 's*' + chr(92) + '(')}, 1)) AS name FROM src" for k, p in C.DECLARATIONS if k == "function")
+CALLS = rf"""src AS (SELECT * FROM files WHERE CASE WHEN {_LANGUAGE} = 'tsx' THEN 'typescript' ELSE {_LANGUAGE} END IN ('typescript', 'javascript', 'python', 'go')),
+said AS (SELECT filepath, name, count(*) AS n FROM (SELECT filepath, unnest(regexp_extract_all(replace(content, '(', '(('), '(?:^|[^\w$.])([A-Za-z_$][\w$]*)\s*\(', 1)) AS name FROM src) WHERE name NOT IN ({_NO_CALL}) GROUP BY 1, 2),
+made AS (SELECT filepath, name, count(*) AS n FROM ({_WITH_BRACKET}) GROUP BY 1, 2), site AS (SELECT repo, said.name, sum(said.n - coalesce(made.n, 0))::BIGINT AS n FROM said JOIN files USING (filepath) LEFT JOIN made ON made.filepath = said.filepath AND made.name = said.name GROUP BY 1, 2),
+goal AS (SELECT repo, name, count(DISTINCT filepath) AS n FROM (SELECT * FROM ({_DECLARED}) WHERE type = 'function') JOIN files USING (filepath) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {FILES}, {CALLS} SELECT name, sum(site.n * goal.n)::BIGINT AS n FROM site JOIN goal USING (repo, name) WHERE site.n > 0 GROUP BY 1")
+def call_edges(s, d):
+    return P.call_graph(P.Tables(files(s, d))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def call_context(s, d):
+    g = P.call_graph(P.Tables(files(s, d)))
+    from .operators import graph
+
+    e = g.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    return graph.call_context(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), 10)
+
+
+@query(f"WITH {FILES}, {CALLS} SELECT sum(site.n * goal.n)::BIGINT AS edge_count FROM site JOIN goal USING (repo, name) WHERE site.n > 0")
+def total_calls(s, d):
+    return P.call_totals(P.call_graph(P.Tables(files(s, d)))).select("edge_count")
+
+
+@query()
+def top_callers(s, d):
+    g = P.call_graph(P.Tables(files(s, d)))
+    return P.top_names(g, "caller").withColumn("side", F.lit("caller")).unionByName(P.top_names(g, "callee").withColumn("side", F.lit("callee")))
+
+
+@query()
+def busiest_functions(s, d):
+    return P.busiest_nodes(P.call_graph(P.Tables(files(s, d))), 100)
+
+
+# ------------------------------------------------------------------ version control
+CHANGED = f"ch AS (SELECT DISTINCT commit_id AS key, {PATH} AS path, CASE WHEN lower(trim(change_type)) = 'add' THEN 'added' WHEN lower(trim(change_type)) = 'unlink' THEN 'deleted' ELSE 'modified' END AS kind FROM file_changes WHERE commit_id IS NOT NULL AND filepath IS NOT NULL)"
+
+
+def _changed(s, d):
+    kind = F.lower(F.trim("change_type"))
+    return read(s, d, "file_changes").where("commit_id IS NOT NULL AND filepath IS NOT NULL").select(F.col("commit_id").alias("key"), S.normal_path(F.col("filepath")).alias("path"), F.when(kind == "add", "A").when(kind == "unlink", "D").otherwise("M").alias("code")).distinct()
+
+
+@query(f"WITH {CHANGED} SELECT key, path, kind FROM ch")
+def revision_changes(s, d):
+    """Each commit's changes written as captured output and read back."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "code"))), lambda x: F.concat(x["code"], F.lit("\0"), x["path"])), "\0")
+    return H.revision_changes(_changed(s, d).groupBy("key").agg(text.alias("text"))).select("key", "path", "kind")
+
+
+@query(f"WITH {CHANGED} SELECT key, path, kind, kind = 'added' AS untracked FROM ch")
+def status_entries(s, d):
+    code = F.when(F.col("code") == "A", "??").when(F.col("code") == "D", " D").otherwise("M ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", code.alias("c")))), lambda x: F.concat(x["c"], F.lit(" "), x["path"])), "\0")
+    return H.status(_changed(s, d).groupBy("key").agg(text.alias("text"))).select("key", "path", "kind", "untracked")
+
+
+@query("SELECT coalesce(nullif(repo, ''), 'none') AS key, doc_id::VARCHAR AS commit, title AS subject FROM documents WHERE doc_id IS NOT NULL AND title IS NOT NULL AND title <> ''")
+def commit_history(s, d):
+    t = read(s, d, "documents").where("doc_id IS NOT NULL AND title IS NOT NULL AND title <> ''").select(F.coalesce(F.nullif("repo", F.lit("")), F.lit("none")).alias("key"), F.col("doc_id").cast("string").alias("c"), "title")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "title"))), lambda x: F.concat_ws("\0", x["c"], F.lit("author"), F.lit("2024-01-01"), x["title"])), "\0")
+    return H.history(t.groupBy("key").agg(text.alias("text"))).select("key", "commit", "subject")
+
+
+@query(f"WITH {CHANGED} SELECT key, row_number() OVER (PARTITION BY key ORDER BY path, kind) AS line, path AS summary FROM ch")
+def blamed_lines(s, d):
+    row = lambda x, k: F.concat(F.lit("abcdef0 1 "), (k + 1).cast("string"), F.lit("\nauthor a\nauthor-time 1\nsummary "), x["path"], F.lit("\n\tcode"))
+    order = F.sort_array(F.collect_list(F.struct("path", F.when(F.col("code") == "A", "added").when(F.col("code") == "D", "deleted").otherwise("modified").alias("k"))))
+    return H.blame(_changed(s, d).groupBy("key").agg(F.array_join(F.transform(order, row), "\n").alias("text"))).select("key", "line", "summary")
