@@ -6,10 +6,13 @@ projects, so names resolve within one. Identifiers of nodes hold the path and th
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import ensure_checkpoint_dir
 from . import code
 from .relational import is_test_path
 
@@ -55,17 +58,36 @@ def resolved_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, st
 
 
 class Tables:
-    """The tables of one set of files (repo, filepath, content), each extracted once."""
+    """The tables of one set of files (repo, filepath, content), each extracted when it is first asked for; those with many uses are written once."""
 
     def __init__(self, files: DataFrame, aliases: dict[str, str] | None = None):
-        self.files = files
-        names = files.select("repo", "filepath", is_test_path(F.col("filepath")).alias("is_test"))
-        self.modules = names
-        self.symbols = code.extract(files, "symbols").join(names, "filepath").withColumn("id", symbol_id(F.col("filepath"), F.col("start"), F.col("name")))
-        self.imports = resolved_imports(code.extract(files, "imports"), files, aliases)
-        self.uses = code.extract(files, "uses").join(names, "filepath")
-        self.hierarchy = code.extract(files, "hierarchy").join(names, "filepath")
-        self.signals = code.extract(files, "signals")
+        self.files, self._aliases = files, aliases
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return self.files.select("repo", "filepath", is_test_path(F.col("filepath")).alias("is_test"))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        ensure_checkpoint_dir(self.files.sparkSession)
+        return code.extract(self.files, "symbols").join(self.modules, "filepath").withColumn("id", symbol_id(F.col("filepath"), F.col("start"), F.col("name"))).checkpoint()
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        ensure_checkpoint_dir(self.files.sparkSession)
+        return resolved_imports(code.extract(self.files, "imports"), self.files, self._aliases).checkpoint()
+
+    @cached_property
+    def uses(self) -> DataFrame:
+        return code.extract(self.files, "uses").join(self.modules, "filepath")
+
+    @cached_property
+    def hierarchy(self) -> DataFrame:
+        return code.extract(self.files, "hierarchy").join(self.modules, "filepath")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return code.extract(self.files, "signals")
 
     def nearest(self, wanted: DataFrame, file: str, name: str, offset: Column) -> DataFrame:
         """The rows of ``wanted`` with ``near``: the id of the symbol of a name in a file that begins nearest to an offset, null if there is none."""
