@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(similar.pairs, "code_chunks"),
         "p1_neighbours": _on(similar.query_neighbours, "code_chunks"),
+        "p1_every": _on(similar.neighbours, "code_chunks"),
         "p2_found": _on(lambda df: credentials.locate(df).select("id", "line").distinct(), "code_chunks"),
         "p2_redacted": _on(credentials.redacted, "code_chunks"),
         "p3_found": _on(splitting.natural_cuts, "code_chunks", "parse_options"),
