@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_path
+from ..tables import ensure_checkpoint_dir
 
 # Fixed value: folders and file names of tests.
 TEST_PATH = r"(^|/)(tests?|__tests__|specs?)/|(\.test|\.spec|_test|_spec)\.[^./]+$"
@@ -154,12 +155,13 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("inbound"), F.sum("o").alias("outbound")).withColumn("score", F.col("inbound") * 2 + F.col("outbound"))
 
 
-def call_metrics(events: DataFrame, key: str = "event_type", value: str = "value", last: int = 200) -> DataFrame:
-    """Per key: calls, total and last value, nearest-rank p50 and p95 of the ``last`` values.
+def call_metrics(events: DataFrame, key: str = "event_type", value: str = "value", last: int = 200, failed: Column | None = None) -> DataFrame:
+    """Per key: calls, successes, failures (of the rows where ``failed`` is true), total and last value, nearest-rank p50 and p95 of the ``last`` values.
 
     The window keeps ``last`` rows a key before anything else, so a hot key is cut on the map side.
     """
-    totals = events.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.sum(value).alias("total"), F.max_by(value, F.struct("ts", "event_id")).alias("last"))
+    bad = F.coalesce(F.lit(False) if failed is None else failed, F.lit(False))
+    totals = events.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.count_if(~bad).alias("successes"), F.count_if(bad).alias("failures"), F.sum(value).alias("total"), F.max_by(value, F.struct("ts", "event_id")).alias("last"))
     recent = events.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id")))).where(F.col("rn") <= last)
     marks = recent.groupBy(key).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
     return totals.join(marks, key)
@@ -190,7 +192,9 @@ def byte_budget_prefix(df: DataFrame, tokens: int, order: str, text: str) -> Dat
     spark = df.sparkSession
     sized = df.withColumn("bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = sized.repartitionByRange(n, order).withColumn("part", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    # written once: both uses of the partition numbers see the same ranges
+    parts = sized.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()).checkpoint()
     sums = parts.groupBy("part").agg(F.sum("bytes").alias("b"), F.min(order).alias("low")).withColumn("before", F.coalesce(F.sum("b").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = sums.where(F.col("before") <= budget).select("part", "before")  # one row a partition
     rows = parts.join(F.broadcast(inside), "part")

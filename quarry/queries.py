@@ -322,11 +322,16 @@ def degree_hotspots(s, d):
     return R.degree(edges(s, d))
 
 
+@query(f"WITH {EDGES} SELECT node, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound, (2 * sum(i) + sum(o))::BIGINT AS score FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY 1 ORDER BY score DESC, node LIMIT 20")
+def degree_top(s, d):
+    return V.top_k(R.degree(edges(s, d)), 20, F.desc("score"), "node")
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-t AS (SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, arg_max(value, {'ts': ts, 'e': event_id}) AS last FROM events GROUP BY 1), p AS (SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM r WHERE rn <= 200 GROUP BY 1)
-SELECT event_type, calls, total, last, p50, p95 FROM t JOIN p USING (event_type)""")
+t AS (SELECT event_type, count(*) AS calls, count(*) FILTER (value < 0) AS failures, round(sum(value), 4) AS total, arg_max(value, {'ts': ts, 'e': event_id}) AS last FROM events GROUP BY 1), p AS (SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM r WHERE rn <= 200 GROUP BY 1)
+SELECT event_type, calls, calls - failures AS successes, failures, total, last, p50, p95 FROM t JOIN p USING (event_type)""")
 def tool_metrics(s, d):
-    return R.call_metrics(read(s, d, "events")).withColumn("total", F.round("total", 4))
+    return R.call_metrics(read(s, d, "events"), failed=F.col("value") < 0).withColumn("total", F.round("total", 4))
 
 
 @query(f"WITH {SYMBOLS} SELECT repo, count(*) AS total, count(*) FILTER (type = 'function') AS n_function, count(*) FILTER (type = 'method') AS n_method, count(*) FILTER (type = 'class') AS n_class FROM symbols GROUP BY repo")

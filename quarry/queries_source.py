@@ -426,8 +426,7 @@ def task_counts(s, d):
 @query("""SELECT line FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value < 0) AS bad, quantile_disc(value, 0.5) FILTER (rn <= 200) AS p50, quantile_disc(value, 0.95) FILTER (rn <= 200) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY 1),
 LATERAL (SELECT unnest(['tool_calls_total{tool="' || event_type || '",outcome="success"} ' || (n - bad), 'tool_calls_total{tool="' || event_type || '",outcome="failure"} ' || bad, 'tool_duration_ms{tool="' || event_type || '",quantile="0.5"} ' || round(p50 * 100)::BIGINT, 'tool_duration_ms{tool="' || event_type || '",quantile="0.95"} ' || round(p95 * 100)::BIGINT]) AS line)""")
 def prometheus_lines(s, d):
-    e = read(s, d, "events")
-    m = R.call_metrics(e).join(e.groupBy("event_type").agg(F.count_if(F.col("value") < 0).alias("failures")), "event_type")
+    m = R.call_metrics(read(s, d, "events"), failed=F.col("value") < 0)
     hundred = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
     return M.prometheus(m.select(F.col("event_type").alias("tool"), "calls", "failures", hundred("p50"), hundred("p95")), "tool")
 
@@ -557,7 +556,7 @@ def call_context(s, d):
     return graph.call_context(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), 10)
 
 
-@query(f"WITH {FILES}, {CALLS} SELECT sum(site.n * goal.n)::BIGINT AS edge_count FROM site JOIN goal USING (repo, name) WHERE site.n > 0")
+@query(f"WITH {FILES}, {CALLS} SELECT coalesce(sum(site.n * goal.n), 0)::BIGINT AS edge_count FROM site JOIN goal USING (repo, name) WHERE site.n > 0")
 def total_calls(s, d):
     return P.call_totals(P.call_graph(P.Tables(files(s, d)))).select("edge_count")
 
