@@ -153,10 +153,18 @@ def mix(documents: DataFrame, mix_targets: DataFrame, size=bytes4, slot_tokens:
     to within a document. The order depends on ``seed`` and the ids only. Empty documents have no size and
     no place.
     """
-    spark = documents.sparkSession
-    ensure_checkpoint_dir(spark)
-    caps = targets(mix_targets)
-    every = sized(documents, size).checkpoint()  # ids and sizes: several uses of one pass over the texts
+    return _mixed(_written(documents, size), mix_targets, slot_tokens, seed)
+
+
+def _written(documents: DataFrame, size) -> DataFrame:
+    """Ids, sources and sizes, written once: several uses of one pass over the texts."""
+    ensure_checkpoint_dir(documents.sparkSession)
+    return sized(documents, size).checkpoint()
+
+
+def _mixed(every: DataFrame, mix_targets: DataFrame, slot_tokens: int, seed: int = 17) -> DataFrame:
+    """``mix`` of documents whose sizes are known."""
+    spark, caps = every.sparkSession, targets(mix_targets)
     plan = planned(every, mix_targets, slot_tokens)
     slots = schedule(spark, plan).withColumn("part", F.floor(F.col("slot") / F.lit(65536)))
     # the rank of a slot within its source in two steps, so that no task holds all slots
@@ -190,12 +198,13 @@ def report(documents: DataFrame, mix_targets: DataFrame, size=bytes4, slot_token
     ``actual_share`` is of the mix, which falls short of the total by what the unfeasible sources
     lack; ``reached`` is the part of its own target that a source fills.
     """
-    used = mix(documents, mix_targets, size, slot_tokens)
+    docs = _written(documents, size)
+    used = _mixed(docs, mix_targets, slot_tokens)
     per_doc = used.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"))
     got = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     every = W.partitionBy(F.lit(1))  # one row a target source
     return (
-        shares(documents, mix_targets, size)
+        _shares(docs, mix_targets)
         .join(got, "source", "left")
         .na.fill(0, ["tokens", "documents", "most_uses"])
         .select("source", F.col("share").alias("target_share"), (F.col("tokens") / F.sum("tokens").over(every)).alias("actual_share"), (F.col("tokens") / F.col("target_tokens")).alias("reached"), "tokens", "documents", "most_uses", "feasible")
