@@ -85,6 +85,30 @@ def declaration_end(text: str, start: int) -> int:
     return len(text)
 
 
+_BY_INDENT = re.compile(r"def\b|class\s+\w+\s*(?:\([^)]*\))?\s*:", re.A)
+
+
+def indented_end(text: str, start: int) -> int:
+    """End of a declaration whose body is indented: the last line deeper than its own, with a closing ``end`` of its own depth."""
+    begin = text.rfind("\n", 0, start) + 1
+    own = len(re.match(r"[ \t]*", text[begin:]).group())
+    stop = text.find("\n", start)
+    if stop < 0:
+        return len(text)
+    at = stop + 1
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        depth = len(line) - len(line.lstrip())
+        if line.strip():
+            if depth <= own and line.lstrip()[:1] not in ")]":
+                return end if re.match(r"[ \t]*end\b", line) and depth == own else stop
+            stop = end
+        at = end + 1
+    return stop
+
+
 def modifiers(text: str) -> list[str]:
     """The modifiers among the first hundred characters of a declaration."""
     head = text[:100]
@@ -100,6 +124,13 @@ def signature(text: str) -> str | None:
     return re.split(r"[{:]", text)[0].strip() or None
 
 
+def _head(body: str, indented: bool) -> str:
+    """A function's declaration without its body; of a ``def`` without a colon the first line."""
+    if not indented:
+        return body.split("{")[0].strip()
+    return (signature(body) or "") if re.match(r"def\s+\w+\s*\([^)]*\)[^:\n]*:", body) else body.split("\n")[0].strip()
+
+
 def symbols(text: str) -> list[Symbol]:
     """Declared symbols in order of offset and name, each (type, name, offset) once, at most MAX_SYMBOLS."""
     lines, found = Lines(text), {}
@@ -107,9 +138,10 @@ def symbols(text: str) -> list[Symbol]:
         for m in pattern.finditer(text):
             key = (kind, m[1], m.start())
             if key not in found:
-                stop = declaration_end(text, m.start())
+                indented = _BY_INDENT.match(text, m.start()) is not None
+                stop = indented_end(text, m.start()) if indented else declaration_end(text, m.start())
                 body = text[m.start() : stop]
-                found[key] = Symbol(kind, m[1], m.start(), stop, lines.of(m.start()), lines.of(stop), body.split("{")[0].strip() if kind == "function" else None, modifiers(body))
+                found[key] = Symbol(kind, m[1], m.start(), stop, lines.of(m.start()), lines.of(stop), _head(body, indented) if kind == "function" else None, modifiers(body))
     return sorted(found.values(), key=lambda s: (s.start, s.name))[:MAX_SYMBOLS]
 
 

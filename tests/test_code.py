@@ -110,3 +110,45 @@ def test_presets(spark):
     want = {"functions": ["f"], "types": ["I"], "imports": ["m"], "exports": ["K"], "comments": ["// note"], "strings": ["'m'", "'v'"], "variables": ["K"], "classes": []}
     assert {k: [r["name"] for r in code.preset(files, k).orderBy("line").collect()] for k in want} == want
     assert extract.split_types("A<B, C>, D") == ["A", "D"]
+
+
+def test_lookups(spark):
+    s = spark.createDataFrame([("f", "a", "class", 1, 1, 0, 9, 1), ("f", "b", "function", 3, 3, 2, 5, 4), ("g", "b", "method", 1, 1, 0, 2, 0)], "filepath string, name string, type string, start int, line int, column int, endline int, endcolumn int")
+    assert P.symbols_of(s, include=["class", "function"], exclude=["class"]).count() == 1 and P.symbols_of(s, name="b").count() == 2
+    assert P.first_named(s, "b").first()["filepath"] == "f" and P.first_named(s, "none").count() == 0
+    points = spark.createDataFrame([("f", 3, 3), ("f", 3, 1), ("f", 20, 0)], "filepath string, line int, column int")
+    assert {(r["line"], r["column"]): r["name"] for r in P.symbol_at(s, points).collect()} == {(3, 3): "a", (3, 1): "a"}
+    c = spark.createDataFrame([("1", "src\\A.py"), ("2", "src/b.py")], "id string, filepath string")
+    assert [r["id"] for r in P.chunks_of_file(c, "SRC/a.py").collect()] == ["1"]
+    assert [r["id"] for r in P.chunks_of_ids(c, spark.createDataFrame([("2",), ("2",), ("9",)], "id string")).collect()] == ["2"]
+    calls = spark.createDataFrame([("/r/a.py:f", "C:\\r\\b.py:g")], "caller string, callee string")
+    assert tuple(P.public_names(calls, "/r/").first()) == ("a.py:f", "C:/r/b.py:g")
+    saved = spark.createDataFrame([("a", "0123456789abcdefXX")], "path string, hash string")
+    assert P.graph_is_current(saved, spark.createDataFrame([("a", "0123456789abcdefYY")], saved.schema)) and not P.graph_is_current(saved, saved.limit(0))
+
+
+def test_call_graph(spark):
+    files = spark.createDataFrame([("p", "p/a.py", "def f():\n    g()\n    g()\n\ng()\n"), ("p", "p/b.py", "def g():\n    return f()\n"), ("p", "p/c.rs", "fn h() { g() }\n"), ("q", "q/a.py", "g()\n")], "repo string, filepath string, content string")
+    graph = P.call_graph(P.Tables(files)).cache()
+    assert sorted((r["caller"], r["callee"]) for r in graph.collect()) == [("p/a.py:__global__", "p/b.py:g"), ("p/a.py:f", "p/b.py:g"), ("p/a.py:f", "p/b.py:g"), ("p/b.py:g", "p/a.py:f")]
+    assert tuple(P.call_totals(graph).first()) == (4, 3)
+    assert [tuple(r) for r in P.top_names(graph, "caller").collect()] == [("f", 2), ("g", 1)]
+    assert P.busiest_nodes(graph, 1).first()["node"] == "p/b.py:g"
+
+
+def test_embedding_client(spark):
+    from quarry.operators.retrieval import embed_with
+
+    def client_of(dim):
+        return lambda: lambda texts: [[float(len(t))] * dim for t in texts]
+
+    df = spark.createDataFrame([("1", "abc"), ("2", None)], "id string, content string")
+    assert {r["id"]: r["vector"] for r in embed_with(df, client_of(2), 2).collect()} == {"1": [3.0, 3.0], "2": [0.0, 0.0]}
+    with pytest.raises(Exception, match="missing or malformed"):
+        embed_with(df, client_of(3), 2).collect()
+
+
+def test_indented_bodies():
+    text = "class A(B):\n    x = {1: 2}\n\n    def f(\n        self,\n    ):\n        g()\n\ndef g():\n    f()\ny = 1\n"
+    assert [(s.name, s.line, s.endline) for s in code.symbols(text)] == [("A", 1, 7), ("f", 4, 7), ("g", 9, 10)]
+    assert [(s.name, s.line, s.endline, s.signature) for s in code.symbols("  def f(x)\n    g\n  end\nend\n")] == [("f", 1, 3, "def f(x)")]
