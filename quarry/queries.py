@@ -421,12 +421,12 @@ def incremental_diff(s, d):
     return R.incremental_diff(now, _indexed(s, d), cache)
 
 
-@query("SELECT lower(trim(source)) AS filepath, count(*) AS n, sum(CASE WHEN lower(trim(source)) IN ('wiki', 'forum') THEN 1 ELSE 0 END)::BIGINT AS fresh FROM documents WHERE source IS NOT NULL AND (lower(trim(source)) NOT IN ('wiki', 'forum') OR doc_id % 2 = 0) GROUP BY 1")
+@query("SELECT lower(trim(source)) AS filepath, count(*) AS n, sum(CASE WHEN lower(trim(source)) IN ('wiki', 'forum') THEN 1 ELSE 0 END)::BIGINT AS fresh FROM documents WHERE source IS NOT NULL AND (lower(trim(source)) NOT IN ('wiki', 'forum') OR n_chars > 300) GROUP BY 1")
 def replace_by_file(s, d):
-    docs = read(s, d, "documents").where("source IS NOT NULL").select("doc_id", F.lower(F.trim("source")).alias("filepath"))
+    docs = read(s, d, "documents").where("source IS NOT NULL").select("doc_id", F.lower(F.trim("source")).alias("filepath"), "n_chars")
     paths = docs.where("filepath IN ('wiki', 'forum')").select("filepath").distinct()
     old = docs.withColumn("fresh", F.lit(0))
-    new = docs.join(F.broadcast(paths), "filepath", "left_semi").where("doc_id % 2 = 0").withColumn("fresh", F.lit(1)).select("doc_id", "filepath", "fresh")
+    new = docs.join(F.broadcast(paths), "filepath", "left_semi").where("n_chars > 300").withColumn("fresh", F.lit(1)).select(*old.columns)
     return K.replaced(old, new, paths).groupBy("filepath").agg(F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("fresh"))
 
 
@@ -454,10 +454,10 @@ def byte_budget_prefix(s, d):
     return R.byte_budget_prefix(read(s, d, "documents").select("doc_id", "text"), 100_000, "doc_id", "text").select("doc_id", "used")
 
 
-@query("SELECT k, v, o FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, v) AS rn FROM (SELECT p_brand AS k, p_partkey AS v, 0 AS o FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_brand, p_partkey, 1 FROM part)) WHERE rn = 1")
+@query("SELECT k, v, o FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, v) AS rn FROM (SELECT p_brand AS k, p_partkey AS v, 0 AS o FROM part WHERE p_size > 25 UNION ALL SELECT p_brand, p_partkey, 1 FROM part)) WHERE rn = 1")
 def union_keep_first(s, d):
-    p = read(s, d, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("v"))
-    return R.union_keep_first(p.where("v % 3 = 0").withColumn("o", F.lit(0)), p.withColumn("o", F.lit(1)), ["k"], "v")
+    p = read(s, d, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("v"), "p_size")
+    return R.union_keep_first(p.where("p_size > 25").drop("p_size").withColumn("o", F.lit(0)), p.drop("p_size").withColumn("o", F.lit(1)), ["k"], "v")
 
 
 @query("SELECT regexp_replace(replace(filepath, '\\', '/'), '^\\./', '') AS path, arg_max(change_type, {'t': ts, 'c': change_id}) AS change_type FROM file_changes WHERE change_type IS NOT NULL GROUP BY 1")
@@ -546,12 +546,12 @@ def audit_tail(s, d):
     return K.last_events(read(s, d, "events"), 2000).select("event_id", "ts", "event_type")
 
 
-@query("""WITH o AS (SELECT doc_id, n_chars, 1 AS updated_at FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id, n_chars + 1 AS n_chars, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 9 END AS expected, 2 AS updated_at FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH o AS (SELECT doc_id, n_chars, 1 AS updated_at FROM documents WHERE title IS NOT NULL), c AS (SELECT doc_id, n_chars + 1 AS n_chars, CASE WHEN n_chars > 300 THEN 1 ELSE 9 END AS expected, 2 AS updated_at FROM documents WHERE lower(lang) = 'en')
 SELECT doc_id AS id, n_chars, updated_at FROM (SELECT c.doc_id, c.n_chars, c.updated_at FROM c LEFT JOIN o USING (doc_id) WHERE o.doc_id IS NULL OR c.expected = o.updated_at UNION ALL SELECT o.doc_id, o.n_chars, o.updated_at FROM o WHERE o.doc_id NOT IN (SELECT c.doc_id FROM c JOIN o USING (doc_id) WHERE c.expected = o.updated_at)) ORDER BY updated_at DESC, doc_id LIMIT 500""")
 def memory_upsert(s, d):
     docs = read(s, d, "documents")
-    old = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "n_chars", F.lit(1).alias("updated_at"))
-    change = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") + 1).alias("n_chars"), F.lit(2).alias("updated_at"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(9).alias("expected"))
+    old = docs.where("title IS NOT NULL").select(F.col("doc_id").alias("id"), "n_chars", F.lit(1).alias("updated_at"))
+    change = docs.where("lower(lang) = 'en'").select(F.col("doc_id").alias("id"), (F.col("n_chars") + 1).alias("n_chars"), F.lit(2).alias("updated_at"), F.when(F.col("n_chars") > 300, 1).otherwise(9).alias("expected"))
     return K.optimistic_upsert(old, change)
 
 
