@@ -7,9 +7,13 @@ newest manifest that can be read counts, so a crash at any point leaves the vers
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,19 +193,36 @@ def replaced(old: DataFrame, rows: DataFrame, paths: DataFrame) -> DataFrame:
     return old.join(gone, normal_path(F.col("filepath")) == F.col("_p"), "left_anti").unionByName(rows)
 
 
-FINGERPRINT_FILES = 100_000  # the budget of files of a scan
+_PACKED = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("text", pa.binary()), ("files", pa.int64())])
 
 
 def fingerprint(files: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:
     """(fingerprint, files) of a source tree: the first 16 digits of the SHA-256 over its ``path NUL hash`` lines in order of path.
 
-    The hash of one text is sequential, so it stands for at most the files that a scan's budget allows and
-    fails beyond; ``wide_fingerprint`` has no such bound. Null paths take no part.
+    Ranges of paths are sorted in parallel and packed to a text a batch; one task hashes the texts in order as
+    they stream by, for the hash of one text is sequential, and holds none but the last. Null paths take no part.
     """
-    n = F.count(F.lit(1))
-    lines = files.where(F.col(path).isNotNull()).agg(n.alias("files"), F.sort_array(F.collect_list(F.struct(F.col(path), F.concat_ws("\0", path, digest).alias("line")))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return lines.select(F.when(F.col("files") <= FINGERPRINT_FILES, F.substring(F.sha2(text, 256), 1, 16)).otherwise(F.raise_error(F.lit("too many files"))).alias("fingerprint"), "files")
+    lines = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.concat_ws("\0", path, digest).alias("line"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"part": [part], "batch": [k], "text": ["\n".join(batch.column("line").to_pylist()).encode()], "files": [batch.num_rows]}, _PACKED)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text, files in zip(batch.column("text"), batch.column("files").to_pylist(), strict=True):
+                whole.update(b"\n" if n else b"")
+                whole.update(text.as_buffer())
+                n += files
+        yield pa.RecordBatch.from_pydict({"fingerprint": [whole.hexdigest()[:16]], "files": [n]})
+
+    packed = lines.repartitionByRange("path").sortWithinPartitions("path", "line").mapInArrow(pack, "part int, batch int, text binary, files long")
+    total = packed.repartition(1).sortWithinPartitions("part", "batch").select("text", "files").mapInArrow(hashed, "fingerprint string, files long")
+    # an empty tree may have no task at all; it has the hash of the empty text
+    return total.agg(F.coalesce(F.max("fingerprint"), F.lit(hashlib.sha256().hexdigest()[:16])).alias("fingerprint"), F.coalesce(F.max("files"), F.lit(0)).alias("files"))
 
 
 def wide_fingerprint(files: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:

@@ -1,5 +1,7 @@
 """Expected values of single operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,12 @@ def test_stream(spark, tmp_path):
 def test_redaction(spark):
     got = one(spark, S.redact(F.lit('api_key = "abc"; Authorization: Bearer abcdefgh12345')))
     assert got == 'api_key = "[REDACTED]"; Authorization: [REDACTED] [REDACTED TOKEN]' or "abc\"" not in got
+
+
+@pytest.mark.parametrize("n", [0, 1, 150_000])
+def test_fingerprint_of_any_size(spark, n):
+    hashed = spark.range(n).select(F.col("id").cast("string").alias("path"), F.md5(F.col("id").cast("string")).alias("hash"))
+    odd = spark.createDataFrame([(None, "x")] + [("a", "y"), ("a", "x"), ("é", "z"), ("b", None)] * (n > 1), "path string, hash string")
+    rows = [(str(k), hashlib.md5(str(k).encode()).hexdigest()) for k in range(n)] + [("a", "y"), ("a", "x"), ("é", "z"), ("b", None)] * (n > 1)
+    text = "\n".join("\0".join(x for x in r if x is not None) for r in sorted(rows, key=lambda r: (r[0], r[1] or "")))
+    assert tuple(K.fingerprint(hashed.unionByName(odd)).first()) == (hashlib.sha256(text.encode()).hexdigest()[:16], len(rows))
