@@ -101,7 +101,8 @@ def functions(text: str, lang: str, documented_only: bool = False) -> list[tuple
 
 def _declared(text: str, lang: str, toks: list[tuple[str, str, int]], documented_only: bool) -> list[tuple[Declaration, str, int]] | None:
     """The rows of ``functions``, or None if the text isn't valid; with ``documented_only`` a text without rows isn't parsed."""
-    if documented_only and lang != "python" and not any(t[0] == COMMENT for t in toks):
+    elements = lang in ("javascript", "typescript") and jsx.looks(text)  # such a text may hold more than its plain reading shows
+    if documented_only and lang != "python" and not elements and not any(t[0] == COMMENT for t in toks):
         return []
     out = []
     for d in declarations(text, lang, toks):
@@ -110,8 +111,7 @@ def _declared(text: str, lang: str, toks: list[tuple[str, str, int]], documented
         doc, words = best_description(d.comments, d.docstring) if d.kind != "type" else ("", 0)
         if words >= MIN_WORDS or not documented_only:
             out.append((d, doc, words))
-    # a text with elements of JSX may hold more than its plain reading shows
-    if not out and not (lang in ("javascript", "typescript") and jsx.looks(text)):
+    if not out and not elements:
         return []
     return out if valid_plain(text, lang, toks) else None
 
@@ -121,18 +121,17 @@ def _source(parse_results: DataFrame) -> DataFrame:
     return spread(files.select("filepath", "repo", "language", "content"), "filepath")
 
 
-def symbols(parse_results: DataFrame, documented_only: bool = False) -> DataFrame:
+def symbols(parse_results: DataFrame) -> DataFrame:
     """One row per function, method or type of every valid file of a programming language, documented or not.
 
     ``line`` is that of the name. Anonymous functions have no row; files that do not parse are left out.
-    ``documented_only`` is the filter to functions with non-trivial documentation, applied within the scan.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
-                for d, doc, words in functions(text, lang, documented_only):
+                for d, doc, words in functions(text, lang):
                     if d.kind == "type":
                         rows.append((path, repo, lang, d.kind, d.name, d.owner, d.line, None, None, d.bodied, None, 0, supertypes(text, d, lang)))
                         continue
@@ -186,13 +185,10 @@ def pairs(parse_results: DataFrame) -> DataFrame:
     above = bare.join(declared.select("repo", "language", "normal").distinct(), ["repo", "language", "normal"], "left_semi").join(ancestors(table), ["repo", "language", "type"]).join(declared, key)
     met = same.unionByName(above)
     nearest = met.groupBy("filepath", "line", "name").agg(F.min("distance").alias("distance"))
-    joined = met.join(nearest, ["filepath", "line", "name", "distance"]).select(*_COLUMNS, F.lit("declaration").alias("origin")).distinct()
+    joined = met.join(nearest, ["filepath", "line", "name", "distance"]).select(*_COLUMNS, F.lit("declaration").alias("origin")).distinct().checkpoint()  # else a filter on origin takes the join out of the plan
     return _own(table).unionByName(joined)
 
 
 def found(parse_results: DataFrame) -> DataFrame:
-    """(filepath, line) of the functions and methods with non-trivial documentation of their own: the rows of ``pairs`` of origin ``own``.
-
-    They need no declaration from elsewhere, so the filter goes down into the scan and the join away.
-    """
-    return _own(symbols(parse_results, documented_only=True)).select("filepath", "line").distinct()
+    """(filepath, line) of the functions and methods with non-trivial documentation of their own: the rows of ``pairs`` of origin ``own``."""
+    return pairs(parse_results).where("origin = 'own'").select("filepath", "line").distinct()

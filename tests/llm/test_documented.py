@@ -97,3 +97,13 @@ def test_foreign_parse_has_no_rank_limit():
     assert verdict('{"a": [1, 2, {"b": null}]}', "python")[0] is True  # a display of literals: names are no matter of syntax
     assert verdict('{"a": tru, }', "json") == (False, "python")
     assert verdict("<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "python") == (False, None)
+
+
+def test_found_are_rows_of_pairs(spark, monkeypatch):
+    hint = "export const Hint = () => <p>press the ` key</p>;\n\n/** Returns the cached value that belongs to the given key. */\nexport function get(key) {\n  return key;\n}\n"
+    files = _files(spark, {"hint.js": hint, "A.java": "interface A {\n" + DOC.format(" of A") + "    String get(String key);\n}\n", "B.java": "class B implements A {\n    public String get(String key) { return key; }\n}\n"})
+    rows = documented.pairs(files)
+    assert {(r["filepath"], r["line"]) for r in documented.found(files).collect()} == {("r/hint.js", 4), ("r/A.java", 3)}
+    assert rows.where("origin = 'declaration'").count() == 1
+    monkeypatch.setattr(documented, "pairs", lambda _: rows.where("filepath = 'r/hint.js'"))
+    assert [tuple(r) for r in documented.found(files).collect()] == [("r/hint.js", 4)]
