@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..tables import clean_path, ensure_checkpoint_dir
 from .common import current_files, spread
-from .lexer import CODE_LANGUAGES, COMMENT, IDENT, NEWLINE, NUMBER, OP, STRING, tokens
+from .lexer import CODE_LANGUAGES, COMMENT, IDENT, NEWLINE, NUMBER, OP, SIMPLE_LANGUAGES, STRING, simple_kind, simple_tokens, tokens
 
 SHINGLE = 16  # masked tokens; five of them repeat in all code
 PLAIN = 5  # tokens as they are, by which a copy with scattered edits is verified
@@ -55,40 +55,44 @@ _VENDOR_DIR = re.compile(r"/(?:vendor|vendors|vendored|third[-_]?party|3rdparty|
 _VENDOR = re.compile(r"\b(?:bundled|vendored|verbatim|local|private|embedded|modified|unmodified)\s+(?:copy|version)\s+of\b|\b(?:copied|taken|imported|vendored|ported|pulled|mirrored|synced)\s+(?:\w+\s+){0,3}from\s+(?:upstream|https?:|the\s+[\w-]+\s+(?:project|library|repository))|\bupstream\s+(?:release|version|project|source|repository|commit)\b|\b(?:library|package|module),?\s+version\s+\d|\bv?\d+\.\d+\.\d+\b[^\n]{0,30}\b(?:licen[cs]ed?|license)\b|@(?:license|preserve)\b[^\n]*\bv?\d+\.\d+|\bimported\s+unchanged\b", re.I)
 
 
-class Code(NamedTuple):
-    """The tokens of a text that are neither comments nor line ends: 64-bit codes of them as they are, and with names and literals masked."""
+class Scan(NamedTuple):
+    """The tokens of a text: codes of their kinds' letters, texts, lengths, and which are neither comments nor line ends with the 64-bit codes of these."""
 
+    kinds: np.ndarray
+    texts: list[str]
+    sizes: np.ndarray
+    code: np.ndarray
     plain: np.ndarray
-    masked: np.ndarray
 
-
-Columns = tuple[np.ndarray, list[str]]
-
-
-def columns_of(toks: list[tuple[str, str, int]]) -> Columns:
-    """The kind of each token, as the code of its letter, and its text."""
-    return np.frombuffer("".join([t[0] for t in toks]).encode(), np.uint8), [t[1] for t in toks]
-
-
-def coded(toks: list[tuple[str, str, int]], columns: Columns | None = None) -> Code:
-    kinds, texts = columns_of(toks) if columns is None else columns
-    at = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
-    plain = np.fromiter(map(_CODES.__getitem__, compress(texts, at.tolist())), np.int64, int(at.sum()))
-    masked, kinds = plain.copy(), kinds[at]
-    for kind in (IDENT, STRING, NUMBER):
-        masked[kinds == ord(kind)] = ord(kind)
-    return Code(plain, masked)
+    def masked(self) -> np.ndarray:
+        """The codes of the code tokens with names and literals masked."""
+        kinds, out = self.kinds[self.code], self.plain.copy()
+        for kind in (IDENT, STRING, NUMBER):
+            out[kinds == ord(kind)] = ord(kind)
+        return out
+
+
+def scan(text: str, language: str) -> Scan:
+    """What ``tokens`` finds; a text whose tokens need no context comes from one pass that keeps no offsets and looks each token's kind and code up."""
+    texts = simple_tokens(text, language)
+    if texts is not None:
+        words = _WORDS[language]
+        words.bound()
+        ids = np.fromiter(map(words.__getitem__, texts), np.int64, len(texts))
+        kinds, sizes, codes = words.kinds[ids], words.sizes[ids], words.codes[ids]
+        code = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
+        return Scan(kinds, texts, sizes, code, codes[code])
+    toks = tokens(text, language)
+    kinds, texts = np.frombuffer("".join([t[0] for t in toks]).encode(), np.uint8), [t[1] for t in toks]
+    code = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
+    plain = np.fromiter(map(_CODES.__getitem__, compress(texts, code.tolist())), np.int64, int(code.sum()))
+    return Scan(kinds, texts, np.fromiter(map(len, texts), np.int64, len(texts)), code, plain)
 
 
-def leading_comments(toks: list[tuple[str, str, int]]) -> str:
+def leading_comments(seen: Scan) -> str:
     """Comments before the first code, where generators and vendors put their notice."""
-    out = []
-    for kind, text, _ in toks:
-        if kind == COMMENT:
-            out.append(text)
-        elif kind != NEWLINE:
-            break
-    return "\n".join(out)
+    first = int(seen.code.argmax()) if seen.code.any() else len(seen.texts)
+    return "\n".join([seen.texts[k] for k in np.nonzero(seen.kinds[:first] == ord(COMMENT))[0]])
 
 
 def leading_lines(text: str) -> str:
@@ -108,7 +112,7 @@ def leading_lines(text: str) -> str:
     return "\n".join(out)
 
 
-def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str, int]] | None = None, columns: Columns | None = None) -> tuple[str | None, float, int]:
+def marks(path: str, language: str | None, text: str, seen: Scan | None = None) -> tuple[str | None, float, int]:
     """(verdict by the file's own marks or None, share of literals among the code's characters, number of tokens)."""
     name = "/" + path.split("/", 1)[-1]
     if _LOCK.search(path) or language in ("json", "yaml", "toml") and re.search(r"\"lockfileVersion\"\s*:|^lockfileVersion:|^# This file is automatically @generated by Cargo", text, re.M):
@@ -118,17 +122,15 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
             return "vendored", 0.0, 0
         head = leading_lines(text) if language != "markdown" else ""
         return ("generated" if head and _GENERATED.search(head) and not _DENIED.search(head) else None), 0.0, 0
-    toks = tokens(text, language) if toks is None else toks
-    kinds, texts = columns_of(toks) if columns is None else columns
-    size = np.fromiter(map(len, texts), np.int64, len(toks))
-    code = (kinds != ord(COMMENT)) & (kinds != ord(NEWLINE))
+    seen = scan(text, language) if seen is None else seen
+    kinds, texts, size, code, _ = seen
     n, total = int(code.sum()), int(size[code].sum())
     real = int(size[(kinds == ord(STRING)) | (kinds == ord(NUMBER))].sum())
-    literal = real + sum(len(t) for k, t, _ in toks if k == OP and t in "[]{}(),-") if real >= 0.4 * total else real
+    literal = real + sum(len(texts[k]) for k in np.nonzero(kinds == ord(OP))[0] if texts[k] in "[]{}(),-") if real >= 0.4 * total else real
     # tokens of each line, strings not counted
     sums = np.cumsum(code & (kinds != ord(STRING)))
-    ends = np.append(np.nonzero(kinds == ord(NEWLINE))[0], len(toks) - 1)
-    lines = np.diff(sums[ends], prepend=0) if len(toks) else np.zeros(0, np.int64)
+    ends = np.append(np.nonzero(kinds == ord(NEWLINE))[0], len(texts) - 1)
+    lines = np.diff(sums[ends], prepend=0) if len(texts) else np.zeros(0, np.int64)
     counted, packed = int(lines.sum()), int(lines[lines > DENSE].sum())
     share = literal / total if total else 0.0
     if total >= 300 and share >= 0.85 and real >= 0.6 * total:
@@ -138,7 +140,7 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
     remarks = [texts[k] for k in np.nonzero(kinds == ord(COMMENT))[0]]
     if any((t.startswith(("//# sourceMappingURL=", "//@ sourceMappingURL=")) or "webpackBootstrap" in t) for t in remarks):
         return "minified", share, n
-    head = leading_comments(toks)
+    head = leading_comments(seen)
     if _GENERATED.search(head) and not _DENIED.search(head):
         return "generated", share, n
     if _VENDOR_DIR.search(name) or _VENDOR.search(head):
@@ -148,29 +150,29 @@ def marks(path: str, language: str | None, text: str, toks: list[tuple[str, str,
     return None, share, n
 
 
-def signature(codes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of shingle codes: the least code of each of BANDS x ROWS bins, an empty bin taking that of the first full one in an order of its own."""
+def signatures(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """One-permutation MinHash of the shingle codes of each of ``n`` texts: the least code of each of BANDS x ROWS bins, an empty bin taking that of the first full one in an order of its own."""
     bins = BANDS * ROWS
     with np.errstate(over="ignore"):
         h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-    out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), h)
-    full = out != np.iinfo(np.uint64).max
-    empty = np.nonzero(~full)[0]
-    if len(empty) and full.any():
-        for step in _ORDER:  # the first full bin in the bin's own order; few steps fill nearly all
-            donor = step[empty]
-            got = full[donor]
-            out[empty[got]] = out[donor[got]]
-            empty = empty[~got]
-            if not len(empty):
-                break
+    out = np.full((n, bins), _NONE, np.uint64)
+    np.minimum.at(out.reshape(-1), owner * bins + (h % np.uint64(bins)).astype(np.int64), h)
+    full = out != _NONE
+    text, empty = np.nonzero(~full)
+    for step in _ORDER:  # the first full bin in the bin's own order; few steps fill nearly all
+        if not len(empty):
+            break
+        donor = step[empty]
+        got = full[text, donor]
+        out[text[got], empty[got]] = out[text[got], donor[got]]
+        text, empty = text[~got], empty[~got]
     return out
 
 
+_NONE = np.iinfo(np.uint64).max
 # The bins from which an empty bin takes its code: each row gives every bin its next candidate.
 _ORDER = np.random.default_rng(1).permuted(np.tile(np.arange(BANDS * ROWS, dtype=np.int64), (BANDS * ROWS, 1)), axis=1).T.copy()
 
@@ -190,53 +192,123 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def shingles(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Distinct 32-bit codes of the shingles of ``size`` tokens, of the whole text."""
-    return np.unique(shingle_codes(codes, size))
+class _Words(dict):
+    """Token of a language -> its place in the arrays of kinds, lengths and codes; comments and line ends need no code."""
+
+    MOST = 100_000
 
+    def __init__(self, language: str):
+        self.language = language
+        self.reset()
 
-def shingle_codes(codes: np.ndarray, size: int) -> np.ndarray:
-    """The codes of all shingles, in order."""
-    if not len(codes):
-        return np.zeros(0, np.uint32)
-    ids = codes.view(np.uint64)
-    n = max(1, len(ids) - size + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(min(size, len(ids))):
+    def reset(self) -> None:
+        self.clear()
+        self.used = 0
+        self.kinds, self.sizes, self.codes = np.zeros(1024, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def bound(self) -> None:
+        """Forget all words if there are very many; between two texts only."""
+        if self.used > self.MOST:
+            self.reset()
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        k = self[token] = self.used
+        self.used += 1
+        if k == len(self.kinds):
+            self.kinds, self.sizes, self.codes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.sizes, self.codes))
+        kind = simple_kind(token, self.language)
+        self.kinds[k], self.sizes[k] = ord(kind), len(token)
+        if kind not in (COMMENT, NEWLINE):
+            self.codes[k] = xxhash.xxh64_intdigest(token) - (1 << 63)
+        return k
+
+
+_WORDS = {x: _Words(x) for x in SIMPLE_LANGUAGES}
+
+
+def shingled(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit code, number of its text) of all shingles of ``size`` tokens of several texts; a shorter text is one shingle."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    codes, owner = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    long = np.nonzero(lengths >= size)[0]
+    if len(long):
+        ids = np.concatenate([texts[k] for k in long]).view(np.uint64)
+        of = np.repeat(long, lengths[long])
+        n = len(ids) - size + 1
+        within = of[:n] == of[size - 1 :]
+        codes.append(_rolled(ids, size, n)[within])
+        owner.append(of[:n][within])
+    for k in np.nonzero((lengths > 0) & (lengths < size))[0]:
+        codes.append(_rolled(texts[k].view(np.uint64), int(lengths[k]), 1))
+        owner.append(np.full(1, k))
+    return np.concatenate(codes), np.concatenate(owner)
+
+
+def _rolled(ids: np.ndarray, size: int, n: int) -> np.ndarray:
+    """The codes of the first ``n`` runs of ``size`` tokens."""
+    h, shifted = np.zeros(n, np.uint64), np.empty(n, np.uint64)
+    for k in range(size):
         h *= np.uint64(0x100000001B3)
         h ^= ids[k : k + n]
-        h ^= h >> np.uint64(29)
+        np.right_shift(h, np.uint64(29), out=shifted)
+        h ^= shifted
     return (h ^ (h >> np.uint64(32))).astype(np.uint32)
 
 
+def distinct(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes of each text, in order of text and code."""
+    both = np.sort(owner.astype(np.uint64) << np.uint64(32) | codes)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
+
+
 _FILE = "filepath string, repo string, language string, verdict string, literal double, shape long, size int, bands array<long>, near binary, sketch array<tinyint>"
 
 
-def band_keys(sig: np.ndarray) -> list[int]:
-    """A 64-bit key of each band of a signature."""
-    sig = sig.reshape(BANDS, ROWS)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of every signature."""
+    sigs = sigs.reshape(-1, BANDS, ROWS)
     with np.errstate(over="ignore"):
-        key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sigs), 1))
         for k in range(ROWS):
-            key = (key ^ sig[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ sigs[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(31)
-    return key.view(np.int64).tolist()
+    return key.view(np.int64)
 
 
-def sketch(codes: np.ndarray, size: int) -> list[int]:
-    """Eight bits of the least code of each of ``size`` bins, an empty one taking the next full one's: two sets agree in as many values as their similarity says."""
+def sketches(codes: np.ndarray, owner: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Eight bits of the least code of each of ``size`` bins of every text, an empty one taking the next full one's: two sets agree in as many values as their similarity says."""
     with np.errstate(over="ignore"):
         h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-    none = np.iinfo(np.uint64).max
-    out = np.full(size, none, np.uint64)
-    np.minimum.at(out, (h % np.uint64(size)).astype(np.int64), h)
-    full = np.nonzero(out != none)[0]
-    if len(full) < size:
-        out = out[np.append(full, full[0])[np.searchsorted(full, np.arange(size))]]
-    return (out >> np.uint64(40)).astype(np.uint8).view(np.int8).tolist()
+    out = np.full((n, size), _NONE, np.uint64)
+    np.minimum.at(out.reshape(-1), owner * size + (h % np.uint64(size)).astype(np.int64), h)
+    full = out != _NONE
+    last = out[np.arange(n), full.argmax(axis=1)]  # behind the last bin comes the first full one
+    for k in range(size - 1, -1, -1):
+        last = out[:, k] = np.where(full[:, k], out[:, k], last)
+    return (out >> np.uint64(40)).astype(np.uint8).view(np.int8)
+
+
+TOGETHER = 1 << 17  # tokens of the texts that are hashed in one go
+
+
+def _shape(rows: list[tuple], shaped: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+    """Shape, size, band keys and sketches into the rows of texts (number of the row, codes, masked codes)."""
+    import xxhash
+
+    if not shaped:
+        return
+    n = len(shaped)
+    own, owner = distinct(*shingled([x[2] for x in shaped], SHINGLE))
+    sigs = signatures(own, owner, n)
+    values = zip(np.bincount(owner, minlength=n).tolist(), band_keys(sigs).tolist(), (sigs >> np.uint64(8)).astype(np.uint8), sketches(*shingled([x[1] for x in shaped], PLAIN), n, SKETCH).tolist(), strict=True)
+    for (k, _, masked), (size, bands, near, named) in zip(shaped, values, strict=True):
+        rows[k] = (*rows[k][:5], xxhash.xxh64_intdigest(masked.tobytes()) - (1 << 63), size, bands, near.tobytes(), named)
 
 
 def profiled(parse_results: DataFrame) -> DataFrame:
@@ -247,23 +319,19 @@ def profiled(parse_results: DataFrame) -> DataFrame:
     files = current_files(parse_results).where(F.col("content") != "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
-            rows = []
+            rows, shaped, held = [], [], 0
             for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
-                toks = tokens(text, lang) if lang in CODE_LANGUAGES else None
-                columns = columns_of(toks) if toks else None
-                verdict, share, n = marks(path, lang, text, toks, columns)
-                shape, size, bands, near, named = None, None, None, None, None
-                if toks and n and not (lang != "php" and text.lstrip()[:1] == "<"):
-                    code = coded(toks, columns)
-                    shape = xxhash.xxh64_intdigest(code.masked.tobytes()) - (1 << 63)
-                    own = shingles(code.masked)
-                    sig = signature(own)
-                    size, bands, near = len(own), band_keys(sig), (sig >> np.uint64(8)).astype(np.uint8).tobytes()
-                    named = sketch(shingle_codes(code.plain, PLAIN), SKETCH)
-                rows.append((path, repo, lang, verdict, share, shape, size, bands, near, named))
+                seen = scan(text, lang) if lang in CODE_LANGUAGES else None
+                verdict, share, n = marks(path, lang, text, seen)
+                rows.append((path, repo, lang, verdict, share, None, None, None, None, None))
+                if n and not (lang != "php" and text.lstrip()[:1] == "<"):
+                    shaped.append((len(rows) - 1, seen.plain, seen.masked()))
+                    held += n
+                    if held >= TOGETHER:
+                        _shape(rows, shaped)
+                        shaped, held = [], 0
+            _shape(rows, shaped)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FILE.split(", ")]).astype({"shape": "Int64", "size": "Int32"})
 
     return spread(files.select("filepath", "repo", "language", "content"), "filepath").mapInPandas(run, _FILE)
@@ -274,6 +342,12 @@ def _small(df: DataFrame, most: int = SMALL, rows: int | None = None) -> DataFra
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def _sets(texts: list[np.ndarray], size: int) -> list[bytes]:
+    """The different shingle codes of each text."""
+    codes, owner = distinct(*shingled(texts, size))
+    return [x.tobytes() for x in np.split(codes, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])]
+
+
 def _shingle_sets(parse_results: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """(shape, sets, plain), the masked and the plain shingles of the files in ``wanted`` (filepath, shape; checkpointed): only candidates are read again for verification."""
     own = parse_results.select("repo", "filepath", "language", "content", "parsed_at")
@@ -283,11 +357,14 @@ def _shingle_sets(parse_results: DataFrame, wanted: DataFrame, rows: int) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets, named = [], []
-            for text, lang in zip(pdf["content"], pdf["language"], strict=True):
-                code = coded(tokens(text, lang))
-                sets.append(shingles(code.masked).tobytes())
-                named.append(shingles(code.plain, PLAIN).tobytes())
+            sets, named, seen, held = [], [], [], 0
+            for k, (text, lang) in enumerate(zip(pdf["content"], pdf["language"], strict=True), 1):
+                seen.append(scan(text, lang))
+                held += len(seen[-1].plain)
+                if held >= TOGETHER or k == len(pdf):
+                    sets += _sets([x.masked() for x in seen], SHINGLE)
+                    named += _sets([x.plain for x in seen], PLAIN)
+                    seen, held = [], 0
             yield pd.DataFrame({"shape": pdf["shape"], "sets": sets, "plain": named})
 
     return files.select("shape", "language", "content").mapInPandas(run, "shape long, sets binary, plain binary")

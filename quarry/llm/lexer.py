@@ -40,33 +40,53 @@ def _master(*parts: tuple[str, str]) -> re.Pattern:
 _C_COMMENT = ("c", r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/")
 _QUICK = ("k", r"[(){}\[\],;]")  # signs that begin nothing else
 # Names come first because they are the most frequent.
-_MASTERS = {
-    "python": _master(
+_PARTS: dict[str, tuple[tuple[str, str], ...]] = {
+    "python": (
         ("i", r"(?!(?:[rbufRBUF]|[rR][bBfF]|[bBfF][rR])[\"'])[^\W\d]\w*"), _QUICK, ("c", r"#[^\n]*"),
         ("s", r"(?i:[rbuf]|rb|br|rf|fr)?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?!\"\"\"|''')(?:" + _DQ + "|" + _SQ + "))"),
         ("n", _NUM), ("o", _OPS)),
-    "javascript": _master(("i", r"[#]?[^\W\d][\w$]*|\$[\w$]*"), _QUICK, _C_COMMENT, ("t", r"`"), ("s", _DQ + "|" + _SQ), ("n", _NUM), ("d", r"/"), ("o", _OPS)),
-    "java": _master(("i", r"[^\W\d][\w$]*"), _QUICK, _C_COMMENT, ("s", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|(?!""")' + _DQ + r"|'(?:[^'\\\n]|\\[^\n]{1,6}?)'"), ("n", _NUM), ("o", _OPS)),
-    "go": _master(("i", r"[^\W\d]\w*"), _QUICK, _C_COMMENT, ("s", _DQ + r"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,10}?)'"), ("n", _NUM), ("o", _OPS)),
-    "csharp": _master(
+    "javascript": (("i", r"[#]?[^\W\d][\w$]*|\$[\w$]*"), _QUICK, _C_COMMENT, ("t", r"`"), ("s", _DQ + "|" + _SQ), ("n", _NUM), ("d", r"/"), ("o", _OPS)),
+    "java": (("i", r"[^\W\d][\w$]*"), _QUICK, _C_COMMENT, ("s", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|(?!""")' + _DQ + r"|'(?:[^'\\\n]|\\[^\n]{1,6}?)'"), ("n", _NUM), ("o", _OPS)),
+    "go": (("i", r"[^\W\d]\w*"), _QUICK, _C_COMMENT, ("s", _DQ + r"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,10}?)'"), ("n", _NUM), ("o", _OPS)),
+    "csharp": (
         ("i", r"@?[^\W\d]\w*"), _QUICK, _C_COMMENT,
         ("s", r'\$*"""[\s\S]*?"""(?!")|(?:@\$?|\$@)"(?:[^"]|"")*"|\$"(?:[^"\\\n{]|\\.|\{\{|\{(?:[^{}"\n]|"(?:[^"\\\n]|\\.)*"|\{[^{}\n]*\})*\})*"|' + _DQ + r"|'(?:[^'\\\n]|\\[^\n]{1,8}?)'"),
         ("p", r"#(?:region|endregion|pragma|if|elif|else|endif|define|undef|nullable|error|warning|line|r|load)\b[^\n]*"), ("n", _NUM), ("o", _OPS)),
-    "rust": _master(
+    "rust": (
         ("i", r"(?!b?r#*\"|[bc]\"|b')(?:r#)?[^\W\d]\w*|'[^\W\d]\w*+(?!')"), _QUICK, ("c", r"//[^\n]*"), ("b", r"/\*"),
         ("s", r'b?r(?P<h>#*)"[\s\S]*?"(?P=h)|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:u\{[^}]*\}|x..|.))\''),
         ("n", r"(?:0[xbo][\da-fA-F_]+|\d[\d_]*(?:\.(?!\.)(?![A-Za-z_])[\d_]*)?(?:[eE][+-]?\d+)?)\w*"), ("o", _OPS)),
-    "php": _master(
+    "php": (
         ("i", r"\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*"), _QUICK,
         ("c", r"//(?:(?!\?>)[^\n])*|#(?!\[)(?:(?!\?>)[^\n])*|/\*(?:[^*]|\*(?!/))*\*/"), ("q", r"\?>"), ("h", r"<<<[ \t]*(?P<hq>['\"]?)(?P<hn>[A-Za-z_]\w*)(?P=hq)"),
         ("s", r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\'\\]|\\[\s\S])*\'|`[^`]*`'), ("n", _NUM), ("o", _OPS)),
-    "ruby": _master(
+    "ruby": (
         ("c", r"(?:(?<=\n)|\A)=begin\b[\s\S]*?\n=end[^\n]*|#[^\n]*"), ("z", r"(?:(?<=\n)|\A)__END__\n[\s\S]*"),
         ("i", r":[^\W\d]\w*[?!=]?(?![\w:])|:\"(?:[^\"\\\n]|\\.)*\"|@{0,2}[^\W\d]\w*(?:[?!](?!=))?|\$[\w~!@&+`'=/\\,;.<>*?:\"]\w*"), _QUICK,
         ("h", r"<<[~-]?(?P<hq>['\"`]?)(?P<hn>[A-Za-z_]\w*)(?P=hq)"), ("t", r"\""), ("s", r"'(?:[^'\\]|\\[\s\S])*'|`[^`\n]*`"), ("pct", r"%[wWiIqQr]?[\[({<|!]"), ("n", _NUM), ("d", r"/"), ("o", _OPS)),
 }
+_MASTERS = {k: _master(*v) for k, v in _PARTS.items()}
 _MASTERS["typescript"] = _MASTERS["javascript"]
 
+# Languages whose tokens mostly need no context: then a text alone tells a token's kind.
+SIMPLE_LANGUAGES = ("python", "javascript", "typescript", "java", "go", "csharp", "rust")
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}\"'`]*\})*`"
+_RAW = "b?r(?:" + "|".join(rf'{h}"[\s\S]*?"{h}' for h in ("#" * k for k in range(7))) + ")"
+
+
+def _simple(lang: str) -> re.Pattern:
+    """The master with a single group, which stays empty for a token that needs context and for a bad one."""
+    own = {"t": _TEMPLATE, "d": None, "b": None}
+    parts = [own.get(k, p) for k, p in _PARTS[lang][:-1]]
+    parts = [p.replace(r'b?r(?P<h>#*)"[\s\S]*?"(?P=h)', _RAW) for p in parts if p]
+    left = {"javascript": "(?!/)", "rust": r"(?!/\*)"}.get(lang, "")
+    space = r"[ \t\f\v\xa0\ufeff]"
+    return re.compile(space + "*(?:(\n|" + "|".join(parts) + f"|{left}(?:{_OPS}))|[^ \t\f\v\xa0\ufeff])")
+
+
+_SIMPLE = {x: _simple(x) for x in SIMPLE_LANGUAGES if x != "typescript"}
+_SIMPLE["typescript"] = _SIMPLE["javascript"]
+
 # After these words a slash begins a regular expression.
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "yield", "await", "and", "or", "not", "if", "elsif", "unless", "while", "until", "when", "then", "puts", "match"}
 _REGEX = re.compile(r"/(?![*\s])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
@@ -180,6 +200,24 @@ def tokens(src: str, lang: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def simple_tokens(src: str, lang: str) -> list[str] | None:
+    """The texts of ``tokens``; None for a text with a token that needs its context or is a bad one."""
+    pattern = _SIMPLE.get(lang)
+    if pattern is None:
+        return None
+    pos = 0
+    if lang in ("javascript", "typescript", "python", "rust") and src.startswith("#!") and not src.startswith("#!["):
+        pos = len(src) if (at := src.find("\n")) < 0 else at
+    out = pattern.findall(src, pos)
+    return None if "" in out else out
+
+
+def simple_kind(token: str, lang: str) -> str:
+    """The kind of a token of ``simple_tokens``."""
+    kind = _MASTERS[lang].match(token).lastgroup
+    return {"k": OP, "p": COMMENT, "t": STRING}.get(kind, kind)
+
+
 _PLAIN = frozenset("csniox")
 
 

@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+import xxhash
 
 from quarry.llm import handwritten
 from quarry.llm.handwritten import marks
+from quarry.llm.lexer import simple_tokens, tokens
 
 WORDS = "anchor beacon cargo depot engine ferry gauge harbor index jetty kernel ledger mantle needle orchard parcel quota relay sieve ticket".split()
 
@@ -76,3 +78,37 @@ def test_weak_signs_are_not_enough():
 
 def test_empty(spark):
     assert handwritten.classified(_table(spark, {"r/a.py": "x"}).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "alone"),
+    [
+        ("python", "#!/usr/bin/python\nx = f'{a}' + r\"b\" \\\n  + 0x1F  # c\n", True), ("python", 'x = r"open\n', False), ("javascript", "let a = `x ${y} \\` z` ?? #b; // c\n", True), ("javascript", "a = b / c\n", False),
+        ("typescript", "let a = `x ${`y`}`\n", False), ("go", "a := `x\ny` /* c */ + 'r'\n", True), ("csharp", '#region A\nvar a = $"{b}" + @"c""d";\n', True), ("rust", "let a = r##\"b\"##; fn f<'a>(x: &'a str) { 'x' }\n", True),
+        ("rust", "/* a /* b */ c */ let d = 1;\n", False), ("java", '/** d */ char c = \'"\'; String s = """\n a "b" """;\n', True), ("php", "<?php # c\n#[A]\n", False), ("ruby", "a = <<~X\n b\nX\n", False),
+    ],
+)
+def test_scan_without_context(lang, text, alone):
+    want, seen = tokens(text, lang), handwritten.scan(text, lang)
+    assert (simple_tokens(text, lang) is not None) is alone
+    assert seen.texts == [t[1] for t in want] and bytes(seen.kinds).decode() == "".join(t[0] for t in want)
+    assert seen.sizes.tolist() == [len(t[1]) for t in want]
+    codes = [xxhash.xxh64_intdigest(t[1]) - (1 << 63) for t in want if t[0] not in "cl"]
+    assert seen.plain.tolist() == codes
+    handwritten._WORDS.get(lang, handwritten._WORDS["go"]).reset()
+    assert handwritten.scan(text, lang).plain.tolist() == codes
+
+
+def test_texts_hashed_together_as_alone():
+    texts = ["a", "x = 1\n", "\n".join(f"def f{k}(a, b):\n    return a + {k} * b\n" for k in range(30)), "a b c d e", "g(" + ", ".join(map(str, range(40))) + ")\n"]
+    scans = [(k, x.plain, x.masked()) for k, x in enumerate(handwritten.scan(t, "python") for t in texts)]
+    rows = [("f", "r", "python", None, 0.0, *[None] * 5) for _ in texts]
+    together = list(rows)
+    handwritten._shape(together, scans)
+    for scan in scans:
+        handwritten._shape(rows, [scan])
+    assert rows == together and all(r[6] == len(set(_runs(s[2], 16))) for r, s in zip(rows, scans, strict=True))
+
+
+def _runs(codes, size):
+    return [tuple(codes[k : k + size]) for k in range(max(1, len(codes) - size + 1))]
