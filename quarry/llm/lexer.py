@@ -68,18 +68,21 @@ _PARTS: dict[str, tuple[tuple[str, str], ...]] = {
 _MASTERS = {k: _master(*v) for k, v in _PARTS.items()}
 _MASTERS["typescript"] = _MASTERS["javascript"]
 
+_REGEX = re.compile(r"/(?![*\s])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 # Languages whose tokens mostly need no context: then a text alone tells a token's kind.
-SIMPLE_LANGUAGES = ("python", "javascript", "typescript", "java", "go", "csharp", "rust")
+SIMPLE_LANGUAGES = ("python", "javascript", "typescript", "java", "go", "csharp", "rust", "php")
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}\"'`]*\})*`"
+# A slash close behind a bracket or a number divides, one behind a sign that awaits an operand begins a regular expression.
+_SLASH = r"(?:(?<=[)\]\d])|(?<=[)\]\d] ))/=?|(?:(?<=[(,=:!&|?{;\[+])|(?<=[(,=:!&|?{;\[+] ))" + _REGEX.pattern
 _RAW = "b?r(?:" + "|".join(rf'{h}"[\s\S]*?"{h}' for h in ("#" * k for k in range(7))) + ")"
 
 
 def _simple(lang: str) -> re.Pattern:
     """The master with a single group, which stays empty for a token that needs context and for a bad one."""
-    own = {"t": _TEMPLATE, "d": None, "b": None}
+    own = {"t": _TEMPLATE, "d": _SLASH, "b": None, "q": None, "h": None}
     parts = [own.get(k, p) for k, p in _PARTS[lang][:-1]]
     parts = [p.replace(r'b?r(?P<h>#*)"[\s\S]*?"(?P=h)', _RAW) for p in parts if p]
-    left = {"javascript": "(?!/)", "rust": r"(?!/\*)"}.get(lang, "")
+    left = {"javascript": "(?!/)", "rust": r"(?!/\*)", "php": r"(?!#|\?>|<<<)"}.get(lang, "")
     space = r"[ \t\f\v\xa0\ufeff]"
     return re.compile(space + "*(?:(\n|" + "|".join(parts) + f"|{left}(?:{_OPS}))|[^ \t\f\v\xa0\ufeff])")
 
@@ -89,7 +92,6 @@ _SIMPLE["typescript"] = _SIMPLE["javascript"]
 
 # After these words a slash begins a regular expression.
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "yield", "await", "and", "or", "not", "if", "elsif", "unless", "while", "until", "when", "then", "puts", "match"}
-_REGEX = re.compile(r"/(?![*\s])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _REGEX_RUBY = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _CLOSERS = {"[": "]", "(": ")", "{": "}", "<": ">", "|": "|", "!": "!"}
 
@@ -208,6 +210,10 @@ def simple_tokens(src: str, lang: str) -> list[str] | None:
     pos = 0
     if lang in ("javascript", "typescript", "python", "rust") and src.startswith("#!") and not src.startswith("#!["):
         pos = len(src) if (at := src.find("\n")) < 0 else at
+    elif lang == "php" and (at := src.find("<?")) >= 0:
+        if src[:at].strip():
+            return None
+        pos = at + (5 if src.startswith("<?php", at) else 3 if src.startswith("<?=", at) else 2)
     out = pattern.findall(src, pos)
     return None if "" in out else out
 
@@ -215,6 +221,8 @@ def simple_tokens(src: str, lang: str) -> list[str] | None:
 def simple_kind(token: str, lang: str) -> str:
     """The kind of a token of ``simple_tokens``."""
     kind = _MASTERS[lang].match(token).lastgroup
+    if kind == "d":
+        return OP if token in ("/", "/=") else REGEX
     return {"k": OP, "p": COMMENT, "t": STRING}.get(kind, kind)
 
 

@@ -84,6 +84,7 @@ def test_empty(spark):
     ("lang", "text", "alone"),
     [
         ("python", "#!/usr/bin/python\nx = f'{a}' + r\"b\" \\\n  + 0x1F  # c\n", True), ("python", 'x = r"open\n', False), ("javascript", "let a = `x ${y} \\` z` ?? #b; // c\n", True), ("javascript", "a = b / c\n", False),
+        ("javascript", "a = f(1) / 2; b = c.match(/[/(]x/g, /y/)[0] /= 3;\n", True), ("typescript", "return /x/.test(a)\n", False), ("php", "<?php\n$a = 'b'; # c\n#\n", True), ("php", "<?php $a ?>\n<b>\n", False), ("php", "<?php $a = <<<X\nb\nX;\n", False),
         ("typescript", "let a = `x ${`y`}`\n", False), ("go", "a := `x\ny` /* c */ + 'r'\n", True), ("csharp", '#region A\nvar a = $"{b}" + @"c""d";\n', True), ("rust", "let a = r##\"b\"##; fn f<'a>(x: &'a str) { 'x' }\n", True),
         ("rust", "/* a /* b */ c */ let d = 1;\n", False), ("java", '/** d */ char c = \'"\'; String s = """\n a "b" """;\n', True), ("php", "<?php # c\n#[A]\n", False), ("ruby", "a = <<~X\n b\nX\n", False),
     ],
