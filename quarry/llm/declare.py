@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from .lexer import COMMENT, IDENT, NEWLINE, STRING, Lines, tokens
+from .lexer import IDENT, STRING, Code
 
 
 class Declaration(NamedTuple):
@@ -52,66 +52,31 @@ _STATEMENTS = frozenset("if for while switch return try throw else do case catch
 
 
 class _Scan:
-    def __init__(self, src: str, lang: str, toks: list[tuple[str, str, int]] | None = None):
+    def __init__(self, src: str, lang: str, code: Code | None = None):
         self.src, self.lang = src, lang
-        self.lines = Lines(src)
-        count = len(self.lines.starts) + 2
-        self.code = bytearray(count)  # the line holds code
-        self.remark: dict[int, list[tuple[int, str]]] = {}
-        self.commented = bytearray(count)
-        self.annotated = bytearray(count)
-        self.toks: list[tuple[str, str, int]] = []
-        self.line_of: list[int] = []
-        self.marks: list[tuple[int, bool]] = []  # tokens that begin a line's code or are brackets
-        toks = tokens(src, lang) if toks is None else toks
-        line, behind = 1, 0
-        gaps = lang == "php" or "\\\n" in src  # line ends that are no tokens
-        add, lines, code, mark = self.toks.append, self.line_of.append, self.code, self.marks.append
-        fresh, number = True, 0
-        for tok in toks:
-            kind, text, at = tok
-            if gaps:
-                line += src.count("\n", behind, at)
-                behind = at + len(text)
-            if kind == NEWLINE:
-                line += 1
-                fresh = True
-            elif kind == COMMENT:
-                self.remark.setdefault(line, []).append((at, text))
-                self.commented[line] = 1
-                if "\n" in text:
-                    for _ in range(text.count("\n")):
-                        line += 1
-                        self.commented[line] = 1
-            else:
-                add(tok)
-                lines(line)
-                if fresh:
-                    code[line] = 1
-                    mark((number, True))
-                    fresh = False
-                elif kind == "o" and text in _BRACKETS:
-                    mark((number, False))
-                number += 1
-                if kind in "sx" and "\n" in text:
-                    for _ in range(text.count("\n")):
-                        line += 1
-                        code[line] = 1
-        self.n = len(self.toks)
+        self.code = code = Code(src, lang) if code is None else code
+        self.t, self.k, self.line_of, self.offset = code.t, code.k, code.line_of, code.offset
+        self.annotated = bytearray(len(code.coded))
+        self.n = len(self.t)
         self.contract = False  # the place is directly in an interface, where methods need no body and no modifier
 
+    def marks(self) -> list[int]:
+        """The tokens that begin a line's code or are brackets."""
+        k = self.k
+        return [i for i, (first, text) in enumerate(zip(self.code.first, self.t, strict=True)) if first or text in _BRACKETS and k[i] == "o"]
+
     def text(self, i: int) -> str:
-        return self.toks[i][1] if i < self.n else ""
+        return self.t[i] if i < self.n else ""
 
     def kind(self, i: int) -> str:
-        return self.toks[i][0] if i < self.n else ""
+        return self.k[i] if i < self.n else ""
 
     def group(self, i: int) -> int:
         """Index behind the bracket group opening at ``i``; the end of the text when it never closes."""
         depth = 0
         while i < self.n:
-            kind, text, _ = self.toks[i]
-            if kind == "o":
+            if self.k[i] == "o":
+                text = self.t[i]
                 if text in ("(", "[", "{"):
                     depth += 1
                 elif text in (")", "]", "}"):
@@ -125,8 +90,8 @@ class _Scan:
         """Index behind the type arguments opening at ``i``, or -1."""
         depth, start = 0, i
         while i < self.n and i - start < 60:
-            kind, text, _ = self.toks[i]
-            if kind == "o":
+            if self.k[i] == "o":
+                text = self.t[i]
                 if text == "<":
                     depth += 1
                 elif text in (">", ">>", ">>>"):
@@ -433,11 +398,12 @@ class _Scan:
 _STRING_PREFIX = re.compile(r"^[rbufRBUF]{0,2}(\"\"\"|'''|\"|')")
 
 
-def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None = None) -> list[Declaration]:
-    """Every declaration of ``src`` that begins at the start of a line, in order. ``toks`` are its tokens, if they are known."""
+def declarations(src: str, lang: str, code: Code | None = None) -> list[Declaration]:
+    """Every declaration of ``src`` that begins at the start of a line, in order. ``code`` are its tokens, if they are known."""
     if lang not in _MODS or not src:
         return []
-    s = _Scan(src, lang, toks)
+    s = _Scan(src, lang, code)
+    starts, coded, commented, remark, place = s.code.lines.starts, s.code.coded, s.code.commented, s.code.remark, s.code.place
     out: list[Declaration] = []
     depth = 0  # of round and square brackets
     stack: list[tuple[str, int, bool]] = []  # owners: (name, brace depth or indentation, is an interface)
@@ -449,15 +415,16 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
     done, heads = -1, _HEADS.get(lang)
     indented = lang in ("python", "ruby")
     skip = 0
-    for i, first in s.marks:
+    t, k_of, first = s.t, s.k, s.code.first
+    for i in s.marks():
         if i < skip:
             continue
-        kind, text, at = s.toks[i]
-        if first and depth == 0 and i > done:
+        text = t[i]
+        if depth == 0 and i > done and first[i]:
             line = s.line_of[i]
             j = i
             while text in "@[#" and (k := s.annotation(j)) > j and k < s.n:
-                for x in range(s.line_of[j], s.lines.of(s.toks[k - 1][2]) + 1):
+                for x in range(s.line_of[j], s.line_of[k - 1] + 1):
                     s.annotated[x] = 1
                 j = k
             word = s.text(j)
@@ -468,9 +435,9 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
                 what, name, end, bodied = got
                 begin = s.line_of[j]
                 for x in range(line, begin):
-                    s.annotated[x] = s.annotated[x] or s.commented[x]
+                    s.annotated[x] = s.annotated[x] or commented[x]
                 if indented:
-                    column = at - s.lines.starts[line - 1]
+                    column = s.offset(i) - starts[line - 1]
                     while stack and stack[-1][1] >= column:
                         stack.pop()
                 else:
@@ -478,10 +445,10 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
                         stack.pop()
                 owner = ".".join(x[0] for x in stack)
                 top, texts = line, []
-                while top > 1 and not s.code[top - 1] and s.commented[top - 1] or top > 1 and s.annotated[top - 1] and s.code[top - 1]:
+                while top > 1 and not coded[top - 1] and commented[top - 1] or top > 1 and s.annotated[top - 1] and coded[top - 1]:
                     top -= 1
                 for x in range(top, s.line_of[j] + 1):
-                    texts += [t for a, t in s.remark.get(x, ()) if a < s.toks[j][2]]
+                    texts += [t for a, t in remark.get(x, ()) if a < place[j]]
                 label = s.text(name) if name >= 0 else ""
                 doc = None
                 if lang == "python" and end < s.n and s.kind(end) == STRING and s.line_of[end] > s.line_of[end - 1]:
@@ -489,17 +456,17 @@ def declarations(src: str, lang: str, toks: list[tuple[str, str, int]] | None =
                     if m and "b" not in s.text(end)[: m.start(1)].lower() and "f" not in s.text(end)[: m.start(1)].lower():
                         doc = s.text(end)[m.end() : -len(m[1])]
                 what2 = "method" if what == "function" and stack and lang in ("python", "ruby", "rust", "php") else what
-                stop = s.toks[end - 1][2] + len(s.toks[end - 1][1]) if end else at
-                out.append(Declaration(what2, label, owner, s.line_of[name] if name >= 0 else begin, top, s.toks[j][2], stop, bodied, tuple(texts), doc))
+                stop = s.offset(end - 1) + len(s.t[end - 1]) if end else s.offset(i)
+                out.append(Declaration(what2, label, owner, s.line_of[name] if name >= 0 else begin, top, s.offset(j), stop, bodied, tuple(texts), doc))
                 if what == "type" and bodied:
                     if indented:
-                        stack.append((label, at - s.lines.starts[line - 1], False))
+                        stack.append((label, column, False))
                     else:
                         pending, opens = (label, "interface" in (s.text(name - 1), s.text(end - 1), s.text(end - 2)) or lang == "rust" and s.text(name - 1) == "trait"), end - 1
             if j > i and not got:
                 skip = j
                 continue
-        if kind == "o":
+        if text in _BRACKETS and k_of[i] == "o":
             if text in ("(", "["):
                 depth += 1
             elif text in (")", "]"):

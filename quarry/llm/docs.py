@@ -33,6 +33,9 @@ _CODE_CALL = re.compile(r"^\s*(?:await\s+|return\s+|print\s+|raise\s+|throw\s+|y
 _CODE_HEAD = re.compile(r"^\s*(?:(?:if|elif|while|for|switch|catch|foreach|match|with|unless|until|when|case)\b.*[:{)]\s*$|(?:async\s+)?(?:def|fn|func|function|class|struct|impl|interface|enum)\s+[\w$.]+.*[:{(]\s*$|(?:import|from|use|using|require|include|package)\s+[\w.:/'\"{*]+(?:\s+(?:import|from|as)\b.*)?;?\s*$|(?:return|break|continue|pass|throw|raise|yield|else|try|end|do|finally|ensure|rescue)\s*[\w$.]*\s*[;:{]?\s*$|@[\w.]+\(.*\)$)")
 
 
+_OPENING, _CLOSING, _STAR, _LINE_MARK = (re.compile(x) for x in (r"^/\*+!?<?", r"\**\*/\s*$", r"^\s*\*+(?:\s|$)|^\s*\*(?=\S)", r"^\s*(?://[/!]*<?|\#+[!:']?)\s?"))
+
+
 def looks_like_code(line: str) -> bool:
     """A line of source that was commented out rather than prose."""
     return bool(line.strip()) and bool(_CODE_END.search(line) or _CODE_ASSIGN.match(line) or _CODE_CALL.match(line) or _CODE_HEAD.match(line))
@@ -42,12 +45,12 @@ def strip_marks(comment: str) -> list[str]:
     """Lines of one comment without its marks."""
     text = comment.strip()
     if text.startswith("/*"):
-        text = re.sub(r"^/\*+!?<?", "", text)
-        text = re.sub(r"\**\*/\s*$", "", text)
-        return [re.sub(r"^\s*\*+(?:\s|$)|^\s*\*(?=\S)", "", x, count=1) for x in text.split("\n")]
+        text = _OPENING.sub("", text)
+        text = _CLOSING.sub("", text)
+        return [_STAR.sub("", x, count=1) for x in text.split("\n")]
     if text.startswith("=begin"):
         return text.split("\n")[1:-1]
-    return [re.sub(r"^\s*(?://[/!]*<?|\#+[!:']?)\s?", "", x, count=1) for x in text.split("\n")]
+    return [_LINE_MARK.sub("", x, count=1) for x in text.split("\n")]
 
 
 def prose(lines: list[str]) -> str:

@@ -8,6 +8,7 @@ subtype, within a repository; then trivial texts are dropped.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -21,15 +22,19 @@ from .common import current_files, spread
 from .declare import Declaration, declarations
 from .docs import description, word_count
 from .grammar import valid_plain
-from .lexer import CODE_LANGUAGES, COMMENT, tokens
+from .lexer import CODE_LANGUAGES, COMMENT, Code
 
 MIN_WORDS = 6
 _SCHEMA = "filepath string, repo string, language string, kind string, name string, owner string, line int, signature string, normal string, bodied boolean, documentation string, words int, supers array<string>"
 _COLUMNS = ["filepath", "repo", "language", "name", "owner", "line", "signature", "documentation", "words"]
 
 
+_SPACE = re.compile(r"\s+")
+_UNTOLD = re.compile(r"/\*.*?\*/|=[^,()]*(?=,|$)|\b(?:final|const|readonly|mut|ref|out|in|self|this|cls)\b|@\w+(?:\([^)]*\))?|[&\s]")
+
+
 def signature_of(text: str, start: int, end: int) -> str:
-    return re.sub(r"\s+", " ", text[start:end]).rstrip(" {:;").strip()
+    return _SPACE.sub(" ", text[start:end]).rstrip(" {:;").strip()
 
 
 def normal_signature(signature: str, name: str) -> str:
@@ -43,7 +48,7 @@ def normal_signature(signature: str, name: str) -> str:
         if not depth:
             end = k
             break
-    inside = re.sub(r"/\*.*?\*/|=[^,()]*(?=,|$)|\b(?:final|const|readonly|mut|ref|out|in|self|this|cls)\b|@\w+(?:\([^)]*\))?|[&\s]", "", signature[at + 1 : end])
+    inside = _UNTOLD.sub("", signature[at + 1 : end])
     return f"{name}({inside.strip(',')})"
 
 
@@ -92,20 +97,20 @@ def functions(text: str, lang: str, documented_only: bool = False) -> list[tuple
 
     With ``documented_only``, the functions with non-trivial documentation; a text without any isn't parsed.
     """
-    got = _declared(text, lang, tokens(text, lang), documented_only)
+    got = _declared(text, lang, Code(text, lang), documented_only)
     if got is None and lang in ("javascript", "typescript"):
         other = jsx.plain(text)
-        got = _declared(other, lang, tokens(other, lang), documented_only) if other is not None else None
+        got = _declared(other, lang, Code(other, lang), documented_only) if other is not None else None
     return got or []
 
 
-def _declared(text: str, lang: str, toks: list[tuple[str, str, int]], documented_only: bool) -> list[tuple[Declaration, str, int]] | None:
+def _declared(text: str, lang: str, code: Code, documented_only: bool) -> list[tuple[Declaration, str, int]] | None:
     """The rows of ``functions``, or None if the text isn't valid; with ``documented_only`` a text without rows isn't parsed."""
     elements = lang in ("javascript", "typescript") and jsx.looks(text)  # such a text may hold more than its plain reading shows
-    if documented_only and lang != "python" and not elements and not any(t[0] == COMMENT for t in toks):
+    if documented_only and lang != "python" and not elements and COMMENT not in code.kinds:
         return []
     out = []
-    for d in declarations(text, lang, toks):
+    for d in declarations(text, lang, code):
         if not d.name or documented_only and (d.kind == "type" or not d.comments and not d.docstring):
             continue
         doc, words = best_description(d.comments, d.docstring) if d.kind != "type" else ("", 0)
@@ -113,7 +118,7 @@ def _declared(text: str, lang: str, toks: list[tuple[str, str, int]], documented
             out.append((d, doc, words))
     if not out and not elements:
         return []
-    return out if valid_plain(text, lang, toks) else None
+    return out if valid_plain(text, lang, code) else None
 
 
 def _source(parse_results: DataFrame) -> DataFrame:
@@ -130,13 +135,17 @@ def symbols(parse_results: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
-                for d, doc, words in functions(text, lang):
-                    if d.kind == "type":
-                        rows.append((path, repo, lang, d.kind, d.name, d.owner, d.line, None, None, d.bodied, None, 0, supertypes(text, d, lang)))
-                        continue
-                    sig = signature_of(text, d.start, d.end)
-                    rows.append((path, repo, lang, d.kind, d.name, d.owner, d.line, sig, normal_signature(sig, d.name), d.bodied, doc or None, words, None))
+            gc.disable()  # scanning makes no cycles, and the collector looks through every token
+            try:
+                for path, repo, lang, text in zip(pdf["filepath"], pdf["repo"], pdf["language"], pdf["content"], strict=True):
+                    for d, doc, words in functions(text, lang):
+                        if d.kind == "type":
+                            rows.append((path, repo, lang, d.kind, d.name, d.owner, d.line, None, None, d.bodied, None, 0, supertypes(text, d, lang)))
+                            continue
+                        sig = signature_of(text, d.start, d.end)
+                        rows.append((path, repo, lang, d.kind, d.name, d.owner, d.line, sig, normal_signature(sig, d.name), d.bodied, doc or None, words, None))
+            finally:
+                gc.enable()
             yield pd.DataFrame(rows, columns=[re.split(" ", x)[0] for x in _SCHEMA.split(", ")])
 
     return _source(parse_results).mapInPandas(run, _SCHEMA)

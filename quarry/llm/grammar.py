@@ -18,7 +18,7 @@ import warnings
 from functools import lru_cache
 
 from . import jsx
-from .lexer import BAD, COMMENT, IDENT, NEWLINE, NUMBER, REGEX, STRING, tokens
+from .lexer import BAD, COMMENT, IDENT, NEWLINE, NUMBER, REGEX, STRING, Code, tokens
 
 
 class Reject(Exception):
@@ -30,6 +30,7 @@ def _words(text: str) -> frozenset[str]:
 
 
 _CLOSING = frozenset((")", ";", ",", "]", "}"))
+_BRACKETS = frozenset("()[]{}")
 
 
 class Parser:
@@ -39,12 +40,17 @@ class Parser:
     binary: frozenset[str] = frozenset()
     prefix: frozenset[str] = frozenset()
 
-    def __init__(self, toks: list[tuple[str, str, int]]):
-        toks = self.prepare(toks)
-        if self.lines_matter:
-            self.k: list[str] = []
-            self.t: list[str] = []
-            self.nl: list[bool] = []
+    def __init__(self, toks: list[tuple[str, str, int]] | Code):
+        self.k: list[str] = []
+        self.t: list[str] = []
+        self.nl: list[bool] = []
+        ready = self.prepare_code(toks) if isinstance(toks, Code) else None
+        if ready is None:
+            toks = self.prepare(toks.tuples() if isinstance(toks, Code) else toks)
+        if ready is not None:
+            self.k, self.t = ready
+            self.nl = list(map(bool, toks.broken)) if self.lines_matter else [False] * len(self.t)
+        elif self.lines_matter:
             line = False
             kinds, texts, breaks = self.k.append, self.t.append, self.nl.append
             for kind, text, _ in toks:
@@ -74,6 +80,10 @@ class Parser:
     def prepare(self, toks):
         return toks
 
+    def prepare_code(self, code: Code) -> tuple[list[str], list[str]] | None:
+        """Kinds and texts without line ends and comments, as ``prepare`` has them; None where that needs the rows of ``tokens``."""
+        return (list(code.k), list(code.t)) if type(self).prepare is Parser.prepare else None
+
     # -- token access
     @property
     def tok(self) -> str:
@@ -128,15 +138,15 @@ class Parser:
         """Index behind the bracket group that opens at an index, of every group that closes; one pass over the text."""
         if self.groups is None:
             self.groups, open_at = {}, []
-            for i, text in enumerate(self.t):
+            for i in [i for i, text in enumerate(self.t) if text in _BRACKETS]:
+                text = self.t[i]
                 if self.k[i] == "o":
                     if text in ("(", "[", "{"):
                         open_at.append(i)
-                    elif text in (")", "]", "}"):
-                        if open_at and self.t[open_at[-1]] + text in ("()", "[]", "{}"):
-                            self.groups[open_at.pop()] = i + 1
-                        else:
-                            open_at.clear()  # none of them closes in order
+                    elif open_at and self.t[open_at[-1]] + text in ("()", "[]", "{}"):
+                        self.groups[open_at.pop()] = i + 1
+                    else:
+                        open_at.clear()  # none of them closes in order
         return self.groups
 
     def skip_group(self):
@@ -168,11 +178,14 @@ class Parser:
 
     def listed(self, close: str, item, empty: bool = True):
         """Comma-separated items up to ``close``, a trailing comma allowed."""
-        while not self.accept(close):
+        t, k = self.t, self.k
+        while not (t[self.i] == close and k[self.i] in "oi"):
             item()
-            if not self.accept(","):
+            if t[self.i] != ",":
                 self.expect(close)
                 return
+            self.i += 1
+        self.i += 1
 
     # -- whole text
     def file(self):
@@ -194,7 +207,8 @@ class Parser:
     # -- expressions: operands and operators alternate
     def expr(self):
         self.assign()
-        while self.accept(","):
+        while self.t[self.i] == ",":
+            self.i += 1
             self.assign()
 
     def assign(self):
@@ -230,7 +244,7 @@ class Parser:
             i += 1
         self.i = i
         self.primary()
-        while self.postfix():
+        while t[self.i] not in _CLOSING and self.postfix():
             pass
 
     def args(self):
@@ -2085,7 +2099,7 @@ def valid(text: str, lang: str, toks: list[tuple[str, str, int]] | None = None)
     return False
 
 
-def valid_plain(text: str, lang: str, toks: list[tuple[str, str, int]] | None = None) -> bool:
+def valid_plain(text: str, lang: str, toks: list[tuple[str, str, int]] | Code | None = None) -> bool:
     """As ``valid``, without JSX."""
     if lang == "python":
         return _python(text)
@@ -2096,12 +2110,13 @@ def valid_plain(text: str, lang: str, toks: list[tuple[str, str, int]] | None =
     return _accepts(tokens(text, lang) if toks is None else toks, lang)
 
 
-def _accepts(toks: list[tuple[str, str, int]], lang: str) -> bool:
+def _accepts(toks: list[tuple[str, str, int]] | Code, lang: str) -> bool:
     usual = max(6000, sys.getrecursionlimit())
     sys.setrecursionlimit(usual)
     try:
         return _parses(toks, lang)
     except RecursionError:
+        toks = toks.tuples() if isinstance(toks, Code) else toks
         if not balanced(toks):
             return False
         # calls between Python functions take no space of the native stack
@@ -2112,7 +2127,7 @@ def _accepts(toks: list[tuple[str, str, int]], lang: str) -> bool:
             sys.setrecursionlimit(usual)
 
 
-def _parses(toks: list[tuple[str, str, int]], lang: str) -> bool:
+def _parses(toks: list[tuple[str, str, int]] | Code, lang: str) -> bool:
     try:
         parser = _parsers()[lang](toks)
         parser.file()

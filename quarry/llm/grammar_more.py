@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from .grammar import Js, Parser, Reject, _words
 from .lexer import IDENT, NEWLINE, NUMBER, OP, REGEX, STRING
 
@@ -36,6 +38,19 @@ class Go(Parser):
             out.append(tok)
         return out
 
+    def prepare_code(self, code):
+        k, t = code.k, code.t
+        if "^" in t and any(a == "&" and b == "^" for a, b in pairwise(t)):
+            return None
+        kinds, texts, at, n = [], [], 0, len(t)
+        for i in [i for i in range(1, n) if code.broken[i]] + [n] * bool(n):
+            kind, text = k[i - 1], t[i - 1]
+            if kind in (NUMBER, STRING) or kind == IDENT and text not in self.reserved or text in ("break", "continue", "fallthrough", "return") or kind == OP and text in ("++", "--", ")", "]", "}"):
+                kinds += [*k[at:i], OP]
+                texts += [*t[at:i], ";"]
+                at = i
+        return kinds + list(k[at:]), texts + t[at:]
+
     def end(self):
         if not self.accept(";") and not self.isop("}") and not self.isop(")") and self.k[self.i] != "e":
             self.fail()
@@ -993,6 +1008,16 @@ class Php(Js):
             out = out[1:]
         return out
 
+    def prepare_code(self, code):
+        kinds, texts, t = list(code.k), list(code.t), code.t
+        for i in reversed([i for i in range(1, len(t)) if t[i] in ("=", ">") and t[i - 1] + t[i] in (".=", "<>", "**=")]):
+            if kinds[i] == OP and kinds[i - 1] == OP and code.offset(i) == code.offset(i - 1) + len(t[i - 1]):
+                texts[i - 1 : i + 1] = [t[i - 1] + t[i]]
+                del kinds[i]
+        if kinds[:1] == [STRING] and code.place[0] == 0 and code.offset(0) == 0:
+            return kinds[1:], texts[1:]
+        return kinds, texts
+
     def end(self):
         self.expect(";")
 

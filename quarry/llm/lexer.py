@@ -7,9 +7,11 @@ hand-written scanners. Pure functions over one text, used inside Arrow batches.
 
 from __future__ import annotations
 
+import operator
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate, compress
 
 # File extension -> language.
 EXTENSIONS = {
@@ -204,20 +206,22 @@ def tokens(src: str, lang: str) -> list[tuple[str, str, int]]:
 
 def simple_tokens(src: str, lang: str) -> list[str] | None:
     """The texts of ``tokens``; None for a text with a token that needs its context or is a bad one."""
-    pattern = _SIMPLE.get(lang)
-    if pattern is None:
+    pattern, pos = _SIMPLE.get(lang), _simple_begin(src, lang)
+    if pattern is None or pos < 0:
         return None
-    pos = 0
-    if lang in ("javascript", "typescript", "python", "rust") and src.startswith("#!") and not src.startswith("#!["):
-        pos = len(src) if (at := src.find("\n")) < 0 else at
-    elif lang == "php" and (at := src.find("<?")) >= 0:
-        if src[:at].strip():
-            return None
-        pos = at + (5 if src.startswith("<?php", at) else 3 if src.startswith("<?=", at) else 2)
     out = pattern.findall(src, pos)
     return None if "" in out else out
 
 
+def _simple_begin(src: str, lang: str) -> int:
+    """Where the tokens of ``simple_tokens`` begin, or -1."""
+    if lang in ("javascript", "typescript", "python", "rust") and src.startswith("#!") and not src.startswith("#!["):
+        return len(src) if (at := src.find("\n")) < 0 else at
+    if lang == "php" and (at := src.find("<?")) >= 0:
+        return -1 if src[:at].strip() else at + (5 if src.startswith("<?php", at) else 3 if src.startswith("<?=", at) else 2)
+    return 0
+
+
 def simple_kind(token: str, lang: str) -> str:
     """The kind of a token of ``simple_tokens``."""
     kind = _MASTERS[lang].match(token).lastgroup
@@ -226,6 +230,135 @@ def simple_kind(token: str, lang: str) -> str:
     return {"k": OP, "p": COMMENT, "t": STRING}.get(kind, kind)
 
 
+class _Kinds(dict):
+    """Kinds of short tokens of a language by their text, a bounded number of them."""
+
+    def __init__(self, lang: str):
+        self.lang = lang
+
+    def __missing__(self, token: str) -> str:
+        if token.isidentifier():
+            kind = IDENT
+        elif token[0] == '"':
+            kind = STRING
+        elif token.startswith(("//", "/*")):
+            kind = COMMENT
+        else:
+            kind = simple_kind(token, self.lang)
+        if len(token) <= 40:
+            if len(self) >= 1 << 15:
+                self.clear()
+            self[token] = kind
+        return kind
+
+
+_KINDS = {x: _Kinds(x) for x in _SIMPLE}
+_RUNS = re.compile(r"[cSX]|[^lcSX]+l*|l+")  # of the kinds of a text's tokens; S and X are those over several lines
+_ANY = re.compile(".")
+_IS_CODE = bytes(chr(x) not in "lc" for x in range(256))
+_NO_CODE = str.maketrans("", "", "lc")
+
+
+class Code:
+    """The tokens of a text in parallel sequences, with their lines; offsets are worked out when asked for.
+
+    ``kinds`` and ``texts`` are of all tokens; ``k``, ``t`` and ``line_of`` leave comments and line ends out,
+    ``place`` is the index of such a token among all. ``first`` marks those that begin a line's code, ``broken``
+    those behind a line end or a comment over several lines.
+    """
+
+    def __init__(self, src: str, lang: str):
+        self.src, self.lang = src, lang
+        self.lines = Lines(src)
+        texts = simple_tokens(src, lang)
+        if texts is None:
+            toks = tokens(src, lang)
+            self.kinds, texts, self.offsets, self.begin = "".join([t[0] for t in toks]), [t[1] for t in toks], [t[2] for t in toks], 0
+        else:
+            self.kinds, self.offsets, self.begin = "".join(map(_KINDS[lang].__getitem__, texts)), None, _simple_begin(src, lang)
+        self.texts = texts
+        code = self.kinds.encode().translate(_IS_CODE)
+        self.k, self.t, self.place = self.kinds.translate(_NO_CODE), list(compress(texts, code)), list(compress(range(len(texts)), code))
+        self._pass()
+
+    def _pass(self):
+        kinds, texts, starts = self.kinds, self.texts, self.lines.starts
+        self.coded = bytearray(len(starts) + 2)  # the line holds code
+        self.commented = bytearray(len(starts) + 2)
+        self.remark: dict[int, list[tuple[int, str]]] = {}  # comments by line, with their index
+        self.first = bytearray(len(self.t))
+        self.broken = bytearray(len(self.t))
+        self.line_of: list[int] = []
+        self.ends: list[int] = []  # indices of line ends, of several in a row the last
+        self.end_lines: list[int] = []
+        if wide := [i for i in (m.start() for m in _LITERAL.finditer(kinds)) if "\n" in texts[i]]:
+            marked = list(kinds)
+            for i in wide:
+                marked[i] = marked[i].upper()
+            kinds = "".join(marked)
+        coded, first, breaks, line_of, ends, end_lines = self.coded, self.first, self.broken, self.line_of, self.ends, self.end_lines
+        gaps = self.lang == "php" and self.offsets is not None  # text between code, which holds line ends that are no tokens
+        line, fresh, broken, n = 1 + self.src.count("\n", 0, self.begin), True, False, 0
+        for m in (_ANY if gaps else _RUNS).finditer(kinds):
+            at, end = m.span()
+            kind = kinds[at]
+            if gaps:
+                line = self.lines.of(self.offsets[at])
+            if kind == "c":
+                self.remark.setdefault(line, []).append((at, texts[at]))
+                self.commented[line] = 1
+                for _ in range(texts[at].count("\n")):
+                    line += 1
+                    self.commented[line] = 1
+                    broken = True
+                continue
+            size = kinds.find("l", at, end) - at
+            if size < 0:
+                size = end - at
+            if size:
+                if fresh:
+                    coded[line] = first[n] = 1
+                    fresh = False
+                if broken:
+                    breaks[n] = 1
+                    broken = False
+                line_of += [line] * size
+                n += size
+                if kind in "SX":
+                    for _ in range(texts[at].count("\n")):
+                        line += 1
+                        coded[line] = 1
+            if at + size < end:
+                line += end - at - size
+                ends.append(end - 1)
+                end_lines.append(line - 1)
+                fresh = broken = True
+
+    def offset(self, i: int) -> int:
+        """Offset of the ``i``-th token that is code."""
+        at = self.place[i]
+        if self.offsets is not None:
+            return self.offsets[at]
+        src, texts = self.src, self.texts
+        b = bisect_left(self.ends, at) - 1
+        k, pos = (self.ends[b] + 1, self.lines.starts[self.end_lines[b]]) if b >= 0 else (0, self.begin)
+        for text in texts[k:at]:
+            pos = src.index(text, pos) + len(text)  # only white space lies between
+        return src.index(texts[at], pos)
+
+    def tuples(self) -> list[tuple[str, str, int]]:
+        """The rows of ``tokens``."""
+        if self.offsets is None:
+            find, pos, out = self.src.index, self.begin, []
+            for text in self.texts:
+                pos = find(text, pos)
+                out.append(pos)
+                pos += len(text)
+            self.offsets = out
+        return list(zip(self.kinds, self.texts, self.offsets, strict=True))
+
+
+_LITERAL = re.compile("[sx]")
 _PLAIN = frozenset("csniox")
 
 
@@ -299,7 +432,8 @@ class Lines:
     """Offset to 1-based line number."""
 
     def __init__(self, src: str):
-        self.starts = [0, *(m.end() for m in re.finditer("\n", src))]
+        parts = src.split("\n")
+        self.starts = [0, *map(operator.add, accumulate(map(len, parts)), range(1, len(parts)))]
 
     def of(self, offset: int) -> int:
         return bisect_right(self.starts, offset)
