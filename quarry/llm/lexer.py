@@ -253,6 +253,34 @@ class _Kinds(dict):
 
 
 _KINDS = {x: _Kinds(x) for x in _SIMPLE}
+
+
+def _heads(lang: str) -> dict[int, str]:
+    """First characters that alone tell the kind of a token of ``simple_tokens``; all others become a question mark."""
+    table = dict.fromkeys(range(128), "?") | {ord("\n"): NEWLINE, ord('"'): STRING}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    prefixes = {"python": "rbuf", "rust": "rbc"}.get(lang, "")
+    table |= {ord(y): IDENT for x in letters if x not in prefixes for y in (x, x.upper())} | {ord("_"): IDENT}
+    table |= {ord(x): NUMBER for x in "0123456789"} | {ord(x): OP for x in "(){}[],;=+*%&|^!~:>"}
+    return table
+
+
+_HEAD_KINDS = {x: _heads(x) for x in _SIMPLE}
+_UNTOLD = re.compile(r"[^lsino]")
+
+
+def _simple_kinds(texts: list[str], lang: str) -> str:
+    """The kinds of ``simple_tokens``."""
+    kinds = "".join([x[0] for x in texts]).translate(_HEAD_KINDS[lang])
+    untold = [m.start() for m in _UNTOLD.finditer(kinds)]
+    if not untold:
+        return kinds
+    out, known = list(kinds), _KINDS[lang]
+    for i in untold:
+        out[i] = known[texts[i]]
+    return "".join(out)
+
+
 _RUNS = re.compile(r"[cSX]|[^lcSX]+l*|l+")  # of the kinds of a text's tokens; S and X are those over several lines
 _ANY = re.compile(".")
 _IS_CODE = bytes(chr(x) not in "lc" for x in range(256))
@@ -275,7 +303,7 @@ class Code:
             toks = tokens(src, lang)
             self.kinds, texts, self.offsets, self.begin = "".join([t[0] for t in toks]), [t[1] for t in toks], [t[2] for t in toks], 0
         else:
-            self.kinds, self.offsets, self.begin = "".join(map(_KINDS[lang].__getitem__, texts)), None, _simple_begin(src, lang)
+            self.kinds, self.offsets, self.begin = _simple_kinds(texts, lang), None, _simple_begin(src, lang)
         self.texts = texts
         code = self.kinds.encode().translate(_IS_CODE)
         self.k, self.t, self.place = self.kinds.translate(_NO_CODE), list(compress(texts, code)), list(compress(range(len(texts)), code))
